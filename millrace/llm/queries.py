@@ -17,6 +17,14 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's 4-word-shingle SimHash and its component by links of up to 4 bits."""
+    from millrace.llm.simhash import near_duplicates
+
+    of = near_duplicates(_table(spark, sf_dir, "documents"))
+    return of.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op9_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight shards of nearly equal row counts on a bounded-load ring."""
     from millrace.llm.ring import shard_rows
@@ -61,7 +69,7 @@ LATERAL (SELECT p.whole + CASE WHEN p.rest_num > 0 AND (x.upto - x.s) * p.w_open
 
 
 def queries() -> dict:
-    return {"op1_source_mix": op1_source_mix, "op9_ring_shards": op9_ring_shards}
+    return {"op1_source_mix": op1_source_mix, "op3_simhash": op3_simhash, "op9_ring_shards": op9_ring_shards}
 
 
 def oracle_sql() -> dict:
