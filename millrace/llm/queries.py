@@ -33,6 +33,14 @@ def op9_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "home")
 
 
+def op10_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's number of near-duplicates of its label and its component."""
+    from millrace.llm.epsgrid import near_duplicates
+
+    of = near_duplicates(_table(spark, sf_dir, "embeddings"))
+    return of.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
 #: The mix in SQL: the same hashes, thresholds as running sums in hash order.
 OP1_SQL = r"""
 WITH RECURSIVE base AS (
@@ -67,10 +75,24 @@ LATERAL (SELECT p.whole + CASE WHEN p.rest_num > 0 AND (x.upto - x.s) * p.w_open
            AND p.rest_num - (x.upto - x.s) * p.w_open > x.upto * p.w_open - p.rest_num THEN 1 ELSE 0 END AS copies) c
 """
 
+#: All pairs of a label by their cosines in double precision, and components by reachability.
+OP10_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98
+), reach(node, root) AS (
+  SELECT a, a FROM links UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.node
+), least AS (SELECT node, min(root) AS root FROM reach GROUP BY node),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, coalesce(l.root, e.vec_id) AS component_id, coalesce(l.root, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN counts c ON c.a = e.vec_id LEFT JOIN least l ON l.node = e.vec_id
+"""
+
 
 def queries() -> dict:
-    return {"op1_source_mix": op1_source_mix, "op3_simhash": op3_simhash, "op9_ring_shards": op9_ring_shards}
+    return {"op1_source_mix": op1_source_mix, "op3_simhash": op3_simhash, "op9_ring_shards": op9_ring_shards, "op10_embedding_dups": op10_embedding_dups}
 
 
 def oracle_sql() -> dict:
-    return {"op1_source_mix": OP1_SQL}
+    return {"op1_source_mix": OP1_SQL, "op10_embedding_dups": OP10_SQL}
