@@ -10,6 +10,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    """The place of a public vocabulary file on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a 5:2:1 mix of the sources takes from each document."""
     from millrace.llm.mixing import mix
@@ -25,6 +32,14 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's byte-level BPE tokens and of the text decoded from them."""
+    from millrace.llm.bpe import digests
+
+    coded = digests(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op9_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight shards of nearly equal row counts on a bounded-load ring."""
     from millrace.llm.ring import shard_rows
@@ -91,7 +106,7 @@ FROM embeddings e LEFT JOIN counts c ON c.a = e.vec_id LEFT JOIN least l ON l.no
 
 
 def queries() -> dict:
-    return {"op1_source_mix": op1_source_mix, "op3_simhash": op3_simhash, "op9_ring_shards": op9_ring_shards, "op10_embedding_dups": op10_embedding_dups}
+    return {"op1_source_mix": op1_source_mix, "op3_simhash": op3_simhash, "op4_bpe": op4_bpe, "op9_ring_shards": op9_ring_shards, "op10_embedding_dups": op10_embedding_dups}
 
 
 def oracle_sql() -> dict:
