@@ -40,6 +40,14 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op7_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place and checksum in wavelet-matrix token shards, read back from the files."""
+    from millrace.llm.wavelet import read_documents, shard_starts, write_shards
+
+    shards = write_shards(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return read_documents(shard_starts(shards))
+
+
 def op9_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight shards of nearly equal row counts on a bounded-load ring."""
     from millrace.llm.ring import shard_rows
@@ -106,7 +114,7 @@ FROM embeddings e LEFT JOIN counts c ON c.a = e.vec_id LEFT JOIN least l ON l.no
 
 
 def queries() -> dict:
-    return {"op1_source_mix": op1_source_mix, "op3_simhash": op3_simhash, "op4_bpe": op4_bpe, "op9_ring_shards": op9_ring_shards, "op10_embedding_dups": op10_embedding_dups}
+    return {"op1_source_mix": op1_source_mix, "op3_simhash": op3_simhash, "op4_bpe": op4_bpe, "op7_wavelet_shards": op7_wavelet_shards, "op9_ring_shards": op9_ring_shards, "op10_embedding_dups": op10_embedding_dups}
 
 
 def oracle_sql() -> dict:
