@@ -315,7 +315,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, end
         if held:
             yield flush()
 
-    return materialize(dealt.mapInArrow(run, "part int, nth int, path string, docs long, tokens long"), "shard-list")
+    return materialize(dealt.mapInArrow(run, "part long, nth long, path string, docs long, tokens long"), "shard-list")
 
 
 def shard_starts(shards: DataFrame) -> DataFrame:
