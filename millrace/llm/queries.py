@@ -48,6 +48,13 @@ def op7_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(shard_starts(shards))
 
 
+def op8_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every document and the verdict of the fertility bands of its language."""
+    from millrace.llm.fertility import judge
+
+    return judge(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op9_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight shards of nearly equal row counts on a bounded-load ring."""
     from millrace.llm.ring import shard_rows
@@ -114,7 +121,7 @@ FROM embeddings e LEFT JOIN counts c ON c.a = e.vec_id LEFT JOIN least l ON l.no
 
 
 def queries() -> dict:
-    return {"op1_source_mix": op1_source_mix, "op3_simhash": op3_simhash, "op4_bpe": op4_bpe, "op7_wavelet_shards": op7_wavelet_shards, "op9_ring_shards": op9_ring_shards, "op10_embedding_dups": op10_embedding_dups}
+    return {"op1_source_mix": op1_source_mix, "op3_simhash": op3_simhash, "op4_bpe": op4_bpe, "op7_wavelet_shards": op7_wavelet_shards, "op8_fertility": op8_fertility, "op9_ring_shards": op9_ring_shards, "op10_embedding_dups": op10_embedding_dups}
 
 
 def oracle_sql() -> dict:
