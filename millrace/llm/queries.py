@@ -24,6 +24,13 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without 400-byte strings that occur elsewhere."""
+    from millrace.llm.suffix_dedup import removal
+
+    return removal(_table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's 4-word-shingle SimHash and its component by links of up to 4 bits."""
     from millrace.llm.simhash import near_duplicates
@@ -121,7 +128,7 @@ FROM embeddings e LEFT JOIN counts c ON c.a = e.vec_id LEFT JOIN least l ON l.no
 
 
 def queries() -> dict:
-    return {"op1_source_mix": op1_source_mix, "op3_simhash": op3_simhash, "op4_bpe": op4_bpe, "op7_wavelet_shards": op7_wavelet_shards, "op8_fertility": op8_fertility, "op9_ring_shards": op9_ring_shards, "op10_embedding_dups": op10_embedding_dups}
+    return {"op1_source_mix": op1_source_mix, "op2_suffix_dedup": op2_suffix_dedup, "op3_simhash": op3_simhash, "op4_bpe": op4_bpe, "op7_wavelet_shards": op7_wavelet_shards, "op8_fertility": op8_fertility, "op9_ring_shards": op9_ring_shards, "op10_embedding_dups": op10_embedding_dups}
 
 
 def oracle_sql() -> dict:
