@@ -47,6 +47,24 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document by hashed subword embeddings."""
+    from millrace.llm.langid import identify
+
+    return identify(_table(spark, sf_dir, "documents"))
+
+
+#: The rules of the url query: host, path, verdict.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's verdict by url rules and, without one, by its host's place in the link graph."""
+    from millrace.llm.linkgraph import judge_urls
+
+    return judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op7_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place and checksum in wavelet-matrix token shards, read back from the files."""
     from millrace.llm.wavelet import read_documents, shard_starts, write_shards
@@ -128,7 +146,7 @@ FROM embeddings e LEFT JOIN counts c ON c.a = e.vec_id LEFT JOIN least l ON l.no
 
 
 def queries() -> dict:
-    return {"op1_source_mix": op1_source_mix, "op2_suffix_dedup": op2_suffix_dedup, "op3_simhash": op3_simhash, "op4_bpe": op4_bpe, "op7_wavelet_shards": op7_wavelet_shards, "op8_fertility": op8_fertility, "op9_ring_shards": op9_ring_shards, "op10_embedding_dups": op10_embedding_dups}
+    return {"op1_source_mix": op1_source_mix, "op2_suffix_dedup": op2_suffix_dedup, "op3_simhash": op3_simhash, "op4_bpe": op4_bpe, "op5_langid": op5_langid, "op6_url_filter": op6_url_filter, "op7_wavelet_shards": op7_wavelet_shards, "op8_fertility": op8_fertility, "op9_ring_shards": op9_ring_shards, "op10_embedding_dups": op10_embedding_dups}
 
 
 def oracle_sql() -> dict:
