@@ -280,8 +280,8 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", carry: tuple[st
     return own.mapInArrow(run, f"ids array<int>{types}")
 
 
-def decode_ids(encoded: DataFrame, path: str, ids: str = "ids", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of ``carry`` and the text of every row's ids (null ids: null text)."""
+def decode_ids(encoded: DataFrame, path: str, ids: str = "ids", carry: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """The columns of ``carry`` and, as column ``text``, the text of every row's ids (null ids: null text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
@@ -293,11 +293,11 @@ def decode_ids(encoded: DataFrame, path: str, ids: str = "ids", carry: tuple[str
                     continue
                 stream = bpe.decoder()
                 texts.append(stream.push(row.as_py()) + stream.end())
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *b.columns[1:]], ["text", *carry])
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *b.columns[1:]], [text, *carry])
 
     own = encoded.select(F.col(ids).alias("_ids"), *carry)
     types = "".join(f", `{c}` {own.schema[c].dataType.simpleString()}" for c in carry)
-    return own.mapInArrow(run, f"text string{types}")
+    return own.mapInArrow(run, f"`{text}` string{types}")
 
 
 def digests(docs: DataFrame, path: str, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:

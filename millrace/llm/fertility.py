@@ -111,8 +111,9 @@ SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 
 
 def measures(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """doc_id, band (language or script) and the measures of every row."""
+    """doc_id, text_hash (of text and language), band (language or script) and the measures of every row."""
     own = docs.select(F.col(text).cast("string").alias("text"), F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"))
+    own = own.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit("")), "lang"))
     names = [f.split()[0] for f in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,9 +128,9 @@ def measures(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "te
                 bands.append(f"lang:{language}" if language is not None else f"script:{script(content)}")
             columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
             types = [pa.int64()] * 6 + [pa.float64()] * 3
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(bands, pa.string()), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["doc_id", "band", *names])
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(3), pa.array(bands, pa.string()), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["doc_id", "text_hash", "band", *names])
 
-    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, band string, {SCHEMA}")
+    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, text_hash long, band string, {SCHEMA}")
 
 
 def judge(docs: DataFrame, path: str, reach: float = 3.0, reach_up: float = 15.0, sampling: float = 6.0, least_texts: int = 100, least_words: int = 10, repeat_percent: int = 20, **columns: str) -> DataFrame:

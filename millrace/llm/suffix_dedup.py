@@ -468,7 +468,7 @@ def strip_repeats(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     ranges = repeated_ranges(docs.select(text), text, **options)
     columns = docs.columns
     own = docs.withColumn("_body", F.coalesce(F.col(text).cast("string"), F.lit(""))).withColumn("_rid", F.xxhash64("_body")).withColumn("_size", F.octet_length("_body").cast("long"))
-    possible, clean = _keep_possible(own, F.col("_rid"), ranges, F.col("_rid"), ranges.count())
+    possible, clean = _keep_possible(own, F.col("_rid"), ranges, F.col("rid"), ranges.count())
     found = ranges.toDF("_rid", "_size", "_ranges")
 
     @F.pandas_udf("string")
