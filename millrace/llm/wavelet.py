@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import string
 import struct
 import unicodedata
@@ -34,6 +33,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyarrow import fs
@@ -45,12 +45,14 @@ from millrace.llm.common import fresh_path, materialize
 
 MAGIC = b"MWM1"
 BLOCK = 512
-#: Characters that Python splits at or lower-cases unlike the vocabulary's normaliser, and special tokens: such texts go to the library whole.
-UNUSUAL = re.compile("[\x1c-\x1f\u03a3\u0130]|<\\|")
+#: Special tokens, and characters that Unicode versions split, class or lower-case in different ways: such texts go to the library whole.
+UNUSUAL = "[\x1c-\x1f\u0130]|<\\||[^\x00-\u052f\u2010-\u205e\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]"
 MARKS = string.punctuation
 #: Fixed by the vocabulary: how it cuts a lower-case word.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
-REMEMBERED = 400_000
+REMEMBERED = 700_000
+#: Bytes of text encoded at a time.
+CHUNK = 8 << 20
 
 
 class WaveletMatrix:
@@ -203,6 +205,11 @@ class Encoder:
         self.library = t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
+        # The same vocabulary for pieces that are normalised and cut already.
+        spec = json.loads(t.to_str())
+        spec["normalizer"] = None
+        spec["pre_tokenizer"]["pretokenizers"][0] = {"type": "CharDelimiterSplit", "delimiter": " "}
+        self.plain = Tokenizer.from_str(json.dumps(spec))
         vocab = t.get_vocab()
         self.ends = np.zeros(1 + max(vocab.values()), bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
@@ -212,7 +219,7 @@ class Encoder:
     def alone(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: list[str]) -> None:
         """Remember the ids of words in composed lower-case form. New pieces are encoded many at a time."""
         cut: dict[str, list[str]] = {}
         for w in words:
@@ -225,7 +232,7 @@ class Encoder:
             self.pieces.clear()
         new = list({p for ps in cut.values() for p in ps} - self.pieces.keys())
         lines = [new[k : k + 64] for k in range(0, len(new), 64)]
-        for line, e in zip(lines, self.library.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+        for line, e in zip(lines, self.plain.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u2")
             to = (2 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(to) == len(line):
@@ -237,32 +244,46 @@ class Encoder:
         for w, ps in cut.items():
             self.words[w] = get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps))
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Each text's ids as little-endian uint16."""
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids in one array, each text's followed by ``end_id``, and where each text ends.
+
+        Words are split and numbered by Arrow, so that only a batch's different words are looked up.
+        """
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, UNUSUAL).to_numpy(zero_copy_only=False)
+        apart = {k: np.frombuffer(self.alone(texts[int(k)].as_py()), "<u2") for k in np.flatnonzero(odd)}
+        plain = texts if not len(apart) else pc.if_else(pa.array(odd), "", texts)
+        content = plain.to_pylist()
+        if not all(unicodedata.is_normalized("NFC", t) for t in content):
+            plain = pa.array([unicodedata.normalize("NFC", t) for t in content], texts.type)
+        split = pc.utf8_split_whitespace(pc.utf8_lower(plain))
+        of_text = split.offsets.to_numpy() - split.offsets[0].as_py()
+        coded = split.flatten().dictionary_encode()
+        which, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
         if len(self.words) > REMEMBERED:
             self.words.clear()
-        out, waiting, missing = [], [], set()
-        get = self.words.get
-        for text in texts:
-            if not text or UNUSUAL.search(text):
-                out.append(self.alone(text) if text else b"")
-                continue
-            words = (text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)).lower().split()
-            parts = list(map(get, words))
-            if None in parts:
-                holes = [k for k, part in enumerate(parts) if part is None]
-                missing.update(words[k] for k in holes)
-                waiting.append((len(out), words, parts, holes))
-                out.append(b"")
-            else:
-                out.append(b"".join(parts))
-        self.learn(missing)
-        known = self.words
-        for at, words, parts, holes in waiting:
+        parts = list(map(self.words.get, words))
+        if holes := [k for k, part in enumerate(parts) if part is None]:
+            self.learn([words[k] for k in holes])
             for k in holes:
-                parts[k] = known[words[k]]
-            out[at] = b"".join(parts)
-        return out
+                parts[k] = self.words[words[k]]
+        table = np.frombuffer(b"".join(parts), "<u2")
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 2
+        begins = np.cumsum(sizes) - sizes
+        size = sizes[which]
+        upto = np.concatenate(([0], np.cumsum(size)))
+        counts = np.diff(upto[of_text])
+        ids = table[np.repeat(begins[which] - upto[:-1], size) + np.arange(upto[-1])]
+        for k, own in apart.items():
+            counts[k] = len(own)
+        ends = np.cumsum(counts + 1)
+        out = np.full(int(ends[-1]) if len(ends) else 0, end_id, "<u2")
+        place = np.repeat(~odd, counts + 1)
+        place[ends - 1] = False
+        out[place] = ids
+        for k, own in apart.items():
+            out[ends[k] - 1 - len(own) : ends[k] - 1] = own
+        return out, ends
 
 
 @lru_cache(maxsize=2)
@@ -283,35 +304,29 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, end
     dealt = own.repartitionByRange(n, "doc_id", "tie", "salt").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held, ids, size, nth = TaskContext.get().partitionId(), [], [], 0, 0
+        part, nth, held, ends, ids, size = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            tokens = np.frombuffer(b"".join(held), "<u2")
-            ends = np.cumsum([len(x) // 2 for x in held])
-            data = pack_shard(tokens, ends, pa.concat_arrays(ids))
+            data = pack_shard(np.concatenate(held), np.concatenate(ends), pa.concat_arrays(ids))
             name = f"{folder}/shard-{part:06d}-{nth:05d}-{uuid.uuid4().hex}.mwm"
             at, file = _open(name)
             with at.open_output_stream(file) as f:
                 f.write(data)
-            return pa.RecordBatch.from_arrays([pa.array([x]) for x in (part, nth, name, len(held), len(tokens))], ["part", "nth", "path", "docs", "tokens"])
+            return pa.RecordBatch.from_arrays([pa.array([x]) for x in (part, nth, name, sum(map(len, ids)), size)], ["part", "nth", "path", "docs", "tokens"])
 
-        end = struct.pack("<H", end_id)
         for b in batches:
+            upto = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy().astype(np.int64))
             at = 0
             while at < b.num_rows:
-                to, chars = at, 0
-                while to < b.num_rows and chars < 1 << 22:  # texts of about 4 MB at a time
-                    chars += len(b.column(1)[to].as_py() or "")
-                    to += 1
-                coded = encoder(tokenizer).encode(b.column(1).slice(at, to - at).to_pylist())
-                for k, x in enumerate(coded):
-                    held.append(x + end)
-                    ids.append(b.column(0).slice(at + k, 1))
-                    size += len(x) // 2 + 1
-                    if size >= shard_tokens:
-                        yield flush()
-                        held, ids, size, nth = [], [], 0, nth + 1
-                at = to
+                to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + CHUNK, "right")))
+                coded, where = encoder(tokenizer).encode(b.column(1).slice(at, to - at), end_id)
+                held.append(coded)
+                ends.append(where + size)
+                ids.append(b.column(0).slice(at, to - at))
+                size, at = size + len(coded), to
+                if size >= shard_tokens:
+                    yield flush()
+                    nth, held, ends, ids, size = nth + 1, [], [], [], 0
         if held:
             yield flush()
 
