@@ -1,9 +1,14 @@
-"""Registered queries."""
+"""All registered queries: importing a module of queries registers them."""
+
+from __future__ import annotations
+
+from millrace.plans import calendar, catalog, textual  # noqa: F401
+from millrace.plans.registry import QUERIES, SQL
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
