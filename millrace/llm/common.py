@@ -75,3 +75,17 @@ def small_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame
     import json
 
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
+
+
+_held: list[dict] = []
+
+
+def hold(*tables: dict) -> None:
+    """Make these the lookup tables that this Python worker keeps; those of another operator are emptied.
+
+    Workers outlive tasks and stages, so without this a pipeline would keep every operator's tables at once.
+    """
+    for t in _held:
+        if not any(t is u for u in tables):
+            t.clear()
+    _held[:] = tables

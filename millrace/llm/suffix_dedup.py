@@ -17,10 +17,11 @@ l bytes left and r bytes right of it with l + r >= least.
    split can only change where an extension ends, so only those are tried.
 4. The ranges found are joined back to the anchors and united for each document.
 
-Groups of more than ``block`` different contexts are divided, exactly, before step 3: two contexts with l + r >= least agree on
-at least one of ``parts`` pairs of sides (as many bytes left, the others right, less one step); contexts that share such a window meet in a group of their own by its
-hash. Where that is still above ``block``, its members agree in nearly all of a repeated string, and every split is decided by hashes alone in
-Spark (:func:`split_windows`).
+Groups of more than ``block`` different contexts are divided, exactly, before step 3. With ``STEP`` = d, two contexts with
+l + r >= least agree, for some k, on the window from d * k bytes left of the anchor to least - d - d * k bytes right of it. So each context goes
+to a group for each k by that window's 128-bit hash, with only the d bytes on each side of the window as its new context, and d as
+the new least length; equal new contexts are one again. A divided group above ``block`` is decided by the hashes of all its windows
+of d bytes (:func:`split_windows`).
 
 Edge cases: null texts are empty and lose nothing; texts under ``least`` bytes lose nothing; runs of one byte make every position
 an anchor with equal contexts, which are one; repeated rows (also of one doc_id) are separate texts; doc_ids may be null; an empty table gives an
@@ -38,10 +39,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import drop_materialized, materialize
+from millrace.llm.common import drop_materialized, hold, materialize
 
 LEAST = 400
 GRAM = 64
+STEP = 84
 #: Bytes hashed at a time; positions in a segment take as many low bits of a window's key.
 SEGMENT_BITS = 20
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -277,9 +279,9 @@ def _farthest(group: np.ndarray, order: np.ndarray, shared: np.ndarray, other_or
     return best
 
 
-def repeated_extents(group: np.ndarray, left: list[bytes], right: list[bytes], least: int = LEAST, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+def repeated_extents(group: np.ndarray, left: list[bytes], right: list[bytes], least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """How far repeated strings through each context's anchor reach to the left and to the right (-1: there is none)."""
-    backward, forward = Contexts([s[::-1] for s in left], least - gram), Contexts(right, least)
+    backward, forward = (Contexts(side, max(1, *map(len, side))) for side in ([s[::-1] for s in left], right))
     lo, ls = backward.sorted(group)
     ro, rs = forward.sorted(group)
     return _farthest(group, lo, ls, ro, rs, least), _farthest(group, ro, rs, lo, ls, least)
@@ -304,27 +306,118 @@ def _keep_possible(df: DataFrame, key: Column, keys: DataFrame, keys_key: Column
     return placed.filter("_seen").drop(*drop), placed.filter("not _seen").drop(*drop)
 
 
-def split_windows(contexts: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
-    """(kh, ck, l, r) of contexts in very large groups, by the hashes of all their windows of ``least`` bytes.
+#: Columns that name a group of contexts: the anchor's hash and, in divided groups, the shared window's.
+GROUP = ["kh", "w1", "w2"]
 
-    Windows are 128-bit hashes with their split; those of two contexts or more are repeated. Exact up to collisions of 128 bits.
+
+def _groups_of(batches: Iterator[pa.RecordBatch], about: int = 4096) -> Iterator[pa.Table]:
+    """Tables of whole groups from rows sorted by group."""
+    rest: pa.Table | None = None
+    for b in _ended(batches):
+        table = rest if b is None else pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+        if table is None or not table.num_rows:
+            continue
+        keys = [table.column(c).to_numpy() for c in GROUP]
+        new = np.flatnonzero(np.concatenate(([True], np.any([k[1:] != k[:-1] for k in keys], axis=0))))
+        whole = table.num_rows if b is None else int(new[-1])
+        rest = None if b is None else table.slice(whole)
+        at = 0
+        while at < whole:
+            cut = int(np.searchsorted(new, at + about, "left"))
+            to = min(int(new[cut]) if cut < len(new) else table.num_rows, whole)
+            if to - at > about and cut > 0 and int(new[cut - 1]) > at:
+                to = int(new[cut - 1])
+            yield table.slice(at, to - at)
+            at = to
+
+
+def _ended(batches: Iterator) -> Iterator:
+    yield from batches
+    yield None
+
+
+def compare_groups(contexts: DataFrame, least: int) -> DataFrame:
+    """(kh, w1, w2, ck, l, r) of contexts with a partner in their group; step 3."""
+    n = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups_of(batches):
+            keys = [table.column(c).to_numpy() for c in (*GROUP, "ck")]
+            differ = [k[1:] != k[:-1] for k in keys]
+            pick = np.flatnonzero(np.concatenate(([True], np.any(differ, axis=0))))  # copies of a text bring the same context
+            group = np.cumsum(np.concatenate(([False], np.any(differ[:3], axis=0))))[pick]
+            chosen = table.take(pa.array(pick))
+            l, r = repeated_extents(group, chosen.column("left").to_pylist(), chosen.column("right").to_pylist(), least)
+            hit = np.flatnonzero(l >= 0)
+            if len(hit):
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (*(k[pick][hit] for k in keys), l[hit], r[hit])], [*GROUP, "ck", "l", "r"])
+
+    dealt = contexts.select(*GROUP, "ck", "left", "right").repartition(n, *GROUP).sortWithinPartitions(*GROUP, "ck")
+    return dealt.mapInArrow(run, "kh long, w1 long, w2 long, ck long, l long, r long")
+
+
+def split_windows(contexts: DataFrame, least: int) -> DataFrame:
+    """(kh, w1, w2, ck, l, r) of contexts with a partner, by the hashes of all their windows of ``least`` bytes; for very large groups.
+
+    A window that two different contexts of a group hold at the same split is repeated. Exact up to collisions of 128 bits.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for kh, ck, left, right in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for kh, w1, w2, ck, left, right in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 x = np.frombuffer(left + right, np.uint8)
                 lo = np.arange(max(0, len(x) - least + 1))
                 lo = lo[lo <= len(left)]
                 if len(lo):
                     h, h2 = (mix(Hashes(x, base).of(lo, lo + least)).view(np.int64) for base in (BASE, SECOND))
-                    fixed = [pa.array(np.full(len(lo), v)) for v in (kh, ck)]
-                    yield pa.RecordBatch.from_arrays([*fixed, pa.array(len(left) - lo), pa.array(h), pa.array(h2)], ["kh", "ck", "l", "h", "h2"])
+                    fixed = [pa.array(np.full(len(lo), v)) for v in (kh, w1, w2, ck)]
+                    yield pa.RecordBatch.from_arrays([*fixed, pa.array(len(left) - lo), pa.array(h), pa.array(h2)], [*GROUP, "ck", "l", "h", "h2"])
+
+    distinct = contexts.select(*GROUP, "ck", "left", "right").dropDuplicates([*GROUP, "ck"])
+    windows = distinct.mapInArrow(run, "kh long, w1 long, w2 long, ck long, l long, h long, h2 long")
+    often = windows.groupBy(*GROUP, "l", "h", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = windows.join(often, [*GROUP, "l", "h", "h2"])
+    return met.groupBy(*GROUP, "ck").agg(F.max("l").alias("l"), F.max(F.lit(least) - F.col("l")).alias("r"))
+
+
+def divide_groups(contexts: DataFrame, least: int, step: int, block: int) -> DataFrame:
+    """(kh, w1, w2, ck, l, r) as from :func:`compare_groups`, for large groups: by shared windows of ``least - step`` bytes."""
+    shared = least - step
 
-    windows = contexts.select("kh", "ck", "left", "right").mapInArrow(run, "kh long, ck long, l long, h long, h2 long")
-    often = windows.groupBy("kh", "l", "h", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = windows.join(often, ["kh", "l", "h", "h2"])
-    return met.groupBy("kh", "ck").agg(F.max("l").alias("l"), F.max(F.lit(least) - F.col("l")).alias("r"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for kh, ck, left, right in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                x = np.frombuffer(left + right, np.uint8)
+                back = np.arange(0, len(left) + 1, step)
+                lo = len(left) - back
+                lo, back = lo[lo + shared <= len(x)], back[lo + shared <= len(x)]
+                if not len(lo):
+                    continue
+                # The split belongs to the window's name: windows of different splits don't meet.
+                w1, w2 = (mix(Hashes(x, base).of(lo, lo + shared) + back.astype(U) * U(SECOND)).view(np.int64).tolist() for base in (BASE, SECOND))
+                for k, at in enumerate(lo.tolist()):
+                    side = bytes(x[max(0, at - step) : at]), bytes(x[at + shared : at + shared + step])
+                    digest = hashlib.blake2b(len(side[0]).to_bytes(2, "little") + b"".join(side), digest_size=8).digest()
+                    out.append((kh, w1[k], w2[k], ck, int.from_bytes(digest, "little", signed=True), int(back[k]), *side))
+            for at in range(0, len(out), 8192):
+                types = [pa.int64()] * 6 + [pa.binary()] * 2
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 8192], strict=True), types, strict=True)], [*GROUP, "of", "ck", "back", "left", "right"])
+
+    distinct = contexts.select("kh", "ck", "left", "right").dropDuplicates(["kh", "ck"])
+    parts = materialize(distinct.mapInArrow(run, "kh long, w1 long, w2 long, of long, ck long, back long, left binary, right binary"), "divided")
+    kinds = parts.groupBy(*GROUP, "ck").agg(F.count(F.lit(1)).alias("n"), F.first("left").alias("left"), F.first("right").alias("right"))
+    kinds = materialize(kinds, "divided-kinds")
+    sizes = kinds.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("kinds"))
+    sized = kinds.join(sizes, GROUP)
+    equal = kinds.filter((F.col("n") > 1) & (F.octet_length("left") + F.octet_length("right") >= step))
+    found = equal.select(*GROUP, "ck", F.octet_length("left").cast("long").alias("l"), F.octet_length("right").cast("long").alias("r"))
+    found = found.union(compare_groups(sized.filter(F.col("kinds").between(2, block)), step))
+    found = found.union(split_windows(sized.filter(F.col("kinds") > block), step))
+    best = found.groupBy(*GROUP, "ck").agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    met = parts.select(*GROUP, "of", "ck", "back").join(best, [*GROUP, "ck"])
+    zero = F.lit(0).cast("long")
+    return met.select("kh", zero.alias("w1"), zero.alias("w2"), F.col("of").alias("ck"), (F.col("back") + F.col("l")).alias("l"), (F.lit(shared) - F.col("back") + F.col("r")).alias("r"))
 
 
 def repeated_ranges(docs: DataFrame, text: str = "text", least: int = LEAST, gram: int = GRAM, block: int = 4096) -> DataFrame:
@@ -332,13 +425,12 @@ def repeated_ranges(docs: DataFrame, text: str = "text", least: int = LEAST, gra
 
     A text is known by ``rid``, its XXH64, and ``size``, its number of bytes. Ranges may overlap.
     """
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     texts = docs.select(body.alias("text")).select("text", F.xxhash64("text").alias("rid"), F.octet_length("text").cast("long").alias("size"))
     long_ = texts.filter(F.col("size") >= least)
 
     def anchors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold()
         for b in batches:
             data, offsets = _buffer(b.column(0))
             rid, size = b.column(1).to_numpy(), b.column(2).to_numpy()
@@ -351,9 +443,6 @@ def repeated_ranges(docs: DataFrame, text: str = "text", least: int = LEAST, gra
     # Equal contexts are a repeated string; different ones of a group have to be compared.
     kept = kinds.join(groups.filter("kinds > 1 or most > 1"), "kh").select("kh", "ck", "n", "kinds", "one.rid", "one.size", "one.pos")
     kept = materialize(kept, "kinds")
-    wanted = kept.filter("kinds > 1").groupBy("rid", "size").agg(F.collect_list(F.struct("kh", "ck", "kinds", "pos")).alias("cut"))
-    wanted = materialize(wanted, "wanted")  # lists are bounded by the text
-    possible, _ = _keep_possible(long_, F.col("rid"), wanted, F.col("rid"), wanted.count())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -363,7 +452,7 @@ def repeated_ranges(docs: DataFrame, text: str = "text", least: int = LEAST, gra
                 view = memoryview(data)
                 for c in cuts.as_py():
                     p = c["pos"]
-                    rows.append((c["kh"], c["ck"], c["kinds"], bytes(view[max(0, p - least + gram) : p]), bytes(view[p : p + least])))
+                    rows.append((c["kh"], c["ck"], bytes(view[max(0, p - least + gram) : p]), bytes(view[p : p + least])))
                 if len(rows) > 4096:
                     yield _rows(rows)
                     rows = []
@@ -371,42 +460,21 @@ def repeated_ranges(docs: DataFrame, text: str = "text", least: int = LEAST, gra
                 yield _rows(rows)
 
     def _rows(rows: list[tuple]) -> pa.RecordBatch:
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["kh", "ck", "kinds", "left", "right"])
-
-    located = possible.join(wanted, ["rid", "size"]).select("text", "cut")
-    contexts = located.mapInArrow(cut, "kh long, ck long, kinds long, left binary, right binary")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        for b in _ended(batches):
-            table = rest if b is None else pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
-            if table is None or not table.num_rows:
-                continue
-            kh, ck = table.column("kh").to_numpy(), table.column("ck").to_numpy()
-            whole = len(kh) if b is None else int(np.flatnonzero(np.concatenate(([True], kh[1:] != kh[:-1])))[-1])
-            rest = None if b is None else table.slice(whole)
-            at = 0
-            while at < whole:  # groups of about 4096 contexts at a time
-                to = min(whole, at + 4096)
-                to = whole if to == whole else int(np.searchsorted(kh[:whole], kh[to - 1], "left"))
-                to = to if to > at else int(np.searchsorted(kh[:whole], kh[at], "right"))
-                part = table.slice(at, to - at)
-                new = np.concatenate(([True], (kh[at + 1 : to] != kh[at : to - 1]) | (ck[at + 1 : to] != ck[at : to - 1])))
-                pick = np.flatnonzero(new)  # copies of a text bring the same context
-                chosen = part.take(pa.array(pick))
-                _, group = np.unique(kh[at:to][pick], return_inverse=True)
-                l, r = repeated_extents(group, chosen.column("left").to_pylist(), chosen.column("right").to_pylist(), least, gram)
-                hit = np.flatnonzero(l >= 0)
-                if len(hit):
-                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (kh[at:to][pick][hit], ck[at:to][pick][hit], l[hit], r[hit])], ["kh", "ck", "l", "r"])
-                at = to
-
-    dealt = contexts.filter(F.col("kinds") <= block).drop("kinds").repartition(n, "kh").sortWithinPartitions("kh", "ck")
-    found = dealt.mapInArrow(compare, "kh long, ck long, l long, r long")
+        types = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["kh", "ck", "left", "right"])
+
+    def contexts_of(rows: DataFrame) -> DataFrame:
+        """The contexts' bytes, cut from the texts that hold them."""
+        wanted = rows.groupBy("rid", "size").agg(F.collect_list(F.struct("kh", "ck", "pos")).alias("cut"))  # bounded by the text
+        wanted = materialize(wanted, "wanted")
+        possible, _ = _keep_possible(long_, F.col("rid"), wanted, F.col("rid"), wanted.count())
+        cuts = possible.join(wanted, ["rid", "size"]).select("text", "cut").mapInArrow(cut, "kh long, ck long, left binary, right binary")
+        return cuts.withColumns({"w1": F.lit(0).cast("long"), "w2": F.lit(0).cast("long")})
+
+    found = compare_groups(contexts_of(kept.filter(F.col("kinds").between(2, block))), least)
     if kept.filter(F.col("kinds") > block).limit(1).count():
-        large = contexts.filter(F.col("kinds") > block).drop("kinds").dropDuplicates(["kh", "ck"])
-        found = found.union(split_windows(large, least, gram))
+        found = found.union(divide_groups(contexts_of(kept.filter(F.col("kinds") > block)), least, STEP, block))
+    found = found.select("kh", "ck", "l", "r")
     equal = kept.filter("n > 1").select("kh", "ck", F.lit(least - gram).cast("long").alias("l"), F.lit(least).cast("long").alias("r"))
     extents = materialize(found.union(equal).groupBy("kh", "ck").agg(F.max("l").alias("l"), F.max("r").alias("r")), "extents")
     near, _ = _keep_possible(anchors, F.col("kh"), extents, F.col("kh"), extents.count())
@@ -415,15 +483,10 @@ def repeated_ranges(docs: DataFrame, text: str = "text", least: int = LEAST, gra
     hi = F.col("pos") + F.least("r", F.col("size") - F.col("pos"))
     ranges = met.groupBy("rid", "size").agg(F.collect_set(F.struct(lo.alias("lo"), hi.alias("hi"))).alias("ranges"))
     ranges = materialize(ranges, "ranges")
-    drop_materialized(anchors, kept, wanted, extents)
+    drop_materialized(anchors, kept, extents)
     return ranges
 
 
-def _ended(batches: Iterator) -> Iterator:
-    yield from batches
-    yield None
-
-
 def united(ranges: list[dict]) -> list[tuple[int, int]]:
     """Ranges as maximal runs."""
     out: list[list[int]] = []
