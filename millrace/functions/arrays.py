@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def tidy(items: Column) -> Column:
     """Trimmed, blanks dropped, the first of equal ones kept."""
-    return F.array_distinct(F.filter(F.transform(items, F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def run_length_dedupe(items: Column) -> Column:
