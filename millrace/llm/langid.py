@@ -99,6 +99,8 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 def train(rows: list[tuple[np.ndarray, np.ndarray, int]], languages: list[str], bits: int, dims: int = 8, epochs: int = 6, rate: float = 2.0, batch: int = 32, precision: float = 0.99, seed: int = 5) -> Model:
     """Fit on (buckets, counts, class) rows; every fifth one calibrates."""
+    if not languages:
+        return Model([], np.zeros(((1 << bits) + 1, 0), np.float32), np.zeros(0), 1.0, 0.0, bits)
     rng = np.random.default_rng(seed)
     fit, held = [r for k, r in enumerate(rows) if k % 5 or len(rows) < 10], [r for k, r in enumerate(rows) if k % 5 == 0]
     e = rng.normal(0, 0.1, (1 << bits, dims))
