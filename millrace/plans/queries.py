@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.plans import calendar, catalog, textual  # noqa: F401
+from millrace.plans import audits, calendar, catalog, textual  # noqa: F401
 from millrace.plans.registry import QUERIES, SQL
 
 
