@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize
+from millrace.llm.common import hold, materialize
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = " \t\n\v\f\r"
 WINDOW = 5
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: First code points of ranges of letters and the script of each range.
 RANGES = [(0x41, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x900, "indic"), (0xE00, "thai"), (0xE80, "other"), (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x3040, "kana"), (0x3400, "han"), (0xAC00, "hangul"), (0xD7B0, "other")]
 
@@ -118,6 +118,7 @@ def measures(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pieces(path)
+        hold(known)
         for b in batches:
             rows, bands = [], []
             for value, language in zip(b.column(0), b.column(2).to_pylist(), strict=True):
@@ -133,7 +134,12 @@ def measures(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "te
     return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, text_hash long, band string, {SCHEMA}")
 
 
-def judge(docs: DataFrame, path: str, reach: float = 3.0, reach_up: float = 15.0, sampling: float = 6.0, least_texts: int = 100, least_words: int = 10, repeat_percent: int = 20, **columns: str) -> DataFrame:
+def _small(table: DataFrame, most: int) -> DataFrame:
+    """The table, broadcast if it has at most so many rows."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+
+
+def judge(docs: DataFrame, path: str, reach: float = 3.0, reach_up: float = 15.0, sampling: float = 6.0, least_texts: int = 100, least_words: int = 10, repeat_percent: int = 20, most_bands: int = 10_000, **columns: str) -> DataFrame:
     """The measures of every row, base_failed and kept."""
     failed = (F.col("n_words") < least_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * repeat_percent)
     m = materialize(measures(docs, path, **columns).withColumn("base_failed", failed), "fertility")
@@ -157,4 +163,5 @@ def judge(docs: DataFrame, path: str, reach: float = 3.0, reach_up: float = 15.0
     within = F.when(F.col("texts") >= least_texts, inside("chars_per_token", "c", 0.05) & bytes_ok).otherwise(True)
     steady = F.when(F.col("alike") >= least_texts, inside("entropy", "e", 0.1)).otherwise(True)
     verdict = ~F.col("base_failed") & F.coalesce(within & steady, F.lit(True))
+    bands, lengths = (_small(materialize(t, "bands"), most_bands) for t in (bands, lengths))
     return m.join(bands, "band", "left").join(lengths, ["band", "length"], "left").withColumn("kept", verdict).drop("texts", "alike", "b", "c", "e", "length")
