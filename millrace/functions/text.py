@@ -69,7 +69,7 @@ def letter_spaced(text: Column, least: int = 4, share: float = 0.65) -> Column:
 def garbage_ratio(text: Column) -> Column:
     """The share of characters other than ASCII letters, digits, space and common punctuation, years in brackets left out; 1 for empty texts."""
     rest = F.regexp_replace(F.coalesce(text, F.lit("")), r"\([0-9]{4}\)", "")
-    bad = F.regexp_replace(rest, r"[A-Za-z0-9 .,:;!?'&()\n-]", "")
+    bad = F.regexp_replace(rest, r"[A-Za-z0-9 .,:;!?'&()\n-]+", "")
     return F.when(F.length(rest) == 0, 1.0).otherwise(F.length(bad) / F.length(rest))
 
 

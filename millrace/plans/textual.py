@@ -110,7 +110,8 @@ def quality_tier(t: Tables) -> DataFrame:
     """Documents in tiers by their share of odd characters and their length."""
     words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^ \n]+"))
     g = text.garbage_ratio(F.col("text"))
-    return t.documents.select("doc_id", F.round(g, 6).alias("garbage"), F.when((words < 10) | (g > 0.2), "low").when(g > 0.05, "medium").otherwise("high").alias("tier"))
+    d = t.documents.select("doc_id", g.alias("g"), words.alias("w"))
+    return d.select("doc_id", F.round("g", 6).alias("garbage"), F.when((F.col("w") < 10) | (F.col("g") > 0.2), "low").when(F.col("g") > 0.05, "medium").otherwise("high").alias("tier"))
 
 
 @query(r"""
