@@ -22,22 +22,26 @@ import codecs
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import bound_batches, hold
+
 #: Fixed by the vocabulary: how the byte-level pattern splits a text.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 #: A white-space character before a space: there, splitting at spaces would cut a piece.
 RUN = regex.compile(r"\p{White_Space} ")
 CUT = regex.compile(r"(?<=\P{White_Space}) ")
 WINDOW = 1 << 16
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -260,24 +264,32 @@ def load(path: str) -> ByteBPE:
 
 
 def encode_texts(docs: DataFrame, path: str, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of ``carry`` and ids array<int> of every row."""
+    """The columns of ``carry``, ids array<int> and round_trip of every row: whether decoding gives the text back (null: empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
+        hold(bpe.remembered, bpe._apart)
         for b in batches:
             at, n = 0, b.num_rows
             while at < n:  # a batch of long texts goes on in parts
-                ids, size, start = [], 0, at
-                while at < n and size < 1 << 21:
-                    ids.append([*chain.from_iterable(bpe.encode(b.column(0)[at].as_py()))])
-                    size += len(ids[-1])
+                ids, ends, same, start = array("i"), [0], [], at
+                while at < n and len(ids) < 1 << 20:
+                    value, back, place, good = b.column(0)[at].as_py() or "", bpe.decoder(), 0, True
+                    for some in bpe.encode(value):
+                        ids.extend(some)
+                        piece = back.push(some)
+                        good, place = good and value.startswith(piece, place), place + len(piece)
+                    piece = back.end()
+                    same.append(good and value[place:] == piece)
+                    ends.append(len(ids))
                     at += 1
-                cut = b.slice(start, at - start)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), *cut.columns[1:]], ["ids", *carry])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32) if ids else [], pa.int32()))
+                yield pa.RecordBatch.from_arrays([lists, pa.array(same), *b.slice(start, at - start).columns[1:]], ["ids", "round_trip", *carry])
 
+    bound_batches(docs)
     own = docs.select(F.col(text).cast("string").alias("_text"), *carry)
     types = "".join(f", `{c}` {own.schema[c].dataType.simpleString()}" for c in carry)
-    return own.mapInArrow(run, f"ids array<int>{types}")
+    return own.mapInArrow(run, f"ids array<int>, round_trip boolean{types}")
 
 
 def decode_ids(encoded: DataFrame, path: str, ids: str = "ids", carry: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
@@ -285,6 +297,7 @@ def decode_ids(encoded: DataFrame, path: str, ids: str = "ids", carry: tuple[str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
+        hold(bpe.remembered, bpe._apart)
         for b in batches:
             texts = []
             for row in b.column(0):
@@ -295,6 +308,7 @@ def decode_ids(encoded: DataFrame, path: str, ids: str = "ids", carry: tuple[str
                 texts.append(stream.push(row.as_py()) + stream.end())
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *b.columns[1:]], [text, *carry])
 
+    bound_batches(encoded)
     own = encoded.select(F.col(ids).alias("_ids"), *carry)
     types = "".join(f", `{c}` {own.schema[c].dataType.simpleString()}" for c in carry)
     return own.mapInArrow(run, f"`{text}` string{types}")
@@ -305,6 +319,7 @@ def digests(docs: DataFrame, path: str, text: str = "text", carry: tuple[str, ..
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
+        hold(bpe.remembered, bpe._apart)
         digit = bpe.digits.__getitem__
         for b in batches:
             counts, ids_sums, text_sums = [], [], []
@@ -321,6 +336,7 @@ def digests(docs: DataFrame, path: str, text: str = "text", carry: tuple[str, ..
                 text_sums.append(text_sha.hexdigest())
             yield pa.RecordBatch.from_arrays([pa.array(counts, pa.int64()), pa.array(ids_sums), pa.array(text_sums), *b.columns[1:]], ["n_tokens", "ids_sha256", "decoded_sha256", *carry])
 
+    bound_batches(docs)
     own = docs.select(F.col(text).cast("string").alias("_text"), *carry)
     types = "".join(f", `{c}` {own.schema[c].dataType.simpleString()}" for c in carry)
     return own.mapInArrow(run, f"n_tokens long, ids_sha256 string, decoded_sha256 string{types}")

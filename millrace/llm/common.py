@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,15 +79,24 @@ def small_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
 
 
+def bound_batches(df: DataFrame, size: int = 8 << 20) -> None:
+    """Let texts reach Python in Arrow batches of about ``size`` bytes, whatever their length (a setting of the session)."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 _held: list[dict] = []
 
 
 def hold(*tables: dict) -> None:
     """Make these the lookup tables that this Python worker keeps; those of another operator are emptied.
 
-    Workers outlive tasks and stages, so without this a pipeline would keep every operator's tables at once.
+    Workers outlive tasks and stages: without this, a pipeline would keep every operator's tables and freed buffers at once.
     """
+    pa.set_memory_pool(pa.system_memory_pool())  # gives large buffers back when they are freed
     for t in _held:
         if not any(t is u for u in tables):
             t.clear()
     _held[:] = tables
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

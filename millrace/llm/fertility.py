@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import hold, materialize
+from millrace.llm.common import bound_batches, hold, materialize
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = " \t\n\v\f\r"
@@ -112,6 +112,7 @@ SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 
 def measures(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """doc_id, text_hash (of text and language), band (language or script) and the measures of every row."""
+    bound_batches(docs)
     own = docs.select(F.col(text).cast("string").alias("text"), F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"))
     own = own.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit("")), "lang"))
     names = [f.split()[0] for f in SCHEMA.split(", ")]

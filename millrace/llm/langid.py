@@ -3,7 +3,7 @@
 A text's features are all its byte n-grams (2 to 4 bytes of the lower-cased UTF-8, characters of ASCII other than letters
 folded to a space), hashed into ``2**bits`` buckets. Each bucket has an embedding; a text is the mean of its n-grams'
 embeddings, and a linear layer with softmax gives the languages. Both are trained by stochastic gradient descent in numpy
-on a sample of at most ``sample`` labelled texts, drawn by a hash over all training texts and sent as bucket counts. A fifth
+on a sample of at most ``sample`` labelled texts, drawn by a hash of doc_id and text over all training texts and sent as bucket counts. A fifth
 of the sample is not trained on but calibrates: a temperature that makes scores honest, and the score below
 which a prediction is rejected so that the others reach ``precision``.
 
@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import hash60
+from millrace.llm.common import bound_batches, hash60, hold
 
 GRAMS = (2, 3, 4)
 RUN = 1 << 20
@@ -148,10 +148,10 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], languages: list[str],
 
 
 def sample_and_train(labelled: DataFrame, sample: int = 2500, bits: int = 14, **options) -> Model:  # noqa: ANN003
-    """A model from at most ``sample`` rows of (doc_id, text, lang), drawn by a hash of doc_id."""
+    """A model from at most ``sample`` rows of (doc_id, text, lang), drawn by a hash of doc_id and text."""
     n = labelled.count()
     share = min(1.0, 0.9 * sample / max(n, 1))
-    drawn = labelled.withColumn("h", hash60(F.col("doc_id"), seed=5)).filter(F.col("h") < int(share * (1 << 60))).select("text", "lang", "h")
+    drawn = labelled.withColumn("h", hash60(F.col("doc_id"), F.xxhash64("text"), seed=5)).filter(F.col("h") < int(share * (1 << 60))).select("text", "lang", "h")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -171,6 +171,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", carry: tuple[str,
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits rows of class scores
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold()
         m = sent.value
         for b in batches:
             letters = np.array([any(map(str.isalpha, t)) if t else False for t in b.column(0).to_pylist()], bool)
@@ -192,6 +193,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", carry: tuple[str,
 def identify(docs: DataFrame, folds: int = 5, **options) -> DataFrame:  # noqa: ANN003
     """doc_id, held_out, lang_pred, score and rejected; learned from the rows that are not held out."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
+    bound_batches(docs)
     own = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.coalesce(fold == 0, F.lit(False)).alias("held_out"))
     learn = own.filter(~F.col("held_out") & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     model = sample_and_train(learn.select("doc_id", "text", "lang"), **options)

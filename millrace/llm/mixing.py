@@ -101,14 +101,13 @@ def mix(
 ) -> DataFrame:
     """How often the mix takes each document.
 
-    Returns doc_id, source, size, source_size, target, copies, taken and the
-    columns named in ``carry``. ``size`` defaults to the words of column text.
+    Returns doc_id, source, size, source_size, target, copies, taken and, as a struct
+    ``carried``, the columns named in ``carry``, whatever their names. ``size`` defaults to the words of column text.
     """
     spark = docs.sparkSession
     size = word_count(F.col("text")) if size is None else size
-    base = docs.select(
-        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.cast("long").alias("size"), hash60(F.col(doc_id), seed=seed).alias("h"), *carry
-    )
+    carried = [F.struct(*carry).alias("carried")] if carry else []
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.cast("long").alias("size"), hash60(F.col(doc_id), seed=seed).alias("h"), *carried)
     base = materialize(base, "mix")
     sizes = base.groupBy("source").agg(F.sum("size").alias("n")).limit(max_sources + 1).collect()
     if len(sizes) > max_sources:
@@ -129,11 +128,12 @@ def mix(
     return (
         base.join(plan, base["source"].eqNullSafe(plan["s"]))
         .withColumn("copies", copies)
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), *carry)
+        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), *(["carried"] if carry else []))
     )
 
 
 def repeat_rows(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """Each row as often as its ``copies`` say."""
+    """``columns``, from doc_id, source and what was carried, as often as ``copies`` says."""
     copies = F.explode(F.array_repeat(F.lit(0), F.col("copies")))
-    return mixed.filter(F.col("copies") > 0).select(*columns, copies.alias("_copy")).drop("_copy")
+    named = [F.col(c) if c in ("doc_id", "source") else F.col("carried")[c].alias(c) for c in columns]
+    return mixed.filter(F.col("copies") > 0).select(*named, copies.alias("_copy")).drop("_copy")

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import drop_materialized, hold, materialize
+from millrace.llm.common import bound_batches, drop_materialized, hold, materialize
 
 LEAST = 400
 GRAM = 64
@@ -425,6 +425,7 @@ def repeated_ranges(docs: DataFrame, text: str = "text", least: int = LEAST, gra
 
     A text is known by ``rid``, its XXH64, and ``size``, its number of bytes. Ranges may overlap.
     """
+    bound_batches(docs)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     texts = docs.select(body.alias("text")).select("text", F.xxhash64("text").alias("rid"), F.octet_length("text").cast("long").alias("size"))
     long_ = texts.filter(F.col("size") >= least)

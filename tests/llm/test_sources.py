@@ -37,8 +37,11 @@ def test_mix(spark, bits):
     assert abs(sum(t for _, t, _ in by.values()) - sum(r["size"] for r in got)) < 1e-6
     assert by["empty"] == [0, 0.0, 0]
     assert mixing.mix(docs(spark, rows).limit(0)).count() == 0
-    out = mixing.repeat_rows(mixing.mix(docs(spark, rows), carry=("text",)), ["doc_id", "text", "source"])
-    assert out.count() == sum(r["copies"] for r in got)
+    named = docs(spark, rows).selectExpr("*", "1 AS size", "2 AS copies", "3 AS target", "4 AS carried")
+    columns = ["doc_id", "text", "source", "h", "size", "copies", "target", "carried"]
+    out = mixing.repeat_rows(mixing.mix(named, carry=tuple(c for c in columns if c not in ("doc_id", "source"))), columns)
+    assert out.columns == columns and out.count() == sum(r["copies"] for r in got)
+    assert {tuple(r)[3:] for r in out.collect()} == {(5, 1, 2, 3, 4)}
 
 
 def test_a_larger_rest_keeps_the_smaller_ones_documents(spark):
