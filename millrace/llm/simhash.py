@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize
+from millrace.llm.common import bound_batches, hold, materialize
 from millrace.llm.components import connected_components, merge_labels
 from millrace.llm.hotsplit import pair_blocks
 
@@ -65,10 +65,12 @@ def with_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """(doc_id, fp long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold()
         for b in batches:
             fp = np.fromiter((fingerprint(t.as_py(), width) for t in b.column(1)), np.uint64, b.num_rows).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
 
+    bound_batches(docs)
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, fp long")
 
@@ -264,10 +266,133 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, blocks: in
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:  # noqa: ANN003
-    """The documents that are the least of their component (repeated rows of that document count once)."""
-    of = near_duplicates(docs, doc_id=doc_id, **options)
-    kept = of.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    first = F.row_number().over(Window.partitionBy(doc_id).orderBy(*[c for c in docs.columns if c != doc_id]))
-    joined = docs.join(kept, docs[doc_id].eqNullSafe(kept["_kept"])).drop("_kept")
-    return joined.withColumn("_nth", first).filter("_nth = 1").drop("_nth")
+def keep_one(docs: DataFrame, of: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """The documents that are the least of their component in ``of`` (repeated rows of that document count once)."""
+    name = lambda c: F.coalesce(c.cast("string"), F.lit("~"))
+    kept = of.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(name(F.col("doc_id")).alias("_key")).distinct()
+    joined = docs.withColumn("_key", name(F.col(doc_id))).withColumn("_row", F.xxhash64(*docs.columns)).join(kept, "_key")
+    # The join has dealt and sorted the rows by the key already.
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy("_row"))
+    return joined.withColumn("_nth", nth).filter("_nth = 1").select(*docs.columns)
+
+
+# Similarity of 0.8 and more: wide fingerprints.
+
+
+def wide_fingerprint(text: str | None, width: int, lanes: int) -> np.ndarray:
+    """``lanes`` independent 64-bit SimHashes of a text's shingles: each lane mixes the shingles' XXH64 anew."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    out = np.zeros(lanes, np.uint64)
+    if not words:
+        return out
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    n = max(1, len(words) - width + 1)
+    cuts = map(slice, starts[:n].tolist(), ends[min(width, len(words)) - 1 :].tolist())
+    digest = xxhash.xxh64_intdigest
+    h = np.fromiter((digest(joined[c], 42) for c in cuts), np.uint64, n)
+    salt = np.arange(1, lanes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    ones = np.zeros(64 * lanes, np.int64)
+    for at in range(0, n, 255):  # sums of 255 rows fit a byte
+        x = h[at : at + 255, None] + salt
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        ones += np.unpackbits(x.view(np.uint8).reshape(len(x), 8 * lanes), axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    return np.packbits(2 * ones > n, bitorder="little").view("<u8")
+
+
+def linking_pairs(fp: np.ndarray, group: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a, b) of items of a group within the radius that connect the items as all such pairs do.
+
+    A pair is passed on only if earlier shifts have not connected its items, so their number follows the items', not their square.
+    """
+    starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    longest = int(np.diff(np.append(starts, len(fp))).max(initial=0))
+    planes, n = bit_planes(fp), len(fp)
+    labels = np.arange(n)
+    found: list[np.ndarray] = []
+    for d in range(1, longest):
+        same = np.zeros((planes.shape[1] - 1) * 64, bool)
+        same[: n - d] = (group[d:] == group[:-d]) & ((left[d:] & right[:-d]) | (left[:-d] & right[d:])) & (labels[d:] != labels[:-d])
+        if not same.any():
+            continue
+        close = within(planes, d, radius, np.packbits(same, bitorder="little").view("<u8"))
+        a = np.flatnonzero(np.unpackbits(close.view(np.uint8), bitorder="little"))
+        if len(a):
+            found.append(np.stack([a, a + d]))
+            merge_labels(labels, a, a + d)
+    pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+    return pairs[0], pairs[1]
+
+
+def similar_documents(
+    docs: DataFrame, similarity: float = 0.8, width: int = 5, lanes: int = 16, lane_radius: int = 14, block: int = 4096, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """(doc_id, component_id) of every row, linking texts whose shingle sets are about ``similarity`` alike or more.
+
+    Two texts of Jaccard similarity s differ in a share p = acos(2s / (1 + s)) / pi of SimHash bits: 10 of 64 for 0.8, too many for pigeonhole tables,
+    and too uncertain for one word. So a text has ``lanes`` words (1024 bits). Texts that agree on any 16-bit band
+    of any lane meet there and are compared bit-sliced in that lane; the pairs that connect them are
+    verified on all bits, within one standard deviation above the expected distance. At 0.8, two texts meet in some band
+    with probability 0.99. Texts with equal fingerprints are one from the start.
+    """
+    spark = docs.sparkSession
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    bits = 64 * lanes
+    limit = int(bits * p + (bits * p * (1 - p)) ** 0.5)
+    bound_batches(docs)
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    kind = own.schema["doc_id"].dataType.simpleString()
+
+    def prints_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold()
+        for b in batches:
+            wide = [wide_fingerprint(t.as_py(), width, lanes) for t in b.column(1)]
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(wide).view(np.int64) if wide else [], pa.int64()), lanes).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists], ["doc_id", "wide"])
+
+    prints = materialize(own.mapInArrow(prints_of, f"doc_id {kind}, wide array<long>").withColumn("node", F.xxhash64("wide")), "wide")
+    unique = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("wide").alias("wide")), "unique")
+
+    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold()
+        for b in batches:
+            wide = b.column(1).flatten().to_numpy().reshape(-1, lanes).view(np.uint64)
+            for lane in range(lanes):
+                word = wide[:, lane]
+                for k in range(4):
+                    key = ((word >> np.uint64(16 * k)) & np.uint64(0xFFFF)).astype(np.int64) + ((4 * lane + k) << 16)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), b.column(0), pa.array(word.view(np.int64))], ["k", "node", "fp"])
+
+    dealt = pair_blocks(unique.select("node", "wide").mapInArrow(bands, "k long, node long, fp long"), ["k"], F.col("node"), block)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(n, "k", "i", "j").sortWithinPartitions("k", "i", "j", "fp")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for b in _with_end(batches):
+            table = rest if b is None else pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+            if table is None or not table.num_rows:
+                continue
+            fp, k, chunk, i, j = (table.column(c).to_numpy() for c in ("fp", "k", "chunk", "i", "j"))
+            new = np.concatenate(([True], (k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+            whole = len(fp) if b is None else int(np.flatnonzero(new)[-1])
+            if b is not None and whole < 1 << 16:
+                rest = table
+                continue
+            rest = None if b is None else table.slice(whole)
+            if whole:
+                x, y = linking_pairs(fp[:whole].view(np.uint64), np.cumsum(new)[:whole], (chunk == i)[:whole], (chunk == j)[:whole], lane_radius)
+                node = table.column("node").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y]))], ["a", "b"])
+
+    pairs = dealt.select("fp", "k", "chunk", "i", "j", "node").mapInArrow(link, "a long, b long").distinct()
+    of = unique.select(F.col("node"), "wide")
+    met = pairs.join(of.toDF("a", "wa"), "a").join(of.toDF("b", "wb"), "b")
+    apart = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    parts = connected_components(met.filter(apart <= limit).select("a", "b"))
+    placed = unique.select("node", "least").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    return prints.select("doc_id", "node").join(placed.join(least, "component").select("node", "component_id"), "node").select("doc_id", "component_id")

@@ -100,7 +100,7 @@ def test_simhash_edges(spark):
     got = sorted(((r["doc_id"] or -1, r["fp"] == 0, r["component_id"]) for r in simhash.near_duplicates(frame(spark, rows)).collect()))
     assert got == [(-1, False, 2), (2, False, 2), (2, False, 2), (3, True, 3), (5, True, 3), (7, False, 2), (9, True, 3)]
     assert simhash.near_duplicates(frame(spark, []).limit(0)).count() == 0
-    kept = sorted(r["doc_id"] for r in simhash.keep_one(frame(spark, rows)).collect())
+    kept = sorted(r["doc_id"] for r in simhash.keep_one(frame(spark, rows), simhash.near_duplicates(frame(spark, rows))).collect())
     assert kept == [2, 3]
 
 
@@ -193,3 +193,33 @@ def test_embedding_links(spark, block):
     assert got == {i: (sum(i in p for p in links), want[i]) for i, _, _ in rows}
     assert epsgrid.near_duplicates(df.limit(0)).count() == 0
     assert df.select(F.lit(1)).count() == len(rows)
+
+
+def test_similar_documents(spark):
+    rng = random.Random(8)
+    vocabulary = [words(rng, 1) + str(k) for k in range(3000)]
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+    texts = []
+    for _ in range(40):
+        base = [rng.choice(vocabulary) for _ in range(rng.randrange(80, 300))]
+        texts.append(" ".join(base))
+        for edits in (1, 2, 3, 30):
+            copy = list(base)
+            for _ in range(edits):
+                copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            texts.append(" ".join(copy))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(frame(spark, list(enumerate(texts))), block=16).collect()}
+    sets = [shingles(t) for t in texts]
+    alike = [(len(sets[i] & sets[j]) / len(sets[i] | sets[j]), i, j) for i in range(len(texts)) for j in range(i - i % 5, i)]
+    sure = [(i, j) for s, i, j in alike if s >= 0.85]
+    assert len(sure) > 100 and sum(got[i] == got[j] for i, j in sure) >= 0.98 * len(sure)
+    assert all(got[i] // 5 == i // 5 for i in got)  # never across the originals
+    apart = [(i, j) for s, i, j in alike if s < 0.6]
+    assert sum(got[i] == got[j] for i, j in apart) <= 0.05 * len(apart)  # only by way of texts between them
+    edge = frame(spark, [(1, None), (2, ""), (3, "one two"), (3, "one two"), (None, "ONE two")])
+    assert sorted((r["doc_id"] or 0, r["component_id"]) for r in simhash.similar_documents(edge).collect()) == [(0, 3), (1, 1), (2, 1), (3, 3), (3, 3)]
+    assert simhash.similar_documents(edge.limit(0)).count() == 0
