@@ -292,7 +292,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 1, shard_tokens: int = 1 << 21, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 1, shard_tokens: int = 1 << 21, chunk: int = CHUNK, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Write all documents in ascending doc_id order; (part, nth, path, docs, tokens) of every shard file."""
     spark = docs.sparkSession
     folder = folder or fresh_path(spark, "shards")
@@ -318,7 +318,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, end
             upto = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy().astype(np.int64))
             at = 0
             while at < b.num_rows:
-                to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + CHUNK, "right")))
+                to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + chunk, "right")))
                 coded, where = encoder(tokenizer).encode(b.column(1).slice(at, to - at), end_id)
                 held.append(coded)
                 ends.append(where + size)
