@@ -303,10 +303,12 @@ def wide_fingerprint(text: str | None, width: int, lanes: int) -> np.ndarray:
     return np.packbits(2 * ones > n, bitorder="little").view("<u8")
 
 
-def linking_pairs(fp: np.ndarray, group: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (a, b) of items of a group within the radius that connect the items as all such pairs do.
+def linking_pairs(
+    fp: np.ndarray, group: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int, wide: np.ndarray | None = None, limit: int = 0
+) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a, b) of items of a group within the radius in ``fp`` and, if ``wide`` is given, within ``limit`` in it that connect the items as all such pairs do.
 
-    A pair is passed on only if earlier shifts have not connected its items, so their number follows the items', not their square.
+    A pair is passed on only if earlier pairs have not connected its items, so their number follows the items', not their square.
     """
     starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
     longest = int(np.diff(np.append(starts, len(fp))).max(initial=0))
@@ -320,6 +322,8 @@ def linking_pairs(fp: np.ndarray, group: np.ndarray, left: np.ndarray, right: np
             continue
         close = within(planes, d, radius, np.packbits(same, bitorder="little").view("<u8"))
         a = np.flatnonzero(np.unpackbits(close.view(np.uint8), bitorder="little"))
+        if wide is not None:
+            a = a[np.bitwise_count(wide[a] ^ wide[a + d]).sum(1, dtype=np.int64) <= limit]
         if len(a):
             found.append(np.stack([a, a + d]))
             merge_labels(labels, a, a + d)
@@ -327,6 +331,25 @@ def linking_pairs(fp: np.ndarray, group: np.ndarray, left: np.ndarray, right: np
     return pairs[0], pairs[1]
 
 
+def _whole_groups(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]]:
+    """Tables of whole groups of sorted rows, with the rows' groups and sides."""
+    rest: pa.Table | None = None
+    for b in _with_end(batches):
+        table = rest if b is None else pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+        if table is None or not table.num_rows:
+            continue
+        new = np.ones(table.num_rows, bool)
+        new[1:] = np.any([(v := table.column(c).to_numpy())[1:] != v[:-1] for c in by], axis=0)
+        whole = len(new) if b is None else int(np.flatnonzero(new)[-1])
+        if b is not None and whole < 1 << 16:
+            rest = table
+            continue
+        rest = None if b is None else table.slice(whole)
+        if whole:
+            chunk, i, j = (table.column(c).to_numpy()[:whole] for c in ("chunk", "i", "j"))
+            yield table.slice(0, whole), np.cumsum(new)[:whole], chunk == i, chunk == j
+
+
 def similar_documents(
     docs: DataFrame, similarity: float = 0.8, width: int = 5, lanes: int = 16, lane_radius: int = 14, block: int = 4096, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -334,9 +357,9 @@ def similar_documents(
 
     Two texts of Jaccard similarity s differ in a share p = acos(2s / (1 + s)) / pi of SimHash bits: 10 of 64 for 0.8, too many for pigeonhole tables,
     and too uncertain for one word. So a text has ``lanes`` words (1024 bits). Texts that agree on any 16-bit band
-    of any lane meet there and are compared bit-sliced in that lane; the pairs that connect them are
-    verified on all bits, within one standard deviation above the expected distance. At 0.8, two texts meet in some band
-    with probability 0.99. Texts with equal fingerprints are one from the start.
+    of any lane meet there and are compared bit-sliced in that lane. What is
+    connected there, and nothing else, gets all its words and is compared again: pairs within one standard deviation above the expected distance
+    on all bits connect texts, and no others do. At 0.8, two texts meet in some band with probability 0.99. Texts with equal fingerprints are one from the start.
     """
     spark = docs.sparkSession
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
@@ -370,29 +393,26 @@ def similar_documents(
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(n, "k", "i", "j").sortWithinPartitions("k", "i", "j", "fp")
 
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, group, left, right in _whole_groups(batches, ("k", "i", "j")):
+            x, y = linking_pairs(table.column("fp").to_numpy().view(np.uint64), group, left, right, lane_radius)
+            labels = np.arange(len(group))
+            merge_labels(labels, x, y)
+            met = np.unique(np.concatenate([x, y]))
+            out = table.select(["k", "chunk", "i", "j", "node"]).take(pa.array(met)).combine_chunks()
+            yield from out.append_column("c", pa.array(table.column("node").to_numpy()[labels[met]])).to_batches()
+
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        for b in _with_end(batches):
-            table = rest if b is None else pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
-            if table is None or not table.num_rows:
-                continue
-            fp, k, chunk, i, j = (table.column(c).to_numpy() for c in ("fp", "k", "chunk", "i", "j"))
-            new = np.concatenate(([True], (k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
-            whole = len(fp) if b is None else int(np.flatnonzero(new)[-1])
-            if b is not None and whole < 1 << 16:
-                rest = table
-                continue
-            rest = None if b is None else table.slice(whole)
-            if whole:
-                x, y = linking_pairs(fp[:whole].view(np.uint64), np.cumsum(new)[:whole], (chunk == i)[:whole], (chunk == j)[:whole], lane_radius)
-                node = table.column("node").to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y]))], ["a", "b"])
-
-    pairs = dealt.select("fp", "k", "chunk", "i", "j", "node").mapInArrow(link, "a long, b long").distinct()
-    of = unique.select(F.col("node"), "wide")
-    met = pairs.join(of.toDF("a", "wa"), "a").join(of.toDF("b", "wb"), "b")
-    apart = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    parts = connected_components(met.filter(apart <= limit).select("a", "b"))
+        for table, group, left, right in _whole_groups(batches, ("k", "i", "j", "c")):
+            wide = table.column("wide").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, lanes)
+            fp = wide[np.arange(len(group)), table.column("k").to_numpy() >> 18]  # the lane of the key's band
+            x, y = linking_pairs(fp, group, left, right, lane_radius, wide, limit)
+            node = table.column("node").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y]))], ["a", "b"])
+
+    met = materialize(dealt.select("fp", "k", "chunk", "i", "j", "node").mapInArrow(meet, "k long, chunk int, i int, j int, node long, c long"), "met")
+    met = met.join(unique.select("node", "wide"), "node").repartition(n, "k", "i", "j", "c").sortWithinPartitions("k", "i", "j", "c")
+    parts = connected_components(met.select("k", "chunk", "i", "j", "c", "node", "wide").mapInArrow(link, "a long, b long"))
     placed = unique.select("node", "least").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     return prints.select("doc_id", "node").join(placed.join(least, "component").select("node", "component_id"), "node").select("doc_id", "component_id")

@@ -223,3 +223,42 @@ def test_similar_documents(spark):
     edge = frame(spark, [(1, None), (2, ""), (3, "one two"), (3, "one two"), (None, "ONE two")])
     assert sorted((r["doc_id"] or 0, r["component_id"]) for r in simhash.similar_documents(edge).collect()) == [(0, 3), (1, 1), (2, 1), (3, 3), (3, 3)]
     assert simhash.similar_documents(edge.limit(0)).count() == 0
+
+
+def test_only_verified_pairs_connect():
+    # In the first lane C is close to A and B, but apart in the others; A and B are close in all.
+    a = np.random.default_rng(9).integers(0, 1 << 63, 16, dtype=np.uint64)
+    b = a.copy()
+    b[0] ^= np.uint64(0b11)
+    c = ~a
+    c[0] = a[0] ^ np.uint64(0b1)
+    for wide in (np.stack([a, c, b]), np.stack([c, a, b]), np.stack([a, b, c])):
+        n, both = np.zeros(3, np.int64), np.ones(3, bool)
+        x, y = simhash.linking_pairs(wide[:, 0].copy(), n, both, both, 14, wide, 180)
+        assert [sorted((wide[i].tobytes(), wide[j].tobytes())) for i, j in zip(x, y, strict=True)] == [sorted((a.tobytes(), b.tobytes()))]
+
+
+def test_true_copies_in_a_large_family(spark):
+    rng = np.random.default_rng(10)
+    # 2,000 texts that share 170 of 200 words (0.6 to 0.75 alike), and a near copy of every eighth.
+    base = [f"s{k}" for k in range(200)]
+    texts, copies = [], []
+    for k in range(2000):
+        text = base[:170] + [f"u{k}x{j}" for j in range(30)]
+        texts.append(" ".join(text))
+        if k % 8 == 0:
+            copies.append((len(texts) - 1, len(texts)))
+            texts.append(" ".join([*text[:-1], f"v{k}"]))
+    order = rng.permutation(len(texts))
+    rows = [(int(order[k]), t) for k, t in enumerate(texts)]
+    prints = np.stack([simhash.wide_fingerprint(t, 5, 16) for t in texts])
+    p = float(np.arccos(1.6 / 1.8) / np.pi)
+    limit = int(1024 * p + (1024 * p * (1 - p)) ** 0.5)
+    close = [(i, j) for i in range(len(texts)) for j in i + 1 + np.flatnonzero(np.bitwise_count(prints[i] ^ prints[i + 1 :]).sum(1, dtype=np.int64) <= limit)]
+    want = reach(len(texts), close)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(frame(spark, rows), block=512).collect()}
+    assert len(copies) == 250 and all(got[int(order[i])] == got[int(order[j])] for i, j in copies)
+    by: dict[int, set[int]] = {}
+    for k in range(len(texts)):
+        by.setdefault(got[int(order[k])], set()).add(want[k])
+    assert all(len(v) == 1 for v in by.values())  # nothing is linked beyond verified pairs
