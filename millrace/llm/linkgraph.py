@@ -2,9 +2,9 @@
 
 A rule (host, path, verdict) fits urls of its host and all subdomains whose path starts with its path; the longest wins.
 Hosts are the nodes of a graph whose edges are the links between pages of different hosts. A host's trust seed is the share of its
-pages that rules allow, its distrust seed the share that rules block. Trust flows along links and distrust
-against them (who links to bad hosts is suspect) by personalised PageRank: of each host's score a part ``damping`` goes on
-to its neighbours by link counts and the rest returns to the seeds; a host without such neighbours keeps its own. A host is blocked
+pages that rules allow, its distrust seed the share that rules block. A host keeps its seeds whole; for the share of its pages that no rule
+fits it takes ``damping`` times the mean trust of the hosts that link to it and the mean distrust of the hosts that it links to
+(who links to bad hosts is suspect), both weighted by link counts. So a verdict doesn't depend on how many others link to a host. A host is blocked
 if its distrust exceeds its trust by more than ``threshold``; pages without a rule get their host's verdict.
 
 Scale: pages are reduced to distinct hosts and to link counts per host pair before any join; links of one hot host are added up
@@ -65,11 +65,17 @@ def host_links(pages: DataFrame, html: str = "html") -> DataFrame:
     return links.filter("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(seeds: DataFrame, links: DataFrame, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-4) -> DataFrame:
-    """(host, trust, distrust) from seeds of the same columns."""
+def propagate(seeds: DataFrame, links: DataFrame, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-4, mean: bool = False) -> DataFrame:
+    """(host, trust, distrust) from seeds of the same columns.
+
+    This is personalised PageRank: a host's score is divided over its neighbours, and a host without such neighbours keeps its own. With ``mean``,
+    a host takes its neighbours' mean score instead, for the share of it that has no seed.
+    """
     out = links.groupBy("src").agg(F.sum("n").alias("out"))
     into = links.groupBy("dst").agg(F.sum("n").alias("into"))
-    edges = materialize(links.join(out, "src").join(into, "dst").select("src", "dst", (F.col("n") / F.col("out")).alias("along"), (F.col("n") / F.col("into")).alias("against")), "edges")
+    of_src, of_dst = F.col("n") / F.col("out"), F.col("n") / F.col("into")
+    along, against = (of_dst, of_src) if mean else (of_src, of_dst)
+    edges = materialize(links.join(out, "src").join(into, "dst").select("src", "dst", along.alias("along"), against.alias("against")), "edges")
     nodes = seeds.join(out.select(F.col("src").alias("host"), F.lit(True).alias("has_out")), "host", "left").join(into.select(F.col("dst").alias("host"), F.lit(True).alias("has_in")), "host", "left")
     nodes = materialize(nodes.fillna(False, ["has_out", "has_in"]), "hosts")
     now = nodes.select("host", "trust", "distrust")
@@ -78,10 +84,15 @@ def propagate(seeds: DataFrame, links: DataFrame, damping: float = 0.85, rounds:
         blamed = edges.join(now, edges["dst"] == now["host"]).select(F.col("src").alias("host"), F.lit(0.0).alias("t"), (F.col("distrust") * F.col("against")).alias("d"))
         got = given.union(blamed).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
         old = now.select("host", F.col("trust").alias("t0"), F.col("distrust").alias("d0"))
-        t = F.coalesce("t", F.lit(0.0)) + F.when(F.col("has_out"), 0.0).otherwise(F.col("t0"))
-        d = F.coalesce("d", F.lit(0.0)) + F.when(F.col("has_in"), 0.0).otherwise(F.col("d0"))
+        t, d = F.coalesce("t", F.lit(0.0)), F.coalesce("d", F.lit(0.0))
+        if mean:
+            own, open_ = 1.0, damping * (1 - F.col("trust") - F.col("distrust"))
+        else:
+            own, open_ = 1 - damping, F.lit(damping)
+            t = t + F.when(F.col("has_out"), 0.0).otherwise(F.col("t0"))
+            d = d + F.when(F.col("has_in"), 0.0).otherwise(F.col("d0"))
         new = nodes.join(old, "host").join(got, "host", "left").select(
-            "host", (F.col("trust") * (1 - damping) + t * damping).alias("trust"), (F.col("distrust") * (1 - damping) + d * damping).alias("distrust"), "t0", "d0"
+            "host", (F.col("trust") * own + t * open_).alias("trust"), (F.col("distrust") * own + d * open_).alias("distrust"), "t0", "d0"
         )
         new = materialize(new, "scores")
         moved = new.agg(F.max(F.greatest(F.abs(F.col("trust") - F.col("t0")), F.abs(F.col("distrust") - F.col("d0"))))).first()[0]
@@ -102,6 +113,6 @@ def judge_urls(pages: DataFrame, rules: list[Rule], threshold: float = 0.5, page
     share = [F.avg((F.col("rule_verdict").eqNullSafe(v)).cast("double")).alias(c) for v, c in (("allow", "trust"), ("block", "distrust"))]
     linked = links.select(F.col("src").alias("host")).union(links.select(F.col("dst").alias("host"))).distinct()
     seeds = ruled.filter("host <> ''").groupBy("host").agg(*share).join(linked, "host", "full").fillna(0.0, ["trust", "distrust"])
-    scores = propagate(seeds, links, **options).select("host", (F.col("distrust") - F.col("trust")).alias("host_score"))
+    scores = propagate(seeds, links, **{"mean": True, "rounds": 60} | options).select("host", (F.col("distrust") - F.col("trust")).alias("host_score"))
     verdict = F.coalesce("rule_verdict", F.when(F.col("host_score") > threshold, "block").otherwise("allow"))
     return ruled.join(scores, "host", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.coalesce("host_score", F.lit(0.0)).alias("host_score"))

@@ -134,3 +134,16 @@ def test_pipeline(spark):
         for _, stage in p.STAGES:
             now = stage(spark, now, FOLDER)
         assert now.count() == 0
+
+
+def test_verdicts_do_not_depend_on_degree(spark):
+    a = lambda *hosts: "".join(f'<a href="http://{h}/p">t</a>' for h in hosts)
+    rows = [(k, f"http://bad.com/x/{k}", None) for k in range(9)] + [(9, "http://bad.com/y", None), (10, "http://evil.net/z", None)]
+    rows += [(100 + k, f"http://fan{k}.org/", a("evil.net")) for k in range(40)]  # a blocked hub with many linkers
+    rows += [(200, "http://one.org/", a("bad.com")), (201, "http://fair.org/", a("evil.net", "p.org", "q.org")), (202, "http://p.org/", a("q.org")), (203, "http://q.org/", a("p.org"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    rules = [("bad.com", "/x/", "block"), ("net", "/", "block")]
+    got = {r["page_id"]: r for r in linkgraph.judge_urls(df, rules).collect()}
+    assert got[9]["rule"] is None and got[9]["verdict"] == "block" and got[9]["host_score"] >= 0.9  # although one.org links to it
+    assert all(got[100 + k]["verdict"] == "block" and abs(got[100 + k]["host_score"] - 0.85) < 1e-3 for k in range(40))
+    assert got[200]["verdict"] == "block" and all(got[k]["verdict"] == "allow" for k in (201, 202, 203))
