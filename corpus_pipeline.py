@@ -5,8 +5,8 @@ last return the columns of ``docs``. Every stage works on all rows that its pred
 rows as a table written and read again. :func:`run` writes each stage's rows to the shared folder, so that a
 lost executor never sends a later stage back to the start.
 
-Nulls: a null text is an empty one; it fails the quality rules. Rows with equal doc_id are kept or dropped together by the
-near-duplicate stage, which keeps one row of each group. Empty tables pass through as empty tables.
+Nulls: a null text is an empty one; it fails the quality rules. The near-duplicate stage keeps one row of each group of similar texts,
+whatever their doc_ids. Empty tables pass through as empty tables.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts whose sets of five-word shingles are 0.8 alike or more, by SimHash."""
-    return simhash.keep_one(docs, simhash.similar_documents(docs, SIMILARITY, SHINGLE_WORDS))
+    return simhash.keep_representatives(docs, simhash.similar_documents(docs, SIMILARITY, SHINGLE_WORDS))
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

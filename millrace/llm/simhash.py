@@ -276,6 +276,14 @@ def keep_one(docs: DataFrame, of: DataFrame, doc_id: str = "doc_id") -> DataFram
     return joined.withColumn("_nth", nth).filter("_nth = 1").select(*docs.columns)
 
 
+def keep_representatives(docs: DataFrame, of: DataFrame) -> DataFrame:
+    """One row of each component in ``of`` (as :func:`similar_documents` gives it for ``docs``): that of the least doc_id, nulls last, and the least row hash."""
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
+    kept = of.groupBy("component").agg(least.alias("m")).select(F.col("m.row").alias("_row"))
+    # The join has dealt and sorted the rows by their hash already; equal rows count once.
+    return docs.withColumn("_row", F.xxhash64(*docs.columns)).join(kept, "_row").dropDuplicates(["_row"]).select(*docs.columns)
+
+
 # Similarity of 0.8 and more: wide fingerprints.
 
 
@@ -353,20 +361,21 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Ite
 def similar_documents(
     docs: DataFrame, similarity: float = 0.8, width: int = 5, lanes: int = 16, lane_radius: int = 14, block: int = 4096, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """(doc_id, component_id) of every row, linking texts whose shingle sets are about ``similarity`` alike or more.
+    """(doc_id, row, component, component_id) of every row, linking texts whose shingle sets are about ``similarity`` alike or more.
 
     Two texts of Jaccard similarity s differ in a share p = acos(2s / (1 + s)) / pi of SimHash bits: 10 of 64 for 0.8, too many for pigeonhole tables,
     and too uncertain for one word. So a text has ``lanes`` words (1024 bits). Texts that agree on any 16-bit band
     of any lane meet there and are compared bit-sliced in that lane. What is
     connected there, and nothing else, gets all its words and is compared again: pairs within one standard deviation above the expected distance
     on all bits connect texts, and no others do. At 0.8, two texts meet in some band with probability 0.99. Texts with equal fingerprints are one from the start.
+    ``row`` is the hash of the row's columns, ``component`` a value that only one component has, ``component_id`` its least doc_id (null if none has one).
     """
     spark = docs.sparkSession
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     bits = 64 * lanes
     limit = int(bits * p + (bits * p * (1 - p)) ** 0.5)
     bound_batches(docs)
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(*docs.columns).alias("row"))
     kind = own.schema["doc_id"].dataType.simpleString()
 
     def prints_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,9 +383,9 @@ def similar_documents(
         for b in batches:
             wide = [wide_fingerprint(t.as_py(), width, lanes) for t in b.column(1)]
             lists = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(wide).view(np.int64) if wide else [], pa.int64()), lanes).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), lists], ["doc_id", "wide"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), lists], ["doc_id", "row", "wide"])
 
-    prints = materialize(own.mapInArrow(prints_of, f"doc_id {kind}, wide array<long>").withColumn("node", F.xxhash64("wide")), "wide")
+    prints = materialize(own.mapInArrow(prints_of, f"doc_id {kind}, row long, wide array<long>").withColumn("node", F.xxhash64("wide")), "wide")
     unique = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("wide").alias("wide")), "unique")
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -415,4 +424,4 @@ def similar_documents(
     parts = connected_components(met.select("k", "chunk", "i", "j", "c", "node", "wide").mapInArrow(link, "a long, b long"))
     placed = unique.select("node", "least").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    return prints.select("doc_id", "node").join(placed.join(least, "component").select("node", "component_id"), "node").select("doc_id", "component_id")
+    return prints.select("doc_id", "row", "node").join(placed.join(least, "component").select("node", "component", "component_id"), "node").drop("node")
