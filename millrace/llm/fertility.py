@@ -5,12 +5,14 @@ Three measures of the whole text are compared with bands of the text's language
 language is null): characters per token, the share of byte-fallback tokens, and token entropy in bits (among texts of like length).
 A band is the middle half of the language's texts, widened
 by ``reach`` times its own width below (``reach_up`` above: long and varied tokens are rarely a fault; above and not below for bytes) and by the
-``sampling`` error of a text of that many tokens; quartiles are taken over all texts that pass the base rules. A group with under ``least_texts`` such texts has no band and rejects nothing.
+``sampling`` error of a text of that many tokens; quartiles are taken over all texts that pass the base rules. Where a group has under ``least_texts`` such
+texts, its texts are held against the next wider one that has them: neighbouring lengths, then the texts of their script, then all texts, whatever their
+number; a smaller one's reach grows with its sampling error. A group of ``few_texts`` and more speaks for itself besides: what its own band, widened so, lets pass is kept.
 
 Base rules: under ``least_words`` words, or over a fifth of the words in repeated five-word windows.
 
 Scale: one scan in Arrow batches, one text at a time in memory; quartiles are partial aggregates per group (a language with
-a third of all texts is no larger than any other after them), joined back to narrow rows.
+a third of all texts is no larger than any other after them; entropies are counted in steps of 1/256 bit first), joined back to narrow rows.
 
 Edge cases: null and empty texts have no words and fail; a text without tokens has null measures; a null language is judged by
 script; repeated rows are judged alike; an empty table gives an empty result; only the named columns are read.
@@ -82,6 +84,8 @@ def repeated_lines(text: str) -> int:
 
 def script(text: str) -> str:
     """The script of most letters."""
+    if text.isascii():
+        return "latin" if any(map(str.isalpha, text)) else "none"
     points = np.frombuffer("".join(filter(str.isalpha, text)).encode("utf-32-le"), "<u4")
     if not len(points):
         return "none"
@@ -111,7 +115,7 @@ SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 
 
 def measures(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """doc_id, text_hash (of text and language), band (language or script) and the measures of every row."""
+    """doc_id, text_hash (of text and language), band (language or script), script and the measures of every row."""
     bound_batches(docs)
     own = docs.select(F.col(text).cast("string").alias("text"), F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"))
     own = own.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit("")), "lang"))
@@ -121,18 +125,19 @@ def measures(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "te
         known = pieces(path)
         hold(known)
         for b in batches:
-            rows, bands = [], []
+            rows, bands, scripts = [], [], []
             for value, language in zip(b.column(0), b.column(2).to_pylist(), strict=True):
                 if len(known) > REMEMBERED:
                     known.clear()
                 content = value.as_py() or ""
                 rows.append(measure(content, known))
-                bands.append(f"lang:{language}" if language is not None else f"script:{script(content)}")
+                scripts.append(script(content))
+                bands.append(f"lang:{language}" if language is not None else f"script:{scripts[-1]}")
             columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
             types = [pa.int64()] * 6 + [pa.float64()] * 3
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(3), pa.array(bands, pa.string()), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["doc_id", "text_hash", "band", *names])
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(3), pa.array(bands, pa.string()), pa.array(scripts, pa.string()), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["doc_id", "text_hash", "band", "script", *names])
 
-    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, text_hash long, band string, {SCHEMA}")
+    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, text_hash long, band string, script string, {SCHEMA}")
 
 
 def _small(table: DataFrame, most: int) -> DataFrame:
@@ -140,29 +145,58 @@ def _small(table: DataFrame, most: int) -> DataFrame:
     return F.broadcast(table) if table.limit(most + 1).count() <= most else table
 
 
-def judge(docs: DataFrame, path: str, reach: float = 3.0, reach_up: float = 15.0, sampling: float = 6.0, least_texts: int = 100, least_words: int = 10, repeat_percent: int = 20, most_bands: int = 10_000, **columns: str) -> DataFrame:
+def judge(docs: DataFrame, path: str, reach: float = 3.0, reach_up: float = 15.0, sampling: float = 6.0, least_texts: int = 100, few_texts: int = 8, least_words: int = 10, repeat_percent: int = 20, most_bands: int = 10_000, **columns: str) -> DataFrame:
     """The measures of every row, base_failed and kept."""
     failed = (F.col("n_words") < least_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * repeat_percent)
     m = materialize(measures(docs, path, **columns).withColumn("base_failed", failed), "fertility")
     # Token entropy grows with a text's length: it is held against the middle of texts of like length (by powers of two).
     m = m.withColumn("length", F.floor(F.log2(F.greatest(F.col("n_tokens"), F.lit(1)))).cast("int"))
     passed = m.filter(~F.col("base_failed") & (F.col("n_tokens") > 0))
+    levels = [F.col("band"), F.concat(F.lit("written:"), "script"), F.lit("all")]
+    quarters = [0.25, 0.5, 0.75]
+    wider = F.greatest(F.lit(1.0), F.sqrt(least_texts / F.col("n")))
+
+    def reached(q: str, least: float) -> tuple[Column, Column]:
+        width = F.greatest(F.col(q)[2] - F.col(q)[0], F.lit(least)) * wider
+        return F.col(q)[0] - width * reach, F.col(q)[2] + width * reach_up
+
+    def limits(cells: DataFrame, groups: DataFrame, by: list[str], wanted: list[Column], **bounds: Column) -> DataFrame:
+        """The cells with the bounds of the first wanted group that has enough texts (or the last), or the cell's own if those are looser."""
+        met = cells.select("*", F.posexplode(F.array(*wanted)).alias("at", "g")).select(*cells.columns, "at", "g.*").join(groups, by)
+        found = F.struct(*[c.alias(k) for k, c in bounds.items()])
+        first = F.max_by(found, F.when(F.col("n") >= least_texts, 1000 - F.col("at")).otherwise(F.col("at"))).alias("first")
+        own = F.max_by(found, F.when((F.col("level") == F.col("band")) & (F.col("n") >= few_texts), -F.col("at"))).alias("own")
+        looser = [(F.least if k.startswith("lo") else F.greatest)(f"first.{k}", f"own.{k}").alias(k) for k in bounds]
+        return _small(materialize(met.groupBy(*cells.columns).agg(first, own).select(*cells.columns, *looser), "bands"), most_bands)
 
     def quartiles(column: str) -> Column:
-        return F.percentile_approx(column, [0.25, 0.5, 0.75], 2000)
-
-    bands = passed.groupBy("band").agg(F.count(F.lit(1)).alias("texts"), quartiles("chars_per_token").alias("c"), quartiles("byte_share").alias("b"))
-    lengths = passed.groupBy("band", "length").agg(F.count(F.lit(1)).alias("alike"), quartiles("entropy").alias("e"))
+        return F.percentile_approx(column, quarters, 2000)
+
+    groups = passed.select(F.explode(F.array(*levels)).alias("level"), "chars_per_token", "byte_share").groupBy("level")
+    groups = groups.agg(F.count(F.lit(1)).alias("n"), quartiles("chars_per_token").alias("c"), quartiles("byte_share").alias("b"))
+    cells = materialize(m.filter("n_tokens > 0").select("band", "script", "length").distinct(), "cells")
+    low, high = reached("c", 0.05)
+    most = F.col("b")[2] + F.greatest(F.col("b")[2] - F.col("b")[0], F.lit(0.01)) * reach * wider
+    bands = limits(cells.select("band", "script").distinct(), groups, ["level"], [F.struct(x.alias("level")) for x in levels], low_c=low, high_c=high, high_b=most)
+
+    # Groups of lengths: one power of two (0), with two on either side (2), all (64).
+    spots = passed.groupBy("band", "script", "length", (F.round(F.col("entropy") * 256) / 256).alias("entropy")).agg(F.count(F.lit(1)).alias("w"))
+    around = F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda k: F.struct(F.lit(2).alias("span"), (F.col("length") + k).alias("center")))
+    one, all_ = F.struct(F.lit(0).alias("span"), F.col("length").alias("center")), F.struct(F.lit(64).alias("span"), F.lit(0).alias("center"))
+    spots = materialize(spots, "spots").withColumn("level", F.explode(F.array(*levels))).withColumn("s", F.explode(F.concat(F.array(one, all_), around)))
+    alike = spots.groupBy("level", "s.span", "s.center").agg(F.sum("w").alias("n"), F.percentile("entropy", quarters, F.col("w")).alias("e"), (F.sum(F.col("w") * F.col("length")) / F.sum("w")).alias("mean"))
+    near = [F.struct(x.alias("level"), F.lit(span).alias("span"), (F.col("length") if span < 64 else F.lit(0)).alias("center")) for spans in ((0, 2), (64,)) for x in levels for span in spans]
+    low, high = reached("e", 0.1)
+    # Twice the tokens have up to one bit more.
+    low, high = low - F.greatest(F.col("mean") - F.col("length"), F.lit(0.0)), high + F.greatest(F.col("length") - F.col("mean"), F.lit(0.0))
+    lengths = limits(cells, alike, ["level", "span", "center"], near, low_e=low, high_e=high)
 
     noise = F.lit(sampling) / F.sqrt(F.greatest(F.col("n_tokens"), F.lit(1)))
 
-    def inside(column: str, q: str, least: float) -> Column:
-        width = F.greatest(F.col(q)[2] - F.col(q)[0], F.lit(least))
-        return (F.col(column) >= F.col(q)[0] - width * reach - noise) & (F.col(column) <= F.col(q)[2] + width * reach_up + noise)
+    def inside(column: str, k: str) -> Column:
+        return (F.col(column) >= F.col(f"low_{k}") - noise) & (F.col(column) <= F.col(f"high_{k}") + noise)
 
-    bytes_ok = F.col("byte_share") <= F.col("b")[2] + F.greatest(F.col("b")[2] - F.col("b")[0], F.lit(0.01)) * reach + noise
-    within = F.when(F.col("texts") >= least_texts, inside("chars_per_token", "c", 0.05) & bytes_ok).otherwise(True)
-    steady = F.when(F.col("alike") >= least_texts, inside("entropy", "e", 0.1)).otherwise(True)
-    verdict = ~F.col("base_failed") & F.coalesce(within & steady, F.lit(True))
-    bands, lengths = (_small(materialize(t, "bands"), most_bands) for t in (bands, lengths))
-    return m.join(bands, "band", "left").join(lengths, ["band", "length"], "left").withColumn("kept", verdict).drop("texts", "alike", "b", "c", "e", "length")
+    within = inside("chars_per_token", "c") & (F.col("byte_share") <= F.col("high_b") + noise) & inside("entropy", "e")
+    verdict = ~F.col("base_failed") & F.coalesce(within, F.lit(True))
+    judged = m.join(bands, ["band", "script"], "left").join(lengths, ["band", "script", "length"], "left").withColumn("kept", verdict)
+    return judged.select("band", *(c for c in m.columns if c not in ("band", "script", "length")), "kept")

@@ -142,6 +142,21 @@ def test_fertility_verdicts(spark):
     assert fertility.judge(df.limit(0), PIECE).count() == 0
 
 
+def test_every_text_has_a_band(spark):
+    rng = random.Random(11)
+    vocab = ["river", "stone", "early", "morning", "people", "walk", "under", "green", "hill", "with"]
+    other = ["река", "камень", "утро", "люди", "холм", "зелёный", "рано", "идти", "дом", "лес"]
+    text = lambda v: " ".join(rng.choice(v) + rng.choice(["", "", ",", "."]) for _ in range(rng.randrange(60, 200)))
+    junk = lambda: " ".join("".join(rng.choice("qxzjkvw#~^0123456789") for _ in range(12)) for _ in range(150))
+    clean = [(k, text(vocab), "en") for k in range(150)] + [(200 + k, text(other), "ru") for k in range(12)] + [(300, text(vocab), "yy")]
+    odd = [(400, junk(), "zz"), (401, junk(), None), (402, junk(), "ru")]
+    schema = "doc_id long, text string, lang string"
+    for rows in (clean + odd, clean[:20] + odd[:1]):  # also where no group has 100 texts
+        got = {r["doc_id"]: r["kept"] for r in fertility.judge(spark.createDataFrame(rows, schema), PIECE).collect()}
+        assert len(got) == len(rows) and sum(not got[k] for k in got if k < 400) <= 2
+        assert not any(got[k] for k in got if k >= 400)
+
+
 def test_language_identification(spark):
     rng = random.Random(6)
     sounds = {"aa": "ka ta mi no ra".split(), "bb": "sch ung ber ein öst".split(), "cc": "çon éau ment ille à".split()}
