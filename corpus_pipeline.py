@@ -20,6 +20,8 @@ from millrace.llm.queries import tokenizer_path
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
+#: Bytes of a repeated string: fifty words of a European language take more in 99 texts of 100.
+REPEATED_BYTES = 200
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +39,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without 400-byte strings that occur elsewhere; documents that lose everything go."""
-    left = suffix_dedup.strip_repeats(docs)
+    """Texts without strings of ``REPEATED_BYTES`` that occur elsewhere; documents that lose everything go."""
+    left = suffix_dedup.strip_repeats(docs, least=REPEATED_BYTES)
     left = left.filter(F.length(F.coalesce("text", F.lit(""))) > 0)
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
 

@@ -17,7 +17,7 @@ l bytes left and r bytes right of it with l + r >= least.
    split can only change where an extension ends, so only those are tried.
 4. The ranges found are joined back to the anchors and united for each document.
 
-Groups of more than ``block`` different contexts are divided, exactly, before step 3. With ``STEP`` = d, two contexts with
+Groups of more than ``block`` different contexts are divided, exactly, before step 3. With d = :func:`step_of` (``least``, ``gram``), two contexts with
 l + r >= least agree, for some k, on the window from d * k bytes left of the anchor to least - d - d * k bytes right of it. So each context goes
 to a group for each k by that window's 128-bit hash, with only the d bytes on each side of the window as its new context, and d as
 the new least length; equal new contexts are one again. A divided group above ``block`` is decided by the hashes of all its windows
@@ -43,7 +43,6 @@ from millrace.llm.common import bound_batches, drop_materialized, hold, material
 
 LEAST = 400
 GRAM = 64
-STEP = 84
 #: Bytes hashed at a time; positions in a segment take as many low bits of a window's key.
 SEGMENT_BITS = 20
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -51,6 +50,11 @@ SECOND = 0xD6E8FEB86659FD93 | 1
 U = np.uint64
 
 
+def step_of(least: int, gram: int) -> int:
+    """How far apart the windows lie by which large groups are divided: a quarter of what an anchor can move in ``least`` bytes."""
+    return max(1, (least - gram) // 4)
+
+
 @lru_cache(maxsize=4)
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse, modulo 2**64."""
@@ -423,8 +427,10 @@ def divide_groups(contexts: DataFrame, least: int, step: int, block: int) -> Dat
 def repeated_ranges(docs: DataFrame, text: str = "text", least: int = LEAST, gram: int = GRAM, block: int = 4096) -> DataFrame:
     """(rid, size, ranges): for texts that hold repeated strings, the byte ranges that these cover.
 
-    A text is known by ``rid``, its XXH64, and ``size``, its number of bytes. Ranges may overlap.
+    A text is known by ``rid``, its XXH64, and ``size``, its number of bytes. Ranges may overlap. ``gram`` is at most ``least``.
     """
+    if not 0 < gram <= least:
+        raise ValueError("gram must be between 1 and least")
     bound_batches(docs)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     texts = docs.select(body.alias("text")).select("text", F.xxhash64("text").alias("rid"), F.octet_length("text").cast("long").alias("size"))
@@ -474,7 +480,7 @@ def repeated_ranges(docs: DataFrame, text: str = "text", least: int = LEAST, gra
 
     found = compare_groups(contexts_of(kept.filter(F.col("kinds").between(2, block))), least)
     if kept.filter(F.col("kinds") > block).limit(1).count():
-        found = found.union(divide_groups(contexts_of(kept.filter(F.col("kinds") > block)), least, STEP, block))
+        found = found.union(divide_groups(contexts_of(kept.filter(F.col("kinds") > block)), least, step_of(least, gram), block))
     found = found.select("kh", "ck", "l", "r")
     equal = kept.filter("n > 1").select("kh", "ck", F.lit(least - gram).cast("long").alias("l"), F.lit(least).cast("long").alias("r"))
     extents = materialize(found.union(equal).groupBy("kh", "ck").agg(F.max("l").alias("l"), F.max("r").alias("r")), "extents")
