@@ -4,15 +4,17 @@ BPE tokenisations of a string's prefixes form a tree: the tokenisation of n byte
 followed by its last token t, the one vocabulary suffix that does not merge with the token before it. A
 later token starts less than ``lookahead`` bytes back, where ``lookahead`` is the longest string that
 the merge list builds; so a token is stable once the paths of the last ``lookahead`` prefixes all run
-through it. The transducer keeps those prefixes only, emits stable tokens and forgets them: memory
-doesn't grow with the input. A piece that fits the lookahead window is merged in the window directly, and the results for
-frequent pieces are remembered in a table of bounded size.
+through it, or once its piece ends. The transducer keeps those prefixes only, emits stable tokens and forgets them: memory
+doesn't grow with the input. Every piece passes it; what it gave for short pieces is remembered in a table of bounded size.
 
 The decoder turns token bytes into text by an incremental UTF-8 state machine: a character cut by
 a token's end waits for the next one; ill-formed bytes become U+FFFD.
 
 Texts are split as the byte-level pattern does. A space after a non-space always starts a new piece there, so
-long texts pass in windows. Edge cases: null and empty texts have no tokens; a special token's string
+long texts pass in windows; where no such space comes, piece by piece, and long pieces in parts. Characters that versions of Unicode class
+differently are split by the library's own splitter.
+
+Edge cases: null and empty texts have no tokens; a special token's string
 in the text is that token; ties don't arise (merges have ranks); extra columns are not read.
 """
 
@@ -22,6 +24,7 @@ import codecs
 import hashlib
 import json
 import re
+import unicodedata
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -40,8 +43,13 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_
 #: A white-space character before a space: there, splitting at spaces would cut a piece.
 RUN = regex.compile(r"\p{White_Space} ")
 CUT = regex.compile(r"(?<=\P{White_Space}) ")
+#: A cut whatever the version of Unicode.
+SURE_CUT = re.compile(r"(?<=[0-9A-Za-z]) ")
 WINDOW = 1 << 16
 REMEMBERED = 250_000
+#: Bytes of a long piece that are pushed at a time.
+PART = 4096
+NONE, UNKNOWN = -1, -2
 
 
 def byte_letters() -> dict[str, int]:
@@ -51,69 +59,106 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
 
 
+def _class_now(c: str) -> str:
+    return next((name for name, p in CLASSES.items() if p.match(c)), "other")
+
+
+def _class_then(c: str) -> str:
+    kind = unicodedata.ucd_3_2_0.category(c)
+    return "space" if kind[0] == "Z" or c in "\t\n\v\f\r\x85" else {"L": "letter", "N": "number"}.get(kind[0], "other")
+
+
+CLASSES = {"space": regex.compile(r"\p{White_Space}"), "letter": regex.compile(r"\p{L}"), "number": regex.compile(r"\p{N}")}
+
+
+class Classes(dict):
+    """Whether a character had the same class in every version of Unicode from 3.2 on."""
+
+    def __missing__(self, c: str) -> bool:
+        self[c] = same = _class_now(c) == _class_then(c)
+        return same
+
+
 class Transducer:
-    """Tokens of one piece whose bytes come bit by bit."""
+    """Tokens of one piece whose bytes come part by part."""
 
     def __init__(self, bpe: ByteBPE) -> None:
-        self.bpe, self.tail = bpe, b""
-        self.at = 0  # bytes read
-        self.last: dict[int, int] = {}  # prefix length: its last token
-        self.done = 0  # bytes whose tokens are out
-        self.before: int | None = None  # the token that ends there
-
-    def push(self, data: bytes) -> Iterator[int]:
-        bpe, size = self.bpe, self.bpe.size
-        for byte in data:
-            self.tail = (self.tail + bytes((byte,)))[-bpe.lookahead :]
-            self.at += 1
-            node, depth, ends = bpe.suffixes, 0, []
-            for back in reversed(self.tail):
-                node = node.get(back)
-                depth += 1
-                if node is None or self.at - depth < self.done:
-                    break
-                if (token := node.get(-1)) is not None:
-                    ends.append((depth, token))
-            for depth, token in reversed(ends):
-                start = self.at - depth
-                before = self.before if start == self.done else self.last.get(start, -1)
-                if before is None or (before >= 0 and bpe.apart(before, token)):
-                    self.last[self.at] = token
+        self.bpe = bpe
+        self.held = b""  # the bytes after the last stable token
+        #: The last token of each of their prefixes (UNKNOWN: not asked for yet, NONE: none ends there); first, the stable token before them (None: the piece begins).
+        self.last: list[int | None] = [None]
+        self.checked = 0
+
+    def push(self, data: bytes) -> list[int]:
+        """Take more bytes; the tokens that have become stable."""
+        self.bpe.pushed += len(data)
+        self.held += data
+        self.last += [UNKNOWN] * len(data)
+        longest, out = self.bpe.lookahead, []
+        while len(self.held) >= self.checked + 2 * longest:
+            self.checked += longest
+            stable = self._stable(self.checked + longest)
+            if stable:
+                out += [token for token, _ in stable]
+                cut = sum(n for _, n in stable)
+                self.held, self.last = self.held[cut:], [out[-1], *self.last[cut + 1 :]]
+                self.checked -= cut
+        return out
+
+    def _last(self, n: int) -> int:
+        """The last token of the first n held bytes: of the tokens that they end with, the one that can follow the last token before it."""
+        bpe, held, last = self.bpe, self.held, self.last
+        token_of, pairs = bpe.whole.get, bpe.pairs.get
+        start = n - bpe.reach.get(held[n - 4 : n], 3) if n > 3 else 0
+        for start in range(start if start > 0 else 0, n):
+            token = token_of(held[start:n])
+            if token is not None:
+                before = last[start]
+                if before == UNKNOWN:
+                    before = self._last(start)
+                if before is None:
                     break
-            if self.at % bpe.lookahead == 0:
-                yield from self._stable(size)
+                if before >= 0:
+                    apart = pairs((before, token))
+                    if bpe.apart(before, token) if apart is None else apart:
+                        break
+        else:
+            token = NONE
+        last[n] = token
+        return token
 
-    def _path(self, end: int, size: list[int]) -> list[int]:
+    def _path(self, n: int) -> list[tuple[int, int]]:
+        """(token, bytes) of the first n held bytes."""
         out = []
-        while end > self.done:
-            out.append(end)
-            end -= size[self.last[end]]
+        while n:
+            token = self.last[n]
+            out.append((token, self.bpe.size[token]))
+            n -= out[-1][1]
         return out[::-1]
 
-    def _stable(self, size: list[int]) -> Iterator[int]:
-        live = [n for n in range(max(self.done, self.at - self.bpe.lookahead) + 1, self.at + 1) if n in self.last]
-        if self.at - self.bpe.lookahead < self.done:
-            return  # the start itself is still live
-        shared = self._path(live[0], size)
+    def _stable(self, at: int) -> list[tuple[int, int]]:
+        """The tokens that the paths of all prefixes share on which later tokens can stand."""
+        upto = range(at - self.bpe.lookahead + 1, at + 1)
+        live = [n for n in upto if (self._last(n) if self.last[n] == UNKNOWN else self.last[n]) >= 0]
+        shared = self._path(live[0])
         for n in live[1:]:
-            path = self._path(n, size)
+            path = self._path(n)
             k = 0
             while k < min(len(path), len(shared)) and path[k] == shared[k]:
                 k += 1
             shared = shared[:k]
-        for n in shared:
-            yield self.last[n]
-        if shared:
-            self.before = self.last[shared[-1]]
-            self._forget(shared[-1])
-
-    def _forget(self, upto: int) -> None:
-        """Bytes up to ``upto`` are out; what follows must not merge with the token that ends there."""
-        self.done = upto
-        self.last = {n: t for n, t in self.last.items() if n > upto}
+        return shared
 
     def end(self) -> list[int]:
-        return [self.last[n] for n in self._path(self.at, self.bpe.size)]
+        """The tokens of what is left when the piece ends."""
+        n, out = len(self.held), []
+        if n and self.last[n] == UNKNOWN:
+            self._last(n)
+        while n:
+            token = self.last[n]
+            out.append(token)
+            n -= self.bpe.size[token]
+        return out[::-1]
 
 
 class ByteBPE:
@@ -123,7 +168,10 @@ class ByteBPE:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters, vocab = byte_letters(), spec["model"]["vocab"]
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"] if t["special"]}
+        for t in spec["added_tokens"]:
+            if not t["special"] or t["lstrip"] or t["rstrip"] or t["single_word"]:
+                raise ValueError(f"added token {t['content']!r} is of a kind that is not supported")
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         n = 1 + max([*vocab.values(), *self.special.values()])
         self.bytes: list[bytes] = [b""] * n
         for token, i in vocab.items():
@@ -136,67 +184,77 @@ class ByteBPE:
             if len(token) == 1:
                 self.of_byte[letters[token]] = i
         pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
-        merges = [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs]
-        self.rank_of = {(a, b): rank for rank, (a, b, _) in enumerate(merges)}
-        self.made = [made for _, _, made in merges]
+        self.rank_of: dict[tuple[int, int], int] = {}
+        #: What each token was merged from, and the merge's rank; -1 for single bytes.
+        self.left, self.right, self.rank = [-1] * n, [-1] * n, [-1] * n
+        #: Whether token b can follow token a, as far as it was asked.
+        self.pairs: dict[tuple[int, int], bool] = {}
+        #: Tokens that BPE gives for their own bytes.
+        self.whole = {bytes((b,)): i for b, i in enumerate(self.of_byte)}
+        for rank, (a, b) in enumerate(pairs):
+            one, two, made = vocab[a], vocab[b], vocab[a + b]
+            self.rank_of[one, two] = rank
+            if self.rank[made] < 0:
+                self.left[made], self.right[made], self.rank[made] = one, two, rank
+        for made in sorted(vocab.values(), key=self.rank.__getitem__):  # parts come before what is merged from them
+            if self.rank[made] >= 0 and self._parts_stand(made):
+                self.whole[self.bytes[made]] = made
+        #: The longest token that ends with four given bytes.
+        self.reach: dict[bytes, int] = {}
+        for token in sorted(self.whole, key=len):
+            self.reach[token[-4:]] = len(token)
         #: No token is longer than the longest string that the merge list builds.
-        self.lookahead = max([1, *(self.size[made] for made in self.made)])
+        self.lookahead = max(map(len, self.whole))
         self.digits = [str(i) for i in range(n)]
         self.remembered = _Pieces(self)
-        self._apart: dict[tuple[int, int], bool] = {}
-        self._suffixes: dict | None = None
-
-    @property
-    def suffixes(self) -> dict:
-        """A trie of all tokens that BPE gives for their own bytes, read from their ends."""
-        if self._suffixes is None:
-            self._suffixes = root = {}
-            for i in {*self.of_byte, *self.made}:
-                if self.merged(self.bytes[i]) == [i]:
-                    node = root
-                    for b in reversed(self.bytes[i]):
-                        node = node.setdefault(b, {})
-                    node[-1] = i
-        return self._suffixes
-
-    def merged(self, piece: bytes) -> list[int]:
-        """The merge list applied to a short piece as a whole."""
-        rank_of, made, none = self.rank_of.get, self.made, len(self.made)
-        ids = [self.of_byte[b] for b in piece]
-        ranks = [rank_of(p, none) for p in zip(ids, ids[1:])]
-        while ranks:
-            rank = min(ranks)
-            if rank == none:
-                break
-            k = ranks.index(rank)
-            ids[k] = new = made[rank]
-            del ids[k + 1], ranks[k]
-            if k < len(ranks):
-                ranks[k] = rank_of((new, ids[k + 1]), none)
-            if k:
-                ranks[k - 1] = rank_of((ids[k - 1], new), none)
-        return ids
+        self.sure = Classes()
+        #: Bytes that have passed the transducer.
+        self.pushed = 0
+        self._path, self._splitter = path, None
+
+    def _parts_stand(self, token: int) -> bool:
+        """Whether BPE gives a token for its own bytes: both parts do, and nothing merges across them before they do."""
+        one, two = self.left[token], self.right[token]
+        return self.bytes[one] in self.whole and self.bytes[two] in self.whole and self._stay_apart(one, two, self.rank[token])
+
+    def _stay_apart(self, a: int, b: int, limit: float) -> bool:
+        """Whether no merge of a rank below ``limit`` joins tokens a and b, or what they were before, across their border.
+
+        What stood at the border is found by undoing the later of the two tokens' merges, again and again. Of two equal merges the left
+        one comes first.
+        """
+        rank, rank_of = self.rank, self.rank_of.get
+        while True:
+            across = rank_of((a, b))
+            if across is not None and across < limit:
+                return False
+            if rank[a] > rank[b]:
+                limit, a = min(limit, rank[a]), self.right[a]
+            elif rank[b] >= 0:
+                limit, b = min(limit, rank[b] + 1), self.left[b]
+            else:
+                return True
 
     def apart(self, a: int, b: int) -> bool:
         """Whether token b can follow token a: their bytes together give just these two."""
-        known = self._apart.get((a, b))
-        if known is None:
-            if len(self._apart) > REMEMBERED:
-                self._apart.clear()
-            known = self._apart[a, b] = self.merged(self.bytes[a] + self.bytes[b]) == [a, b]
+        if len(self.pairs) > REMEMBERED:
+            self.pairs.clear()
+        known = self.pairs[a, b] = self._stay_apart(a, b, float("inf"))
         return known
 
     def piece(self, data: bytes) -> list[int]:
         """The tokens of one piece of the pattern."""
-        if len(data) <= self.lookahead:
-            return self.merged(data)
+        if data in self.whole:  # the transducer's longest candidate, and nothing stands before it
+            self.pushed += len(data)
+            return [self.whole[data]]
         stream = Transducer(self)
-        return [*stream.push(data), *stream.end()]
+        return stream.push(data) + stream.end()
 
     def encode(self, text: str | None) -> Iterator[list[int]]:
         """The text's tokens, a window at a time."""
         if not text:
             return
+        sure = text.isascii() or all(map(self.sure.__getitem__, set(text)))
         parts = [text]
         if any(s in text for s in self.special):
             parts = re.split("(" + "|".join(map(re.escape, self.special)) + ")", text)
@@ -206,11 +264,41 @@ class ByteBPE:
                 continue
             at = 0
             while at < len(part):
-                cut = CUT.search(part, at + WINDOW) if len(part) - at > WINDOW else None
+                cut = None
+                if len(part) - at > WINDOW:
+                    cut = CUT.search(part, at + WINDOW, at + 2 * WINDOW) if sure else SURE_CUT.search(part, at + WINDOW)
+                if sure and cut is None and len(part) - at > 2 * WINDOW:
+                    for ids, at in self._pieces(part, at):  # noqa: B007, PLW2901
+                        yield ids
+                    continue
                 to = cut.start() if cut else len(part)
-                yield self._window(part[at:to])
+                yield self._window(part[at:to]) if sure else self._split(part[at:to])
                 at = to
 
+    def _pieces(self, text: str, at: int) -> Iterator[tuple[list[int], int]]:
+        """Tokens from ``at`` on, piece by piece for about a window, and where they end."""
+        upto = at + WINDOW
+        for m in PIECES.finditer(text, at):
+            lo, hi = m.span()
+            if hi - lo <= PART:
+                yield list(self.remembered[m.group()]), hi
+            else:
+                stream = Transducer(self)
+                for k in range(lo, hi, PART):
+                    yield stream.push(text[k : min(k + PART, hi)].encode()), hi
+                yield stream.end(), hi
+            if hi >= upto:
+                return
+
+    def _split(self, text: str) -> list[int]:
+        """The tokens of a window that holds characters of doubtful class: split by the library."""
+        if self._splitter is None:
+            from tokenizers import Tokenizer
+
+            self._splitter = Tokenizer.from_file(self._path).pre_tokenizer
+        spans = [span for _, span in self._splitter.pre_tokenize_str(text)]
+        return list(chain.from_iterable(self.piece(text[lo:hi].encode()) for lo, hi in spans))
+
     def _window(self, text: str) -> list[int]:
         if len(self.remembered) > REMEMBERED:
             self.remembered.clear()
@@ -268,7 +356,7 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", carry: tuple[st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        hold(bpe.remembered, bpe._apart)
+        hold(bpe.remembered, bpe.pairs)
         for b in batches:
             at, n = 0, b.num_rows
             while at < n:  # a batch of long texts goes on in parts
@@ -297,7 +385,7 @@ def decode_ids(encoded: DataFrame, path: str, ids: str = "ids", carry: tuple[str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        hold(bpe.remembered, bpe._apart)
+        hold(bpe.remembered, bpe.pairs)
         for b in batches:
             texts = []
             for row in b.column(0):
@@ -319,7 +407,7 @@ def digests(docs: DataFrame, path: str, text: str = "text", carry: tuple[str, ..
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        hold(bpe.remembered, bpe._apart)
+        hold(bpe.remembered, bpe.pairs)
         digit = bpe.digits.__getitem__
         for b in batches:
             counts, ids_sums, text_sums = [], [], []

@@ -42,6 +42,33 @@ def test_transducer_on_every_piece(text):
         assert len(stream.last) <= 3 * model.lookahead
 
 
+def test_every_character_is_split_as_the_library_does():
+    model = bpe.load(BYTE)
+    points = [c for c in chain(range(0x10000), range(0x10000, 0x110000, 17)) if not 0xD800 <= c < 0xE000]
+    for k in range(0, len(points), 32):
+        text = "".join(f"ab {chr(c)}9{chr(c)}a {chr(c)} {chr(c)}{chr(c)}\n{chr(c)}  x" for c in points[k : k + 32])
+        assert [*chain.from_iterable(model.encode(text))] == LIBRARY.encode(text, add_special_tokens=False).ids, hex(points[k])
+
+
+def test_all_bytes_pass_the_transducer():
+    model, rng = bpe.ByteBPE(BYTE), random.Random(5)
+    pieces = {" " + "".join(rng.choice("abdeéнst") for _ in range(rng.randrange(1, 30))) for _ in range(500)}
+    assert LIBRARY.encode("".join(pieces), add_special_tokens=False).ids == [*chain.from_iterable(model.encode("".join(pieces)))]
+    assert model.pushed == sum(len(p.encode()) for p in pieces)
+
+
+@pytest.mark.parametrize("unit", ["a", "xyz", "日本", "aB", "nothing"])
+def test_memory_does_not_grow_with_a_piece(unit):
+    model, text = bpe.load(BYTE), unit * (30_000 // len(unit))
+    stream, ids = bpe.Transducer(model), []
+    for k in range(0, len(text), 500):
+        ids += stream.push(text[k : k + 500].encode())
+        assert len(stream.held) <= 6 * model.lookahead and len(stream.last) == len(stream.held) + 1
+    assert ids + stream.end() == [*chain.from_iterable(model.encode(text))] == LIBRARY.encode(text, add_special_tokens=False).ids
+    long_ = (unit + "1") * 60_000  # no space to cut at
+    assert [*chain.from_iterable(model.encode(long_))] == LIBRARY.encode(long_, add_special_tokens=False).ids
+
+
 def test_decoder_on_any_ids():
     model, rng = bpe.load(BYTE), random.Random(1)
     ids = [rng.randrange(50257) for _ in range(4000)]
