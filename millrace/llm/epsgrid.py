@@ -3,19 +3,20 @@
 Vectors with a cosine of at least ``threshold`` are, scaled to length 1, at most
 eps = sqrt(2 - 2 * threshold) apart, and so are their projections on any orthonormal directions. The
 directions are the leading principal components of all vectors (second moments summed in Spark).
-Cells of width eps on the first ``key_dims`` of them deal the vectors over
-tasks: each vector is at home in its own cell and a guest in the adjacent cells before it, so that
-each pair that can be close meets exactly once. Within a task, the vectors are sorted in epsilon grid order
-(lexicographic by cells on ``sort_dims`` directions) and joined by recursive halving: two intervals whose cells are over one
-apart in some direction are skipped as a whole; small intervals are compared by their exact double-precision cosines.
+Cells of width eps on the first ``sort_dims`` of them give each vector its place in epsilon grid order (lexicographic by label and cells),
+a range sort in Spark. The sorted sequence is cut into intervals of at most ``block`` vectors, each with the box of cells that it spans.
+Two intervals of a label are joined only if their boxes touch, that is, are at most one cell apart in every direction; all others hold no pair. Interval pairs are
+found by equality of occupied cells on the first ``key_dims`` directions, from a table of one row an interval and cell.
+
+A pair of intervals is one group of a task: at most two blocks of vectors, whatever the density. There, both are joined by recursive halving: parts whose
+cells are over one apart in some direction are skipped as a whole; small parts are compared by their exact double-precision cosines.
 
 Equal vectors of a label are collapsed first and counted. A task returns each vector's number of partners and one
-link to the least member of its component in the group: no pairs. Groups above ``block`` rows are cut into
-pairs of chunks (hotsplit).
+link to the least member of its component in the group: no pairs.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components, and rows with a null label, link with nothing;
 vectors of different lengths don't link; repeated rows of one vec_id count as separate vectors; a null vec_id is kept
-with its links; an empty table gives an empty result.
+with its links; an empty table gives an empty result; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -26,12 +27,13 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize
+from millrace.llm.common import drop_materialized, materialize
 from millrace.llm.components import connected_components, merge_labels
-from millrace.llm.hotsplit import pair_blocks
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -42,41 +44,37 @@ def principal_directions(unique: DataFrame, dim: int) -> np.ndarray:
     """The principal directions of all unit vectors of one length, the leading first (as columns)."""
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((dim, dim + 1))
+        total = np.zeros((dim, dim))
         for b in batches:
             u = _matrix(b.column(0), dim)
-            total += u.T @ np.column_stack([u, np.ones(len(u))])
+            total += u.T @ u
         flat = total.ravel()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], ["at", "v"])
 
     summed = unique.select("unit").mapInArrow(moments, "at long, v double").groupBy("at").agg(F.sum("v").alias("v"))
-    total = np.zeros(dim * (dim + 1))
-    for row in summed.collect():  # dim * (dim + 1) numbers
+    total = np.zeros(dim * dim)
+    for row in summed.collect():  # dim * dim numbers
         total[row["at"]] = row["v"]
-    total = total.reshape(dim, dim + 1)
-    _, vectors = np.linalg.eigh(total[:, :dim])
+    _, vectors = np.linalg.eigh(total.reshape(dim, dim))
     return vectors[:, ::-1]
 
 
-def join_intervals(cells: np.ndarray, units: np.ndarray, home: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float, weights: np.ndarray, leaf: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Epsilon grid order self-join of vectors sorted by ``cells``.
+def join_intervals(cells: np.ndarray, units: np.ndarray, first: int, threshold: float, weights: np.ndarray, leaf: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Epsilon grid order join of the first ``first`` vectors with the others (with themselves if there are no others).
 
-    Returns each vector's summed weight of partners and the component labels. Two vectors are compared if at least one is at home,
-    and one is on the left and the other on the right.
+    Both parts are sorted by ``cells``. Returns each vector's summed weight of partners and the component labels.
     """
     n = len(units)
     links, labels = np.zeros(n, np.int64), np.arange(n)
-    lows, highs = {}, {}
+    spans: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
     def span(lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-        if (lo, hi) not in lows:
-            lows[lo, hi], highs[lo, hi] = cells[lo:hi].min(0), cells[lo:hi].max(0)
-        return lows[lo, hi], highs[lo, hi]
+        if (lo, hi) not in spans:
+            spans[lo, hi] = cells[lo:hi].min(0), cells[lo:hi].max(0)
+        return spans[lo, hi]
 
     def compare(a0: int, a1: int, b0: int, b1: int) -> None:
         close = units[a0:a1] @ units[b0:b1].T >= threshold
-        close &= (left[a0:a1, None] & right[None, b0:b1]) | (right[a0:a1, None] & left[None, b0:b1])
-        close &= home[a0:a1, None] | home[None, b0:b1]
         if a0 == b0:
             close = np.triu(close, 1)
         if not close.any():
@@ -86,7 +84,7 @@ def join_intervals(cells: np.ndarray, units: np.ndarray, home: np.ndarray, left:
         x, y = np.nonzero(close)
         merge_labels(labels, x + a0, y + b0)
 
-    stack = [(0, n, 0, n)]
+    stack = [(0, n, 0, n) if first == n else (0, first, first, n)]
     while stack:
         a0, a1, b0, b1 = stack.pop()
         if a0 == a1 or b0 == b1:
@@ -109,7 +107,7 @@ def join_intervals(cells: np.ndarray, units: np.ndarray, home: np.ndarray, left:
 def near_duplicates(
     vectors: DataFrame,
     threshold: float = 0.98,
-    key_dims: int = 2,
+    key_dims: int = 3,
     sort_dims: int = 12,
     block: int = 4096,
     vec_id: str = "vec_id",
@@ -136,7 +134,6 @@ def near_duplicates(
     links = found[0] if found else spark.createDataFrame([], "key string, root string, links long")
     for more in found[1:]:
         links = links.union(more)
-    links = materialize(links, "links")
     parts = connected_components(links.filter("root is not null"), "key", "root")
     counts = links.groupBy("key").agg(F.sum("links").alias("links"))
     placed = unique.select("key", "least", "n").join(counts, "key", "left").join(parts.withColumnRenamed("node", "key"), "key", "left")
@@ -148,41 +145,72 @@ def near_duplicates(
     )
 
 
-def _joined(part: DataFrame, dim: int, directions: np.ndarray, eps: float, threshold: float, key_dims: int, sort_dims: int, block: int) -> DataFrame:
-    """(key, root, links): partners counted and local components of all vectors of one length."""
-    keys, order = directions[:, : min(key_dims, dim)], directions[:, : min(sort_dims, dim)]
-    offsets = [o for o in product((-1, 0, 1), repeat=keys.shape[1]) if o <= (0,) * keys.shape[1]]
+def in_grid_order(part: DataFrame, dim: int, directions: np.ndarray, eps: float, block: int) -> DataFrame:
+    """(interval, label, key, n, unit, cells): the vectors of one length in epsilon grid order, cut into intervals of one label and at most ``block`` rows."""
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cells = np.floor(_matrix(b.column("unit"), dim) @ keys / eps).astype(np.int64)
-            for o in offsets:
-                at = cells + np.array(o)
-                cell = at[:, 0]
-                for k in range(1, at.shape[1]):
-                    cell = cell * (1 << 20) + at[:, k]
-                home = pa.array(np.full(b.num_rows, not any(o)))
-                yield pa.RecordBatch.from_arrays([b.column("key"), b.column("n"), b.column("label"), b.column("unit"), pa.array(cell), home], ["key", "n", "label", "unit", "cell", "home"])
-
-    label_type = part.schema["label"].dataType.simpleString()
-    dealt = part.select("key", "n", "label", "unit").mapInArrow(deal, f"key string, n long, label {label_type}, unit array<double>, cell long, home boolean")
-    dealt = pair_blocks(dealt, ["label", "cell"], F.col("key"), block)
+            cells = np.floor(_matrix(b.column("unit"), dim) @ directions / eps).astype(np.int32)
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(cells.ravel()), cells.shape[1]).cast(pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*b.columns, lists], ["label", "key", "n", "unit", "cells"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, last = (TaskContext.get().partitionId() << 40) - 1, block, None
+        for b in batches:
+            numbers = []
+            for label in b.column("label").to_pylist():
+                if held == block or label != last:
+                    at, held, last = at + 1, 0, label
+                held += 1
+                numbers.append(at)
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), *b.columns], ["interval", "label", "key", "n", "unit", "cells"])
+
+    columns = f"label {part.schema['label'].dataType.simpleString()}, key string, n long, unit array<double>, cells array<int>"
+    placed = part.select("label", "key", "n", "unit").mapInArrow(place, columns)
     n = int(part.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(n, "label", "cell", "i", "j").sortWithinPartitions("label", "cell", "i", "j")
+    # The key divides what shares all its cells.
+    return materialize(placed.repartitionByRange(n, "label", "cells", "key").sortWithinPartitions("label", "cells", "key").mapInArrow(cut, f"interval long, {columns}"), "grid-order")
+
+
+def touching_intervals(rows: DataFrame, dims: int, key_dims: int) -> DataFrame:
+    """(i, j), i <= j: intervals of one label whose boxes are at most one cell apart in every direction."""
+    edges = [f(F.col("cells")[k]).alias(f"{name}{k}") for k in range(dims) for f, name in ((F.min, "lo"), (F.max, "hi"))]
+    prefixes = F.collect_set(F.slice("cells", 1, key_dims)).alias("prefixes")  # at most the rows of an interval
+    boxes = materialize(rows.groupBy("interval", "label").agg(*edges, prefixes), "boxes")
+    here = boxes.withColumn("p", F.explode("prefixes")).drop("prefixes")
+    steps = F.array(*[F.array(*map(F.lit, o)) for o in product((-1, 0, 1), repeat=key_dims)])
+    there = here.withColumn("o", F.explode(steps)).withColumn("p", F.zip_with("p", "o", lambda x, y: x + y)).drop("o").distinct()
+    there = there.select("label", "p", *[F.col(c).alias(f"{c}_") for c in here.columns if c not in ("label", "p")])
+    touch = F.lit(True)
+    for k in range(dims):
+        touch = touch & (F.col(f"lo{k}") <= F.col(f"hi{k}_") + 1) & (F.col(f"lo{k}_") <= F.col(f"hi{k}") + 1)
+    met = here.join(there, ["label", "p"]).filter((F.col("interval") <= F.col("interval_")) & touch)
+    return met.select(F.col("interval").alias("i"), F.col("interval_").alias("j")).distinct()
+
+
+def _joined(part: DataFrame, dim: int, directions: np.ndarray, eps: float, threshold: float, key_dims: int, sort_dims: int, block: int) -> DataFrame:
+    """(key, root, links): partners counted and local components of all vectors of one length."""
+    dims = min(sort_dims, dim)
+    rows = in_grid_order(part, dim, directions[:, :dims], eps, block)
+    pairs = materialize(touching_intervals(rows, dims, min(key_dims, dims)), "pairs")
+    one = pairs.select(F.col("i").alias("interval"), "i", "j").union(pairs.filter("i < j").select(F.col("j").alias("interval"), "i", "j"))
+    n = int(part.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.join(one, "interval").select("i", "j", "interval", "cells", "key", "n", "unit").repartition(n, "i", "j").sortWithinPartitions("i", "j", "interval", "cells", "key")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         last = None
         for b in batches:
-            ids = list(zip(*(b.column(c).to_pylist() for c in ("label", "cell", "i", "j")), strict=True))
-            cuts = [k for k in range(b.num_rows) if (ids[k - 1] if k else last) != ids[k]] + [b.num_rows]
-            if cuts[0]:
-                held.append(b.slice(0, cuts[0]))
+            if not b.num_rows:
+                continue
+            i, j = b.column("i").to_numpy(), b.column("j").to_numpy()
+            cuts = [0, *(np.flatnonzero((i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1).tolist(), b.num_rows]
             for lo, hi in zip(cuts, cuts[1:], strict=False):
-                yield from group(held)
-                held = [b.slice(lo, hi - lo)]
-            if b.num_rows:
-                last = ids[-1]
+                if (i[lo], j[lo]) != last:
+                    yield from group(held)
+                    held = []
+                held.append(b.slice(lo, hi - lo))
+                last = (i[lo], j[lo])
         yield from group(held)
 
     def group(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,17 +218,15 @@ def _joined(part: DataFrame, dim: int, directions: np.ndarray, eps: float, thres
         if table is None or table.num_rows < 2:
             return
         units = _matrix(table.column("unit").combine_chunks(), dim)
-        cells = np.floor(units @ order / eps).astype(np.int64)
-        by = np.lexsort(cells.T[::-1])
-        home, chunk, i, j = (table.column(c).to_numpy()[by] for c in ("home", "chunk", "i", "j"))
-        # At home with home, and home with guests, never guests with guests; chunk i with chunk j.
-        left, right = chunk == i, chunk == j
-        links, labels = join_intervals(cells[by], units[by], home, left, right, threshold, table.column("n").to_numpy()[by])
-        key = table.column("key").to_numpy(zero_copy_only=False)[by]
+        cells = _matrix(table.column("cells").combine_chunks(), dims)
+        interval = table.column("interval").to_numpy()
+        links, labels = join_intervals(cells, units, int((interval == interval[0]).sum()), threshold, table.column("n").to_numpy())
         hit = np.flatnonzero(links)
         if len(hit):
-            root = labels[hit]
-            roots = pa.array([None if r == h else key[r] for r, h in zip(root.tolist(), hit.tolist(), strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(key[hit], pa.string()), roots, pa.array(links[hit])], ["key", "root", "links"])
+            key, root = table.column("key"), labels[hit]
+            roots = pc.if_else(pa.array(root == hit), pa.scalar(None, pa.string()), key.take(pa.array(root)).combine_chunks())
+            yield pa.RecordBatch.from_arrays([key.take(pa.array(hit)).combine_chunks(), roots, pa.array(links[hit])], ["key", "root", "links"])
 
-    return dealt.mapInArrow(join, "key string, root string, links long")
+    links = materialize(dealt.mapInArrow(join, "key string, root string, links long"), "links")
+    drop_materialized(rows, pairs)
+    return links
