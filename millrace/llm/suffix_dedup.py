@@ -7,8 +7,8 @@ its *context* is up to ``least`` bytes to the left and to the right: a repeated
 l bytes left and r bytes right of it with l + r >= least.
 
 1. One scan hashes every text by prefix polynomials modulo 2**64 (any substring's hash in two
-   reads), finds the anchors and hashes their contexts. Only hashes are shuffled. Equal contexts are one
-   from here on, however often they occur; a context that occurs twice is removed whole.
+   reads), finds the anchors and digests their contexts' bytes (BLAKE2b: texts made to collide under polynomials don't). Only hashes and digests are shuffled. Equal
+   contexts are one from here on, however often they occur; a context that occurs twice is removed whole.
 2. For the anchors in groups of two or more different contexts, one context of each kind is cut from the texts.
 3. In each group, contexts are sorted by what follows the anchor and by what precedes it: a merge sort in numpy, all groups of a
    batch at once, whose comparisons find the common extension of two contexts by binary search on prefix hashes
@@ -19,8 +19,8 @@ l bytes left and r bytes right of it with l + r >= least.
 
 Groups of more than ``block`` different contexts are divided, exactly, before step 3. With d = :func:`step_of` (``least``, ``gram``), two contexts with
 l + r >= least agree, for some k, on the window from d * k bytes left of the anchor to least - d - d * k bytes right of it. So each context goes
-to a group for each k by that window's 128-bit hash, with only the d bytes on each side of the window as its new context, and d as
-the new least length; equal new contexts are one again. A divided group above ``block`` is decided by the hashes of all its windows
+to a group for each k by that window's 128-bit digest, with only the d bytes on each side of the window as its new context, and d as
+the new least length; equal new contexts are one again. A divided group above ``block`` is decided by the digests of all its windows
 of d bytes (:func:`split_windows`).
 
 Edge cases: null texts are empty and lose nothing; texts under ``least`` bytes lose nothing; runs of one byte make every position
@@ -46,7 +46,6 @@ GRAM = 64
 #: Bytes hashed at a time; positions in a segment take as many low bits of a window's key.
 SEGMENT_BITS = 20
 BASE = 0x9E3779B97F4A7C15 | 1
-SECOND = 0xD6E8FEB86659FD93 | 1
 U = np.uint64
 
 
@@ -72,6 +71,19 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
+def digest(*parts: bytes, size: int = 8) -> bytes:
+    """A digest of the parts and of where they border."""
+    h = hashlib.blake2b(len(parts[0]).to_bytes(4, "little"), digest_size=size)
+    for part in parts:
+        h.update(part)
+    return h.digest()
+
+
+def as_longs(digests: list[bytes]) -> np.ndarray:
+    """Digests of eight bytes or a multiple as rows of signed integers."""
+    return np.frombuffer(b"".join(digests), "<i8").reshape(len(digests), -1)
+
+
 class Hashes:
     """Prefix polynomial hashes of a byte array."""
 
@@ -102,7 +114,7 @@ def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
 
 
 def find_anchors(x: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int = LEAST, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Anchors of the texts [starts, ends) of a segment: (text, position, gram hash, context hash)."""
+    """Anchors of the texts [starts, ends) of a segment: (text, position, gram hash, context digest)."""
     none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, U))
     if len(x) < least:
         return none
@@ -121,12 +133,13 @@ def find_anchors(x: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int
     at = at[np.concatenate(([True], at[1:] != at[:-1]))]
     text = np.searchsorted(starts, at, "right") - 1
     left, right = np.minimum(at - starts[text], least - gram), np.minimum(ends[text] - at, least)
-    context = mix(mix(hashes.of(at - left, at + right)) ^ (left * (least + 1) + right).astype(U))
-    return text, at, g[at], context
+    data = memoryview(np.ascontiguousarray(x))
+    digests = [digest(data[p - a : p], data[p : p + b]) for p, a, b in zip(at.tolist(), left.tolist(), right.tolist(), strict=True)]
+    return text, at, g[at], as_longs(digests)[:, 0].view(U)
 
 
 def text_anchors(data: np.ndarray, offsets: np.ndarray, least: int = LEAST, gram: int = GRAM) -> Iterator[tuple[np.ndarray, ...]]:
-    """(text, position in it, gram hash, context hash) for texts in one buffer, a segment at a time."""
+    """(text, position in it, gram hash, context digest) for texts in one buffer, a segment at a time."""
     size, n, k = 1 << SEGMENT_BITS, len(offsets) - 1, 0
     while k < n:
         to = int(np.searchsorted(offsets, offsets[k] + size, "right")) - 1
@@ -363,17 +376,17 @@ def compare_groups(contexts: DataFrame, least: int) -> DataFrame:
 def split_windows(contexts: DataFrame, least: int) -> DataFrame:
     """(kh, w1, w2, ck, l, r) of contexts with a partner, by the hashes of all their windows of ``least`` bytes; for very large groups.
 
-    A window that two different contexts of a group hold at the same split is repeated. Exact up to collisions of 128 bits.
+    A window that two different contexts of a group hold at the same split is repeated. Windows are told apart by 128-bit digests.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for kh, w1, w2, ck, left, right in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                x = np.frombuffer(left + right, np.uint8)
-                lo = np.arange(max(0, len(x) - least + 1))
+                data = left + right
+                lo = np.arange(max(0, len(data) - least + 1))
                 lo = lo[lo <= len(left)]
                 if len(lo):
-                    h, h2 = (mix(Hashes(x, base).of(lo, lo + least)).view(np.int64) for base in (BASE, SECOND))
+                    h, h2 = as_longs([digest(data[k : k + least], size=16) for k in lo.tolist()]).T
                     fixed = [pa.array(np.full(len(lo), v)) for v in (kh, w1, w2, ck)]
                     yield pa.RecordBatch.from_arrays([*fixed, pa.array(len(left) - lo), pa.array(h), pa.array(h2)], [*GROUP, "ck", "l", "h", "h2"])
 
@@ -392,18 +405,17 @@ def divide_groups(contexts: DataFrame, least: int, step: int, block: int) -> Dat
         for b in batches:
             out: list[tuple] = []
             for kh, ck, left, right in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                x = np.frombuffer(left + right, np.uint8)
+                data = left + right
                 back = np.arange(0, len(left) + 1, step)
                 lo = len(left) - back
-                lo, back = lo[lo + shared <= len(x)], back[lo + shared <= len(x)]
+                lo, back = lo[lo + shared <= len(data)], back[lo + shared <= len(data)]
                 if not len(lo):
                     continue
                 # The split belongs to the window's name: windows of different splits don't meet.
-                w1, w2 = (mix(Hashes(x, base).of(lo, lo + shared) + back.astype(U) * U(SECOND)).view(np.int64).tolist() for base in (BASE, SECOND))
-                for k, at in enumerate(lo.tolist()):
-                    side = bytes(x[max(0, at - step) : at]), bytes(x[at + shared : at + shared + step])
-                    digest = hashlib.blake2b(len(side[0]).to_bytes(2, "little") + b"".join(side), digest_size=8).digest()
-                    out.append((kh, w1[k], w2[k], ck, int.from_bytes(digest, "little", signed=True), int(back[k]), *side))
+                for at, k in zip(lo.tolist(), back.tolist(), strict=True):
+                    side = data[max(0, at - step) : at], data[at + shared : at + shared + step]
+                    (w1, w2), (own,) = (as_longs([d])[0].tolist() for d in (digest(k.to_bytes(4, "little"), data[at : at + shared], size=16), digest(*side)))
+                    out.append((kh, w1, w2, ck, own, k, *side))
             for at in range(0, len(out), 8192):
                 types = [pa.int64()] * 6 + [pa.binary()] * 2
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 8192], strict=True), types, strict=True)], [*GROUP, "of", "ck", "back", "left", "right"])
@@ -424,7 +436,7 @@ def divide_groups(contexts: DataFrame, least: int, step: int, block: int) -> Dat
     return met.select("kh", zero.alias("w1"), zero.alias("w2"), F.col("of").alias("ck"), (F.col("back") + F.col("l")).alias("l"), (F.lit(shared) - F.col("back") + F.col("r")).alias("r"))
 
 
-def repeated_ranges(docs: DataFrame, text: str = "text", least: int = LEAST, gram: int = GRAM, block: int = 4096) -> DataFrame:
+def repeated_ranges(docs: DataFrame, text: str = "text", least: int = LEAST, gram: int = GRAM, block: int = 1024) -> DataFrame:
     """(rid, size, ranges): for texts that hold repeated strings, the byte ranges that these cover.
 
     A text is known by ``rid``, its XXH64, and ``size``, its number of bytes. Ranges may overlap. ``gram`` is at most ``least``.

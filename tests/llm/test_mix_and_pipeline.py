@@ -147,3 +147,20 @@ def test_verdicts_do_not_depend_on_degree(spark):
     assert got[9]["rule"] is None and got[9]["verdict"] == "block" and got[9]["host_score"] >= 0.9  # although one.org links to it
     assert all(got[100 + k]["verdict"] == "block" and abs(got[100 + k]["host_score"] - 0.85) < 1e-3 for k in range(40))
     assert got[200]["verdict"] == "block" and all(got[k]["verdict"] == "allow" for k in (201, 202, 203))
+
+
+def test_passages_of_fifty_five_words_go_and_clean_texts_stay(spark):
+    import corpus_pipeline as p
+
+    rng = random.Random(6)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghinorstu") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    passages = [prose(55) for _ in range(25)]
+    rows = []
+    for k in range(300):
+        parts = [prose(rng.randrange(60, 200)), prose(rng.randrange(60, 200))]
+        if k < 100:
+            parts.insert(1, passages[k % 25])
+        rows.append((k, " ".join(parts), "en", "s", 0))
+    got = {r["doc_id"]: r["text"] for r in p.repeated_strings(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "").collect()}
+    assert sum(passages[k % 25] not in got[k] for k in range(100)) >= 90
+    assert sum(got[k] == rows[k][1] for k in range(100, 300)) >= 0.97 * 200
