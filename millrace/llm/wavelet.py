@@ -2,13 +2,14 @@
 
 A shard holds the token ids of consecutive documents (each ended by ``end_id``) as bit planes: plane 0 has
 every id's highest bit in text order; each next plane has the next bit after a stable partition by the one
-before (zeros first). Ids are first replaced by their places in the shard's own sorted alphabet. Ranks are counted from a directory of ones before every 512 bits. From one file
-come any token (``access``), a token's count in any range (``count``) and the places where it
-occurs (``occurrences``), each by one step a plane, and all ids again (``ids``).
+before (zeros first). Ids are first replaced by their places in the shard's own sorted alphabet. The file keeps a rank directory: the ones before every 512 bits
+of each plane, searched by halving for select. From one file
+come any token (``access``), any range of tokens (``read``), a token's count in any range (``count``) and the places where it
+occurs (``occurrences``), each by one step a plane.
 
-File format (little-endian): magic ``MWM1``, uint32 length of a JSON header, the header (n, zeros of each
+File format (little-endian): magic ``MWM2``, uint32 length of a JSON header, the header (n, zeros of each
 plane, sizes of the alphabet and of the sections, number of documents), then zstd frames: the documents' ends (uint64), their ids
-(int64, with a mask frame for nulls), the alphabet (uint32), each plane's bits (first bit lowest).
+(int64, with a mask frame for nulls), the alphabet (uint32), the directory (uint32, plane by plane), each plane's bits (first bit lowest).
 
 In Spark, documents are dealt by ranges of doc_id and sorted in the task; a task writes shards of about
 ``shard_tokens`` ids, so its memory is bounded, to a file named for the attempt: a lost or repeated
@@ -43,7 +44,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import fresh_path, materialize
 
-MAGIC = b"MWM1"
+MAGIC = b"MWM2"
 BLOCK = 512
 #: Special tokens, and characters that Unicode versions split, class or lower-case in different ways: such texts go to the library whole.
 UNUSUAL = "[\x1c-\x1f\u0130]|<\\||[^\x00-\u052f\u2010-\u205e\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]"
@@ -56,11 +57,10 @@ CHUNK = 8 << 20
 
 
 class WaveletMatrix:
-    """Bit planes of a sequence of unsigned integers below 2**width."""
+    """Bit planes of a sequence of unsigned integers below 2**width, with a directory of the ones before each block of each plane."""
 
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int]) -> None:
-        self.n, self.planes, self.zeros, self.width = n, planes, zeros, len(planes)
-        self._ones: list[np.ndarray | None] = [None] * self.width
+    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int], ones: np.ndarray) -> None:
+        self.n, self.planes, self.zeros, self.ones, self.width = n, planes, zeros, ones, len(planes)
 
     @classmethod
     def build(cls, values: np.ndarray, width: int = 16) -> WaveletMatrix:
@@ -71,44 +71,86 @@ class WaveletMatrix:
             low = np.compress(~bit, now)
             zeros.append(len(low))
             now = np.concatenate((low, np.compress(bit, now)))
-        return cls(len(values), planes, zeros)
-
-    def values(self) -> np.ndarray:
-        """All values in order: the partitions undone from the lowest plane up."""
-        out = np.zeros(self.n, np.uint16 if self.width <= 16 else np.uint32)
-        for k, (plane, zeros) in enumerate(zip(reversed(self.planes), reversed(self.zeros), strict=True)):
-            bit = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
-            up = np.empty_like(out)
+        return cls(len(values), planes, zeros, np.array([cls._before_blocks(p) for p in planes], "<u4"))
+
+    @staticmethod
+    def _before_blocks(plane: np.ndarray) -> np.ndarray:
+        """Ones of a plane before each block, and in all."""
+        pad = np.zeros(-(-len(plane) * 8 // BLOCK) * (BLOCK // 8), np.uint8)
+        pad[: len(plane)] = plane
+        per = np.bitwise_count(pad.view("<u8")).reshape(-1, BLOCK // 64).sum(1, dtype=np.int64)
+        return np.concatenate(([0], np.cumsum(per)))
+
+    def read(self, lo: int, hi: int) -> np.ndarray:
+        """The values in places lo to hi - 1.
+
+        Going down, the range is a few runs of each plane, whose ends move by rank; going up, the partitions of their bits are undone.
+        """
+        kind = np.uint16 if self.width <= 16 else np.uint32
+        runs, bits = np.array([[lo, hi]], np.int64)[: int(hi > lo)], []
+        for k in range(self.width):
+            bits.append(self._bits(k, runs))
+            ones = self._ranks(k, runs.ravel()).reshape(-1, 2)
+            runs = np.concatenate((runs - ones, self.zeros[k] + ones))
+            runs = runs[runs[:, 0] < runs[:, 1]]
+            if len(runs) > 1:  # neighbours are one run
+                new = np.concatenate(([True], runs[1:, 0] != runs[:-1, 1]))
+                runs = np.stack([runs[new, 0], runs[np.append(np.flatnonzero(new)[1:] - 1, len(runs) - 1), 1]], 1)
+        out = np.zeros(hi - lo, kind)
+        for k, bit in enumerate(reversed(bits)):
+            up, zeros = np.empty_like(out), len(bit) - int(np.count_nonzero(bit))
             up[np.flatnonzero(~bit)] = out[:zeros]
-            up[np.flatnonzero(bit)] = out[zeros:] | out.dtype.type(1 << k)
+            up[np.flatnonzero(bit)] = out[zeros:] | kind(1 << k)
             out = up
         return out
 
-    def _directory(self, k: int) -> np.ndarray:
-        """Ones of plane k before each block."""
-        if self._ones[k] is None:
-            pad = np.zeros(-(-len(self.planes[k]) * 8 // BLOCK) * (BLOCK // 8), np.uint8)
-            pad[: len(self.planes[k])] = self.planes[k]
-            per = np.bitwise_count(pad.view("<u8")).reshape(-1, BLOCK // 64).sum(1, dtype=np.int64)
-            self._ones[k] = np.concatenate(([0], np.cumsum(per)))
-        return self._ones[k]
+    def _bits(self, k: int, runs: np.ndarray) -> np.ndarray:
+        """The bits of plane k in all runs, one after the other."""
+        if len(runs) <= 8:
+            parts = [np.unpackbits(self.planes[k][lo // 8 : -(-hi // 8)], bitorder="little")[lo % 8 : lo % 8 + hi - lo] for lo, hi in runs.tolist()]
+            return np.concatenate(parts).view(bool) if parts else np.zeros(0, bool)
+        size = runs[:, 1] - runs[:, 0]
+        at = np.repeat(runs[:, 0] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        return (self.planes[k][at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+    def _ranks(self, k: int, at: np.ndarray) -> np.ndarray:
+        """Ones of plane k before each of the places."""
+        if len(at) <= 16:
+            return np.array([self._rank(k, i) for i in at.tolist()], np.int64)
+        block = at // BLOCK
+        pad = np.zeros((len(self.ones[k]) + 1) * (BLOCK // 8), np.uint8)
+        pad[: len(self.planes[k])] = self.planes[k]
+        words = pad.view("<u8").reshape(-1, BLOCK // 64)
+        inside = at - block * BLOCK
+        out = self.ones[k][block].astype(np.int64)
+        for w in range(BLOCK // 64):
+            left = np.clip(inside - 64 * w, 0, 64).astype(np.uint64)
+            mask = np.where(left == 64, ~np.uint64(0), (np.uint64(1) << (left & np.uint64(63))) - np.uint64(1))
+            out += np.bitwise_count(words[block, w] & mask)
+        return out
 
     def _rank(self, k: int, i: int) -> int:
         """Ones of plane k before place i."""
         block = i // BLOCK
         part = self.planes[k][block * BLOCK // 8 : -(-i // 8)]
-        ones = int(self._directory(k)[block]) + int(np.bitwise_count(part).sum(dtype=np.int64))
+        ones = int(self.ones[k][block]) + int(np.bitwise_count(part).sum(dtype=np.int64))
         if i % 8:
             ones -= int(part[-1] >> (i % 8)).bit_count()
         return ones
 
     def _select(self, k: int, bit: int, j: int) -> int:
         """The place of the j-th (from 0) such bit of plane k."""
-        ones = self._directory(k)
-        before = ones if bit else np.arange(len(ones)) * BLOCK - ones
-        block = int(np.searchsorted(before, j, "right")) - 1
-        bits = np.unpackbits(self.planes[k][block * BLOCK // 8 : (block + 1) * BLOCK // 8], bitorder="little")
-        return block * BLOCK + int(np.flatnonzero(bits == bit)[j - int(before[block])])
+        ones = self.ones[k]
+
+        def before(block: int) -> int:
+            return int(ones[block]) if bit else block * BLOCK - int(ones[block])
+
+        lo, hi = 0, len(ones) - 1
+        while hi - lo > 1:
+            mid = (lo + hi) // 2
+            lo, hi = (mid, hi) if before(mid) <= j else (lo, mid)
+        bits = np.unpackbits(self.planes[k][lo * BLOCK // 8 : (lo + 1) * BLOCK // 8], bitorder="little")
+        return lo * BLOCK + int(np.flatnonzero(bits == bit)[j - before(lo)])
 
     def access(self, i: int) -> int:
         value = 0
@@ -149,7 +191,7 @@ def pack_shard(ids: np.ndarray, ends: np.ndarray, doc_ids: pa.Array, level: int
     null = doc_ids.is_null().to_numpy(zero_copy_only=False)
     known = doc_ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")
     put = zstandard.ZstdCompressor(level=level).compress
-    frames = [put(x.tobytes()) for x in (ends.astype("<u8"), known, np.packbits(null, bitorder="little"), used.astype("<u4"), *m.planes)]
+    frames = [put(x.tobytes()) for x in (ends.astype("<u8"), known, np.packbits(null, bitorder="little"), used.astype("<u4"), m.ones, *m.planes)]
     header = json.dumps({"n": m.n, "zeros": m.zeros, "alphabet": len(used), "docs": len(ends), "frames": [len(f) for f in frames]}).encode()
     return b"".join([MAGIC, struct.pack("<I", len(header)), header, *frames])
 
@@ -164,17 +206,23 @@ class Shard:
         head = json.loads(data[8 : 8 + size])
         at, parts, get = 8 + size, [], zstandard.ZstdDecompressor()
         for length in head["frames"]:
-            parts.append(get.decompress(data[at : at + length], max_output_size=max(8 * head["n"], 8 * head["docs"], 4 * head["alphabet"], 64)))
+            parts.append(get.decompress(data[at : at + length], max_output_size=max(8 * head["n"], 8 * head["docs"], 4 * head["alphabet"], 4096)))
             at += length
         self.ends = np.frombuffer(parts[0], "<u8").astype(np.int64)
         null = np.unpackbits(np.frombuffer(parts[2], np.uint8), count=head["docs"], bitorder="little").astype(bool)
         self.doc_ids = pa.array(np.frombuffer(parts[1], "<i8"), mask=null)
         self.alphabet = np.frombuffer(parts[3], "<u4")
-        self.places = WaveletMatrix(head["n"], [np.frombuffer(p, np.uint8) for p in parts[4:]], head["zeros"])
+        ones = np.frombuffer(parts[4], "<u4").reshape(len(head["zeros"]), -1)
+        self.places = WaveletMatrix(head["n"], [np.frombuffer(p, np.uint8) for p in parts[5:]], head["zeros"], ones)
+
+    def read(self, lo: int = 0, hi: int | None = None) -> np.ndarray:
+        """The ids in places lo to hi - 1, as little-endian uint32."""
+        hi = self.places.n if hi is None else hi
+        return self.alphabet[self.places.read(lo, hi)] if hi > lo else np.zeros(0, "<u4")
 
-    def ids(self) -> np.ndarray:
-        """All ids in order, as little-endian uint32."""
-        return self.alphabet[self.places.values()] if self.places.n else np.zeros(0, "<u4")
+    def document(self, nth: int) -> np.ndarray:
+        """The ids of one document."""
+        return self.read(int(self.ends[nth - 1]) if nth else 0, int(self.ends[nth]))
 
     def access(self, i: int) -> int:
         return int(self.alphabet[self.places.access(i)])
@@ -211,6 +259,8 @@ class Encoder:
         spec["pre_tokenizer"]["pretokenizers"][0] = {"type": "CharDelimiterSplit", "delimiter": " "}
         self.plain = Tokenizer.from_str(json.dumps(spec))
         vocab = t.get_vocab()
+        if max(vocab.values()) >= 1 << 16:
+            raise ValueError("the vocabulary has ids above 65535")
         self.ends = np.zeros(1 + max(vocab.values()), bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
@@ -299,7 +349,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, end
     where, path = _open(folder)
     where.create_dir(path, recursive=True)
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    own = own.withColumn("tie", F.xxhash64("text")).withColumn("salt", F.rand(11))
+    own = own.withColumn("tie", F.xxhash64("text")).withColumn("salt", F.xxhash64("text", F.monotonically_increasing_id()))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = own.repartitionByRange(n, "doc_id", "tie", "salt").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
 
@@ -342,8 +392,8 @@ def shard_starts(shards: DataFrame) -> DataFrame:
     return shards.join(per, "part").withColumn("start", F.col("base") + F.coalesce(F.sum("tokens").over(within), F.lit(0))).drop("base")
 
 
-def read_documents(shards: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files."""
+def read_documents(shards: DataFrame, tokens: int = 1 << 22) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files, read in ranges of about ``tokens`` ids."""
     n = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,9 +402,14 @@ def read_documents(shards: DataFrame) -> DataFrame:
                 at, file = _open(path)
                 with at.open_input_stream(file) as f:
                     shard = Shard(f.read())
-                ids = memoryview(shard.ids().view(np.uint8))
                 begins = np.concatenate(([0], shard.ends[:-1]))
-                sums = [zlib.crc32(ids[4 * lo : 4 * hi]) for lo, hi in zip(begins.tolist(), shard.ends.tolist(), strict=True)]
+                sums, at = [], 0
+                while at < len(begins):  # a bounded range of tokens at a time, one document at least
+                    base = int(begins[at])
+                    to = max(at + 1, int(np.searchsorted(shard.ends, base + tokens, "right")))
+                    ids = memoryview(shard.read(base, int(shard.ends[to - 1])).view(np.uint8))
+                    sums += [zlib.crc32(ids[4 * (lo - base) : 4 * (hi - base)]) for lo, hi in zip(begins[at:to].tolist(), shard.ends[at:to].tolist(), strict=True)]
+                    at = to
                 yield pa.RecordBatch.from_arrays([shard.doc_ids, pa.array(begins + start), pa.array(shard.ends - begins), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return shards.select("path", "start").repartition(n).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -96,7 +96,9 @@ def test_bpe_tables(spark):
 def test_wavelet_matrix(n):
     v = np.random.default_rng(n).zipf(1.4, n) % 3000
     shard = wavelet.Shard(wavelet.pack_shard(v.astype(np.uint16), np.array([n]), pa.array([None], pa.int64())))
-    assert (shard.ids() == v).all() and shard.doc_ids.null_count == 1
+    assert (shard.read() == v).all() and (shard.document(0) == v).all() and shard.doc_ids.null_count == 1
+    for lo, hi in ((0, n // 2), (n // 3, n), (n // 2, n // 2), (n // 4, n // 4 + n // 7), (max(n - 1, 0), n)):
+        assert (shard.read(lo, hi) == v[lo:hi]).all()
     for i in range(0, n, 97):
         assert shard.access(i) == v[i]
     for token in {1, 2, 2999, *v[:3].tolist()}:
@@ -121,7 +123,7 @@ def test_shards_in_spark(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, path string").repartition(5)
     shards = wavelet.write_shards(df, WORD, shard_tokens=500, chunk=400)
     assert shards.count() > 5
-    got = sorted(map(tuple, wavelet.read_documents(wavelet.shard_starts(shards)).collect()))
+    got = sorted(map(tuple, wavelet.read_documents(wavelet.shard_starts(shards), tokens=100).collect()))
     start, want = 0, []
     for k, text, _ in sorted(rows):
         ids = library.encode(text or "", add_special_tokens=False).ids + [1]
