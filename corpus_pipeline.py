@@ -26,7 +26,7 @@ REPEATED_BYTES = 200
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
-    judged = fertility.judge(docs, tokenizer_path("piece_bpe_32k.model"))
+    judged = fertility.judge(docs, tokenizer_path("piece_bpe_32k.model"), tokenizer_path("byte_bpe_multi_50k.tiktoken"))
     # Rows of one doc_id can have different texts: a verdict belongs to a row's doc_id and counts.
     good = judged.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     own = docs.withColumn("_h", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("lang")))

@@ -77,7 +77,7 @@ def op8_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of every document and the verdict of the fertility bands of its language."""
     from millrace.llm.fertility import judge
 
-    return judge(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model")).drop("text_hash")
+    return judge(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), tokenizer_path("byte_bpe_multi_50k.tiktoken")).drop("text_hash")
 
 
 def op9_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
