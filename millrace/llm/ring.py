@@ -86,16 +86,16 @@ def shard_rows(
     total = rows.count()
     slice_bits = max(9, (max(total, 1) // slice_rows).bit_length())
     points = ring_points(spark, shards, virtual_nodes, seed)
-    # The first point at or after a hash: a slice that holds no point lies in one arc; one that holds points lists them.
-    starts = [{"slice": k, "first": bisect_left(points, (k << (RING_BITS - slice_bits), -1)) % len(points)} for k in range(1 << slice_bits)]
+    # The first point at or after a hash, by cells of the ring, about eight a point whatever the table's size: a cell's first point and the points in it.
+    cell_bits = (8 * len(points)).bit_length()
     inner: dict[int, list[int]] = {}
     for p, _ in points:
-        inner.setdefault(p >> (RING_BITS - slice_bits), []).append(p)
-    table = [s | {"cuts": inner.get(s["slice"], [])} for s in starts]
-    slices = F.broadcast(small_table(spark, table, "slice bigint, first int, cuts array<bigint>"))  # about rows / slice_rows of them
+        inner.setdefault(p >> (RING_BITS - cell_bits), []).append(p)
+    table = [{"cell": k, "first": bisect_left(points, (k << (RING_BITS - cell_bits), -1)) % len(points), "cuts": inner.get(k, [])} for k in range(1 << cell_bits)]
+    cells = F.broadcast(small_table(spark, table, "cell bigint, first int, cuts array<bigint>"))
     past = F.aggregate("cuts", F.lit(0), lambda n, cut: n + (cut < F.col("h")).cast("int"))
-    placed = rows.withColumn("slice", F.shiftright("h", RING_BITS - slice_bits)).join(slices, "slice")
-    placed = placed.withColumn("arc", (F.col("first") + past) % len(points))
+    placed = rows.withColumn("cell", F.shiftright("h", RING_BITS - cell_bits)).join(cells, "cell")
+    placed = placed.withColumn("slice", F.shiftright("h", RING_BITS - slice_bits)).withColumn("arc", (F.col("first") + past) % len(points))
     same = placed.groupBy("arc", "slice", "h", "doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
     counts = placed.groupBy("arc", "slice").agg(F.count(F.lit(1)).alias("rows"))
     earlier = Window.partitionBy("arc").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
