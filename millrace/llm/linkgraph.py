@@ -2,14 +2,15 @@
 
 A rule (host, path, verdict) fits urls of its host and all subdomains whose path starts with its path; the longest wins.
 Hosts are the nodes of a graph whose edges are the links between pages of different hosts. A host's trust seed is the share of its
-pages that rules allow, its distrust seed the share that rules block. A host keeps its seeds whole; for the share of its pages that no rule
-fits it takes ``damping`` times the mean trust of the hosts that link to it and the mean distrust of the hosts that it links to
-(who links to bad hosts is suspect), both weighted by link counts. So a verdict doesn't depend on how many others link to a host. A host is blocked
+pages that rules allow, its distrust seed the share that rules block. Scores are personalised PageRank in its contribution form: a host's distrust is the
+seed that a surfer meets who starts there, follows links weighted by their counts, goes on with probability ``damping``, and stops at a host by the share of its pages that rules
+fit (who links to bad hosts is suspect); its trust is the same for a surfer who goes backwards along links (whom trusted hosts link to is trusted). This
+form, unlike mass divided over neighbours, doesn't depend on how many others link to a host, nor take a host's own seeds away. A host is blocked
 if its distrust exceeds its trust by more than ``threshold``; pages without a rule get their host's verdict.
 
 Scale: pages are reduced to distinct hosts and to link counts per host pair before any join; links of one hot host are added up
-in the map stage. Each round of scores is a written table, so rounds don't repeat one another. Rounds stop when no score moves
-by more than ``tolerance``.
+in the map stage. Each round of scores is a written table, so rounds don't repeat one another. Rounds go on until no score moves
+by more than ``tolerance``; each shrinks the moves by ``damping``. Pages of a hot host meet its rules and scores by broadcast or, where there are too many hosts, salted.
 
 Edge cases: null urls and urls without ``://`` have an empty host and path, which no rule with a host fits, are outside the graph and allowed; null html has
 no links; repeated pages count as often as they occur; rules of one length that fit the same page: the first by text; an empty table gives an
@@ -18,6 +19,8 @@ empty result; extra columns are not read.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +43,15 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)\A(?:(?!://).)*://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def with_host_rows(pages: DataFrame, per_host: DataFrame, most: int = 500_000, salts: int = 64) -> DataFrame:
+    """``pages`` left joined with a written table of one row a host; a host with any share of the pages makes no large task."""
+    if per_host.count() <= most:
+        return pages.join(F.broadcast(per_host), "host", "left")
+    spread = per_host.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = pages.withColumn("_salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(salts)).cast("int"))
+    return salted.join(spread, ["host", "_salt"], "left").drop("_salt")
+
+
 def apply_rules(pages: DataFrame, rules: list[Rule], broadcast_rules: int = 10_000) -> DataFrame:
     """``pages`` (with host and path) plus rule and rule_verdict, null where none fits."""
     spark = pages.sparkSession
@@ -53,7 +65,7 @@ def apply_rules(pages: DataFrame, rules: list[Rule], broadcast_rules: int = 10_0
     fits = F.transform("rs", lambda r: F.struct(-(F.length("suffix") + F.length(r["prefix"])), F.concat("suffix", r["prefix"]).alias("rule"), r["prefix"].alias("prefix"), r["v"].alias("v")))
     known = hosts.withColumn("fits", fits).groupBy("host").agg(F.array_sort(F.flatten(F.collect_list("fits"))).alias("fits"))
     best = F.filter("fits", lambda r: F.startswith("path", r["prefix"]))
-    return pages.join(known, "host", "left").withColumn("best", F.get(best, F.lit(0))).withColumn("rule", F.col("best.rule")).withColumn("rule_verdict", F.col("best.v")).drop("fits", "best")
+    return with_host_rows(pages, materialize(known, "known")).withColumn("best", F.get(best, F.lit(0))).withColumn("rule", F.col("best.rule")).withColumn("rule_verdict", F.col("best.v")).drop("fits", "best")
 
 
 def host_links(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -65,12 +77,14 @@ def host_links(pages: DataFrame, html: str = "html") -> DataFrame:
     return links.filter("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(seeds: DataFrame, links: DataFrame, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-4, mean: bool = False) -> DataFrame:
+def propagate(seeds: DataFrame, links: DataFrame, damping: float = 0.85, tolerance: float = 1e-4, mean: bool = False, rounds: int | None = None) -> DataFrame:
     """(host, trust, distrust) from seeds of the same columns.
 
     This is personalised PageRank: a host's score is divided over its neighbours, and a host without such neighbours keeps its own. With ``mean``,
-    a host takes its neighbours' mean score instead, for the share of it that has no seed.
+    in contribution form, a host takes its neighbours' mean score instead, for the share of it that has no seed. Rounds go on until no score moves by
+    more than ``tolerance``, or as many as given.
     """
+    most = rounds if rounds is not None else 2 + math.ceil(math.log(tolerance) / math.log(damping))
     out = links.groupBy("src").agg(F.sum("n").alias("out"))
     into = links.groupBy("dst").agg(F.sum("n").alias("into"))
     of_src, of_dst = F.col("n") / F.col("out"), F.col("n") / F.col("into")
@@ -79,7 +93,7 @@ def propagate(seeds: DataFrame, links: DataFrame, damping: float = 0.85, rounds:
     nodes = seeds.join(out.select(F.col("src").alias("host"), F.lit(True).alias("has_out")), "host", "left").join(into.select(F.col("dst").alias("host"), F.lit(True).alias("has_in")), "host", "left")
     nodes = materialize(nodes.fillna(False, ["has_out", "has_in"]), "hosts")
     now = nodes.select("host", "trust", "distrust")
-    for k in range(rounds):
+    for k in range(most):
         given = edges.join(now, edges["src"] == now["host"]).select(F.col("dst").alias("host"), (F.col("trust") * F.col("along")).alias("t"), F.lit(0.0).alias("d"))
         blamed = edges.join(now, edges["dst"] == now["host"]).select(F.col("src").alias("host"), F.lit(0.0).alias("t"), (F.col("distrust") * F.col("against")).alias("d"))
         got = given.union(blamed).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
@@ -99,8 +113,9 @@ def propagate(seeds: DataFrame, links: DataFrame, damping: float = 0.85, rounds:
         if k:
             drop_materialized(now)
         now = new.select("host", "trust", "distrust")
-        if (moved or 0.0) <= tolerance:
+        if rounds is None and (moved or 0.0) <= tolerance:
             break
+    drop_materialized(edges)
     return now
 
 
@@ -113,6 +128,6 @@ def judge_urls(pages: DataFrame, rules: list[Rule], threshold: float = 0.5, page
     share = [F.avg((F.col("rule_verdict").eqNullSafe(v)).cast("double")).alias(c) for v, c in (("allow", "trust"), ("block", "distrust"))]
     linked = links.select(F.col("src").alias("host")).union(links.select(F.col("dst").alias("host"))).distinct()
     seeds = ruled.filter("host <> ''").groupBy("host").agg(*share).join(linked, "host", "full").fillna(0.0, ["trust", "distrust"])
-    scores = propagate(seeds, links, **{"mean": True, "rounds": 60} | options).select("host", (F.col("distrust") - F.col("trust")).alias("host_score"))
+    scores = propagate(seeds, links, **{"mean": True} | options).select("host", (F.col("distrust") - F.col("trust")).alias("host_score"))
     verdict = F.coalesce("rule_verdict", F.when(F.col("host_score") > threshold, "block").otherwise("allow"))
-    return ruled.join(scores, "host", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.coalesce("host_score", F.lit(0.0)).alias("host_score"))
+    return with_host_rows(ruled, scores).select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.coalesce("host_score", F.lit(0.0)).alias("host_score"))
