@@ -3,7 +3,8 @@
 A text's features are all its byte n-grams (2 to 4 bytes of the lower-cased UTF-8, characters of ASCII other than letters
 folded to a space), hashed into ``2**bits`` buckets. Each bucket has an embedding; a text is the mean of its n-grams'
 embeddings, and a linear layer with softmax gives the languages. Both are trained by stochastic gradient descent in numpy
-on a sample of at most ``sample`` labelled texts, drawn by a hash of doc_id and text over all training texts and sent as bucket counts. A fifth
+on a sample of at most ``sample`` labelled texts, drawn by a hash of doc_id and text over all training texts (two thirds in proportion, the rest so that rare
+languages have a floor of texts) and sent as bucket counts. A fifth
 of the sample is not trained on but calibrates: a temperature that makes scores honest, and the score below
 which a prediction is rejected so that the others reach ``precision``.
 
@@ -148,10 +149,17 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], languages: list[str],
 
 
 def sample_and_train(labelled: DataFrame, sample: int = 2500, bits: int = 14, **options) -> Model:  # noqa: ANN003
-    """A model from at most ``sample`` rows of (doc_id, text, lang), drawn by a hash of doc_id and text."""
-    n = labelled.count()
-    share = min(1.0, 0.9 * sample / max(n, 1))
-    drawn = labelled.withColumn("h", hash60(F.col("doc_id"), F.xxhash64("text"), seed=5)).filter(F.col("h") < int(share * (1 << 60))).select("text", "lang", "h")
+    """A model from at most ``sample`` rows of (doc_id, text, lang), drawn by a hash of doc_id and text.
+
+    A language is drawn in proportion to its texts, and as a whole or with ``floor`` of them if that is more.
+    """
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    totals = sizes.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).first()
+    floor = 0.25 * sample / max(totals["kinds"], 1)
+    share = F.least(F.lit(1.0), F.greatest(F.lit(0.65 * sample / max(totals["n"] or 0, 1)), F.lit(floor) / F.col("n")))
+    wanted = sizes.select(F.col("lang").alias("l"), (share * (1 << 60)).cast("long").alias("below"))
+    placed = labelled.withColumn("h", hash60(F.col("doc_id"), F.xxhash64("text"), seed=5))
+    drawn = placed.join(wanted, (F.col("lang") == F.col("l")) & (F.col("h") < F.col("below"))).select("text", "lang", "h")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -159,7 +167,7 @@ def sample_and_train(labelled: DataFrame, sample: int = 2500, bits: int = 14, **
             columns = [pa.array([f.astype("<u4").tobytes() for f in x], pa.binary()) for x in zip(*found, strict=True)] if found else [pa.array([], pa.binary())] * 2
             yield pa.RecordBatch.from_arrays([*columns, b.column(1), b.column(2)], ["which", "counts", "lang", "h"])
 
-    rows = drawn.mapInArrow(count, "which binary, counts binary, lang string, h long").limit(sample).collect()  # bounded by ``sample``
+    rows = drawn.mapInArrow(count, "which binary, counts binary, lang string, h long").orderBy("h").limit(sample).collect()  # bounded by ``sample``
     rows.sort(key=lambda r: (r["h"], r["lang"], bytes(r["which"])))
     languages = sorted({r["lang"] for r in rows})
     place = {lang: k for k, lang in enumerate(languages)}
