@@ -14,7 +14,7 @@ third of all rows shuffles no more than any other. The driver sees one row a
 source and level; the number of sources is checked against ``max_sources``.
 
 Edge cases: null text has size 0; a null source is a source of its own, last in
-order; a source of size 0 has target 0; equal doc_ids share one hash and one
+order; a source of size 0 has target 0; rows equal in doc_id and text share one hash and one
 decision; an empty table gives an empty result; only the named columns are read,
 so extra columns don't clash.
 """
@@ -58,18 +58,19 @@ def _thresholds(base: DataFrame, rests: dict[str | None, Fraction], bits: int) -
     used = 0
     while state:
         step = min(bits, HASH_BITS - used)
-        rows = [{"s": s, "prefix": p, "rest": float(rests[s] - below)} for s, (p, below) in state.items()]
-        open_ = F.broadcast(small_table(spark, rows, "s string, prefix bigint, rest double"))
+        left = {s: rests[s] - below for s, (_, below) in state.items()}
+        rows = [{"s": s, "prefix": p, "rest": left[s].numerator, "den": left[s].denominator} for s, (p, _) in state.items()]
+        open_ = F.broadcast(small_table(spark, rows, "s string, prefix bigint, rest decimal(38,0), den decimal(12,0)"))
         digit = F.shiftright("h", HASH_BITS - used - step)
         histogram = (
             base.join(open_, base["source"].eqNullSafe(open_["s"]) & (F.shiftright("h", HASH_BITS - used) == F.col("prefix")))
-            .groupBy("s", "rest", digit.alias("bucket"))
+            .groupBy("s", "rest", "den", digit.alias("bucket"))
             .agg(F.sum("size").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi"))
         )
         upto = F.sum("n").over(Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
         crossed = (
             histogram.withColumn("upto", upto)
-            .filter(F.col("upto") >= F.col("rest"))
+            .filter(F.col("upto").cast("decimal(26,0)") * F.col("den") >= F.col("rest"))
             .groupBy("s")
             .agg(F.min_by(F.struct("bucket", "n", "lo", "hi", "upto"), "bucket").alias("b"))
         )
@@ -93,6 +94,7 @@ def mix(
     max_repeat: int = 3,
     doc_id: str = "doc_id",
     source: str = "source",
+    text: str = "text",
     size: Column | None = None,
     bits: int = 12,
     seed: int = 0,
@@ -102,12 +104,13 @@ def mix(
     """How often the mix takes each document.
 
     Returns doc_id, source, size, source_size, target, copies, taken and, as a struct
-    ``carried``, the columns named in ``carry``, whatever their names. ``size`` defaults to the words of column text.
+    ``carried``, the columns named in ``carry``, whatever their names. ``size`` defaults to the words of ``text``.
     """
     spark = docs.sparkSession
-    size = word_count(F.col("text")) if size is None else size
+    own = F.md5(F.col(text).cast("binary"))
+    size = word_count(F.col(text)) if size is None else size
     carried = [F.struct(*carry).alias("carried")] if carry else []
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.cast("long").alias("size"), hash60(F.col(doc_id), seed=seed).alias("h"), *carried)
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.cast("long").alias("size"), hash60(F.col(doc_id), own, seed=seed).alias("h"), *carried)
     base = materialize(base, "mix")
     sizes = base.groupBy("source").agg(F.sum("size").alias("n")).limit(max_sources + 1).collect()
     if len(sizes) > max_sources:

@@ -100,7 +100,7 @@ def op10_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = r"""
 WITH RECURSIVE base AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5('0|' || coalesce(doc_id::VARCHAR, '~')), 1, 15))::BIGINT AS h
+         ('0x' || substr(md5('0|' || coalesce(doc_id::VARCHAR, '~') || '|' || coalesce(md5(text), '~')), 1, 15))::BIGINT AS h
   FROM documents
 ), per AS (
   SELECT source, sum(size)::BIGINT AS n, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM base GROUP BY source
