@@ -1,10 +1,14 @@
 """Mixing, sharding, url filters and the pipeline."""
 
+import bisect
+import hashlib
 import os
 import random
+import zlib
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import linkgraph, mixing, ring
 
@@ -82,6 +86,43 @@ def test_ring(spark, slack):
     assert {(r["size"], r["text_crc32"]) for r in got if r["doc_id"] is None} == {(1, 0), (2, 2363233923)}
 
 
+def brute_ring(rows, shards=8, nodes=64):
+    """(shard, slot) counts of a ring walked row by row: each arc's rows in order, own rows first, the rest clockwise."""
+    h60 = lambda *parts: int(hashlib.md5("|".join(map(str, ("0", *parts))).encode()).hexdigest()[:15], 16)
+    points = sorted((h60("node", n % shards, n), n % shards) for n in range(shards * nodes))
+    arcs = [[] for _ in points]
+    for doc_id, text, _ in rows:
+        crc = zlib.crc32((text or "").encode())
+        h = h60("~" if doc_id is None else doc_id, crc)
+        at = bisect.bisect_left(points, (h, -1)) % len(points)
+        arcs[at].append((h, -1 if doc_id is None else doc_id, len((text or "").encode()) + 1, crc))
+    room, taken, over, out = [len(rows) // shards + (s < len(rows) % shards) for s in range(shards)], [0] * shards, [], []
+
+    def put(row, shard):
+        out.append((*row[1:], shard, taken[shard]))
+        room[shard] -= 1
+        taken[shard] += 1
+
+    for at, arc in enumerate(arcs):
+        for row in sorted(arc):
+            if room[points[at][1]]:
+                put(row, points[at][1])
+            else:
+                over.append((at, row))
+    for at, row in over:
+        while not room[points[at][1]]:
+            at = (at + 1) % len(points)
+        put(row, points[at][1])
+    return out
+
+
+def test_ring_equals_a_walk_row_by_row(spark):
+    rng = random.Random(11)
+    rows = [(k, f"t{rng.randrange(400)}", "s") for k in range(1500)] + [(7, "t7", "s")] * 250 + [(None, None, None), (None, "é", "s")]
+    got = ring.shard_rows(docs(spark, rows).repartition(5), slice_rows=100).collect()
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in got) == sorted(brute_ring(rows))
+
+
 RULES = [("com", "/", "allow"), ("bad.com", "/x/", "block"), ("net", "/", "block")]
 
 
@@ -103,7 +144,7 @@ def test_urls(spark):
 def test_propagation_equals_a_dense_iteration(spark):
     seeds = spark.createDataFrame([("a", 1.0, 0.0), ("b", 0.0, 0.0), ("c", 0.0, 1.0), ("d", 0.2, 0.3)], "host string, trust double, distrust double")
     links = spark.createDataFrame([("a", "b", 3), ("a", "c", 1), ("b", "c", 2), ("d", "a", 5)], "src string, dst string, n long")
-    got = {r["host"]: (r["trust"], r["distrust"]) for r in linkgraph.propagate(seeds, links, rounds=12, tolerance=0.0).collect()}
+    got = {r["host"]: (r["trust"], r["distrust"]) for r in linkgraph.propagate(seeds, links, rounds=12).collect()}
     s = {"a": (1.0, 0.0), "b": (0.0, 0.0), "c": (0.0, 1.0), "d": (0.2, 0.3)}
     along = {("a", "b"): 0.75, ("a", "c"): 0.25, ("b", "c"): 1.0, ("d", "a"): 1.0}
     against = {("a", "b"): 1.0, ("a", "c"): 1 / 3, ("b", "c"): 2 / 3, ("d", "a"): 1.0}
@@ -149,6 +190,19 @@ def test_verdicts_do_not_depend_on_degree(spark):
     assert got[200]["verdict"] == "block" and all(got[k]["verdict"] == "allow" for k in (201, 202, 203))
 
 
+def test_propagation_blocks_and_rescues_over_two_hops(spark):
+    a = lambda *hosts: "".join(f'<a href="http://{h}/p">t</a>' for h in hosts)
+    rows = [(1, "http://evil.net/", None), (2, "http://near.org/", a("evil.net")), (3, "http://far.org/", a("near.org")), (4, "http://also.org/", a("near.org", "evil.net"))]
+    rows += [(5, "http://good.com/", a("kept.org")), (6, "http://kept.org/", a("evil.net")), (7, "http://lost.org/", a("evil.net"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: (r["verdict"], r["host_score"]) for r in linkgraph.judge_urls(df, [("net", "/", "block"), ("com", "/", "allow")]).collect()}
+    assert [got[k][0] for k in (2, 3, 4, 7)] == ["block"] * 4 and abs(got[3][1] - 0.85**2) < 1e-3
+    assert got[6][0] == "allow" and abs(got[6][1]) < 1e-3  # a trusted host vouches for it
+    for most in (0, 500_000):
+        pages = df.select("page_id", linkgraph.host_of(F.col("url")).alias("host"), F.lit("/").alias("path"))
+        assert linkgraph.with_host_rows(pages, pages.select("host", F.length("host").alias("n")), most).filter("n = length(host)").count() == 7
+
+
 def test_passages_of_fifty_five_words_go_and_clean_texts_stay(spark):
     import corpus_pipeline as p
 
