@@ -41,3 +41,9 @@ def mode_per(df: DataFrame, keys: list[str], value: str, alias: str) -> DataFram
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     least = F.min(F.struct((-F.col("_n")).alias("n"), F.col(value).alias("v")))
     return counts.groupBy(*keys).agg(least.alias("_m")).select(*keys, F.col("_m.v").alias(alias))
+
+
+def numbered_top(df: DataFrame, order: list[Column], n: int, place: str = "place") -> DataFrame:
+    """The first ``n`` rows of the whole table with their place: each task passes on n rows, and only n are numbered."""
+    few = df.orderBy(*order).limit(n)
+    return few.withColumn(place, F.row_number().over(Window.orderBy(*order)).cast("long"))
