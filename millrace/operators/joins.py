@@ -64,3 +64,18 @@ def mutually_unique(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Pairs whose two sides are in no other pair."""
     n = lambda c: F.count(F.lit(1)).over(Window.partitionBy(c))
     return pairs.withColumn("_a", n(a)).withColumn("_b", n(b)).filter("_a = 1 and _b = 1").drop("_a", "_b")
+
+
+def in_range(spans: DataFrame, points: DataFrame, same: tuple[Column, Column], span: tuple[str, str], at: str, slot_seconds: int = 3600) -> DataFrame:
+    """Spans joined with the points of the same key from start to end, both ends included; both sides are dealt to time slots."""
+    left = spans.withColumn("_key", same[0]).withColumn("_slot", F.explode(_slots(F.col(span[0]), F.col(span[1]), slot_seconds)))
+    right = points.withColumn("_key", same[1]).withColumn("_slot", F.floor(epoch_seconds(F.col(at)) / slot_seconds))
+    return left.join(right, ["_key", "_slot"]).filter((F.col(at) >= F.col(span[0])) & (F.col(at) <= F.col(span[1]))).drop("_key", "_slot")
+
+
+def equal_or_first(df: DataFrame, table: DataFrame, key: str, values: list[str]) -> DataFrame:
+    """Rows with the table's row of their key, else with its first row by key (none if the table is empty)."""
+    first = table.agg(F.min_by(F.struct(key, *values), key).alias("_first"))  # one row
+    met = df.join(table.select(F.col(key).alias("_key"), *values), F.col(key) == F.col("_key"), "left").join(F.broadcast(first), F.lit(True))
+    took = lambda c, own: F.when(F.col("_key").isNotNull(), F.col(own)).otherwise(F.col("_first")[c]).alias(c)
+    return met.select(*[c for c in df.columns if c != key], took(key, key), *[took(v, v) for v in values])
