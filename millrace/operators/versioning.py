@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -46,3 +46,88 @@ def fold_ops(ops: DataFrame, op_id: str, entity: str, kind: str, position: str,
     """
     once = ops.groupBy(op_id).agg(F.min_by(F.struct(entity, kind, position), position).alias("o")).select(op_id, "o.*")
     return once.groupBy(entity).agg(F.count(F.lit(1)).alias("version"), F.max_by(kind, position).alias("last_op"), (F.max_by(kind, position) == removes).alias("removed"))
+
+
+def activate(versions: DataFrame, loaded: DataFrame, version: str, flag: str = "is_active") -> DataFrame:
+    """Versions after a bulk load: the loaded one is added and is the only active one."""
+    rest = versions.join(loaded.select(version).distinct(), version, "left_anti")
+    return rest.withColumn(flag, F.lit(False)).unionByName(loaded.withColumn(flag, F.lit(True)).select(*rest.columns))
+
+
+def insert_missing(current: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
+    """``current`` and the batch's rows of keys that it lacks (the batch's keys are distinct); existing rows stay as they are."""
+    return current.unionByName(batch.join(current.select(*keys), keys, "left_anti").select(*current.columns))
+
+
+def update_from(current: DataFrame, changes: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """``current`` with the fields of matching changes where they aren't null."""
+    new = changes.select(*keys, *[F.col(f).alias(f"_{f}") for f in fields])
+    joined = current.join(new, keys, "left")
+    return joined.withColumns({f: F.coalesce(F.col(f"_{f}"), F.col(f)) for f in fields}).select(*current.columns)
+
+
+def roll_back(current: DataFrame, today: Column, **wanted: object) -> DataFrame:
+    """``current`` with the open versions that fit all given values closed; without a value it refuses to run."""
+    given = {c: v for c, v in wanted.items() if v is not None}
+    if not given:
+        raise ValueError("a rollback needs a key")
+    hit = F.col("valid_until").isNull()
+    for c, v in given.items():
+        hit = hit & F.col(c).eqNullSafe(F.lit(v))
+    return current.withColumn("valid_until", F.when(hit, today).otherwise(F.col("valid_until")))
+
+
+def prune(rows: DataFrame, old: Column) -> tuple[DataFrame, DataFrame]:
+    """(what stays, one row with ``deleted``): rows that aren't old, and how many are."""
+    gone = F.coalesce(old, F.lit(False))
+    return rows.filter(~gone), rows.agg(F.count_if(gone).alias("deleted"))
+
+
+def gate(checks: DataFrame) -> DataFrame:
+    """One row (passed, failures) from check rows of (check_name, failing): publication goes on only if nothing fails."""
+    return checks.agg((F.coalesce(F.sum("failing"), F.lit(0)) == 0).alias("passed"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("failing") > 0, F.col("check_name")))), ",").alias("failures"))
+
+
+def merge_by_version(local: DataFrame, server: DataFrame, key: str, fields: list[str], keep: list[str]) -> DataFrame:
+    """Local rows (key, version, pending, fields, keep) merged with the server's.
+
+    A server row replaces the local one if its version is not less and nothing is pending; else the local row stays,
+    and only its empty ``fields`` are filled from the server. Rows only one side has stay.
+    """
+    s = server.select(key, *[F.col(c).alias(f"_{c}") for c in ("version", *fields, *keep)])
+    met = local.join(s, key, "full")
+    replaces = F.col("_version").isNotNull() & (F.col("version").isNull() | ((F.col("_version") >= F.col("version")) & (F.coalesce("pending", F.lit(0)) == 0)))
+    out = {c: F.when(replaces, F.col(f"_{c}")).otherwise(F.coalesce(F.col(c), F.col(f"_{c}"))) for c in fields}
+    out |= {c: F.when(replaces, F.col(f"_{c}")).otherwise(F.col(c)) for c in ("version", *keep)}
+    return met.withColumn("replaced", replaces).withColumns(out).select(key, "version", *fields, *keep, "replaced")
+
+
+def replay(ops: DataFrame, op_id: str, entity: str, kind: str, value: str, position: str, sets: dict[str, tuple[str, Column, Column]], removes: str) -> DataFrame:
+    """The entities after an operation log: (entity, version, removed, and a column for each of ``sets``).
+
+    An op id applies once (its first row). ``sets`` maps a column to (kind of op, whether its value is valid, the value stored); the last valid op of that kind
+    decides; an op with an invalid value isn't applied. After a removal nothing applies. Every applied op adds one to the version, which begins at 1.
+    """
+    once = ops.groupBy(op_id).agg(F.min_by(F.struct(entity, kind, value, position), position).alias("_o")).select("_o.*")
+    ended = F.min(F.when(F.col(kind) == removes, F.col(position))).over(Window.partitionBy(entity))
+    live = once.withColumn("_end", ended).filter(F.col("_end").isNull() | (F.col(position) <= F.col("_end")))
+    valid = F.lit(True)
+    for k, good, _ in sets.values():
+        valid = valid & ((F.col(kind) != k) | F.coalesce(good, F.lit(False)))
+    live = live.filter(valid)
+    stored = [F.max_by(F.when(F.col(kind) == k, stored), F.when(F.col(kind) == k, F.col(position))).alias(c) for c, (k, _, stored) in sets.items()]
+    return live.groupBy(entity).agg((F.count(F.lit(1)) + 1).alias("version"), F.max(F.col(kind) == removes).alias("removed"), *stored)
+
+
+def shares(ops: DataFrame, owner: str, kind: str, position: str, day: Column, quota: int, create: str, rotate: str, revoke: str) -> DataFrame:
+    """What each share operation did: created, reused, rotated, refused (the quota of rotations a local day is used up) or revoked.
+
+    A create with an active share reuses it; a rotation revokes it and creates another. Operations of other kinds do nothing.
+    """
+    of = ops.filter(F.col(kind).isin(create, rotate, revoke)).withColumn("_day", day)
+    nth = F.row_number().over(Window.partitionBy(owner, "_day", kind).orderBy(position))
+    of = of.withColumn("_refused", (F.col(kind) == rotate) & (nth > quota))
+    w = Window.partitionBy(owner).orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
+    active = F.coalesce(F.last(F.when(~F.col("_refused"), F.col(kind) != revoke), True).over(w), F.lit(False))
+    done = F.when(F.col("_refused"), "refused").when(F.col(kind) == revoke, F.when(active, "revoked").otherwise("nothing")).when(F.col(kind) == rotate, "rotated").otherwise(F.when(active, "reused").otherwise("created"))
+    return of.withColumn("outcome", done).drop("_day", "_refused")
