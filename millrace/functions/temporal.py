@@ -126,3 +126,19 @@ def window_start(ts: Column, seconds: int) -> Column:
     """The start of the fixed window, aligned to 1970, in epoch seconds."""
     at = epoch_seconds(ts)
     return at - F.pmod(at, F.lit(seconds))
+
+
+def relative_status(minutes: Column, now: Column, near: int = 75) -> Column:
+    """now within so many minutes of a time of day, else past or later."""
+    return F.when(F.abs(minutes - now) <= near, "now").when(minutes < now, "past").otherwise("later")
+
+
+def on_scale(value: Column, domain: tuple[int, int], to: tuple[int, int]) -> Column:
+    """A value's place on a linear scale, rounded half up and kept between its ends."""
+    (a, b), (lo, hi) = domain, to
+    return F.greatest(F.lit(lo), F.least(F.lit(hi), F.floor(lo + (value - a) * (hi - lo) / float(b - a) + 0.5))).cast("long")
+
+
+def proper_end(start: Column, end: Column, minutes: int) -> Column:
+    """The end if it isn't before the start, else so many minutes after the start."""
+    return F.when(end.isNull() | (end < start), F.timestamp_add("MINUTE", F.lit(minutes), start)).otherwise(end)

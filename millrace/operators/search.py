@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.scoring import field_score
+from millrace.operators.ranking import numbered_top
 
 
 def score(df: DataFrame, query: str, weights: dict[str, float]) -> DataFrame:
@@ -22,3 +27,75 @@ def suggest(df: DataFrame, prefix: str, column: str, limit: int = 8) -> DataFram
     """The most frequent values that start with the prefix (two characters or more)."""
     low = F.lower(column)
     return df.filter(F.lit(len(prefix) >= 2) & low.startswith(prefix.lower())).groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), column).limit(limit)
+
+
+def levels(text: Column, query: str, words: list[str], exact: float, prefix: float, contains: float, token: float) -> Column:
+    """The level of a phrase in a text: equal, beginning, inside, or the share of its words inside; 0 for none."""
+    inside = [F.contains(text, F.lit(w)).cast("int") for w in words]
+    hits = reduce(lambda a, b: a + b, inside, F.lit(0))
+    part = hits * F.lit(float(token)) / max(len(words), 1)
+    return F.when(text == query, float(exact)).when(F.startswith(text, F.lit(query)), float(prefix)).when(F.contains(text, F.lit(query)), float(contains)).otherwise(part)
+
+
+@dataclass(frozen=True)
+class Scorer:
+    """How one kind of row scores: levels of its title, of all its words, and boosts added where they hold."""
+
+    title: Column
+    words: Column
+    on_title: tuple[float, float, float, float]
+    on_words: tuple[float, float, float, float]
+    boosts: tuple[Column, ...] = ()
+
+    def score(self, query: str) -> Column:
+        q = query.strip().lower()
+        parts = [w for w in re.split("[^a-z0-9]+", q) if w]
+        total = levels(F.lower(self.title), q, parts, *self.on_title) + levels(F.lower(self.words), q, parts, *self.on_words)
+        return reduce(lambda a, b: a + b, self.boosts, total)
+
+
+def intent(words: Column, aliases: dict[str, str]) -> Column:
+    """The category of the first word that has one, else that of all words together; null if none has."""
+    table = F.create_map(*[F.lit(x) for kv in sorted(aliases.items()) for x in kv])
+    each = F.filter(F.transform(words, lambda w: F.try_element_at(table, w)), lambda c: c.isNotNull())
+    return F.coalesce(F.get(each, F.lit(0)), F.try_element_at(table, F.array_join(words, " ")))
+
+
+def word_weights(parts: dict[str, tuple[Column, float]]) -> Column:
+    """A weighted word vector: each word of each part with the greatest weight of its parts, in order of words."""
+
+    def weighted(c: Column, weight: float) -> Column:
+        words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+"), lambda w: w != ""))
+        return F.transform(words, lambda w: F.struct(w.alias("word"), F.lit(weight).alias("weight")))
+
+    every = F.concat(*[weighted(*p) for p in parts.values()])
+    return F.transform(F.array_sort(F.array_distinct(F.transform(every, lambda e: e["word"]))), lambda w: F.struct(w.alias("word"), F.array_max(F.transform(F.filter(every, lambda e: e["word"] == w), lambda e: e["weight"])).alias("weight")))
+
+
+def rank(vector: Column, query: str) -> Column:
+    """The sum of the query words' weights in a vector if it has all of them, else null."""
+    words = list(dict.fromkeys(w for w in re.split("[^a-z0-9]+", query.lower()) if w))
+
+    def entry(word: str) -> Column:
+        return F.filter(vector, lambda e: e["word"] == word)
+
+    held = [entry(w) for w in words]
+    every = reduce(lambda a, b: a & b, [F.size(h) > 0 for h in held], F.lit(bool(words)))
+    return F.when(every, reduce(lambda a, b: a + b, [F.coalesce(F.get(h, F.lit(0))["weight"], F.lit(0.0)) for h in held], F.lit(0.0)))
+
+
+def hydrate(hits: DataFrame, sources: dict[str, DataFrame], columns: list[str]) -> DataFrame:
+    """Hits (place, kind, id) with their rows from the source of their kind, in the order of the hits; hits without a row are dropped."""
+    out = None
+    for kind, source in sources.items():
+        one = hits.filter(F.col("kind") == kind).join(source.select("id", *columns), "id").select("place", "kind", "id", *columns)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def capped(hits: DataFrame, caps: dict[str, int], order: list[Column], limit: int) -> DataFrame:
+    """The first ``limit`` hits of all kinds, and of these each kind's first as its cap says; kinds without a cap go."""
+    top = numbered_top(hits, order, limit)
+    cap = F.try_element_at(F.create_map(*[F.lit(x) for kv in sorted(caps.items()) for x in kv]), F.col("kind"))
+    nth = F.row_number().over(Window.partitionBy("kind").orderBy("place"))
+    return top.withColumn("_n", nth).filter(F.col("_n") <= F.coalesce(cap, F.lit(0))).drop("_n")
