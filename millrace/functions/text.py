@@ -8,6 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Fixed value: the characters of sound titles.
+TITLE_CHARACTERS = r"""[A-Za-z0-9\s'\u2019":,&.!?-]"""
+
+
 def squash(text: Column) -> Column:
     """Trimmed, lower-cased, white space collapsed."""
     return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
@@ -67,10 +71,11 @@ def letter_spaced(text: Column, least: int = 4, share: float = 0.65) -> Column:
 
 
 def garbage_ratio(text: Column) -> Column:
-    """The share of characters other than ASCII letters, digits, space and common punctuation, years in brackets left out; 1 for empty texts."""
-    rest = F.regexp_replace(F.coalesce(text, F.lit("")), r"\([0-9]{4}\)", "")
-    bad = F.regexp_replace(rest, r"[A-Za-z0-9 .,:;!?'&()\n-]+", "")
-    return F.when(F.length(rest) == 0, 1.0).otherwise(F.length(bad) / F.length(rest))
+    """The share of characters that are none of those a title has, years in brackets and white space around left out; 1 for empty texts, 0 for nothing but a year."""
+    own = F.coalesce(text, F.lit(""))
+    rest = F.regexp_replace(F.regexp_replace(own, r"\([0-9]{4}\)", ""), r"^\s+|\s+$", "")
+    bad = F.regexp_replace(rest, TITLE_CHARACTERS + "+", "")
+    return F.when(own == "", 1.0).when(rest == "", 0.0).otherwise(F.length(bad) / F.length(rest))
 
 
 def keyword_labels(text: Column, rules: list[tuple[str, str]], default: str | None = None) -> Column:

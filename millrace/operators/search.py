@@ -99,3 +99,21 @@ def capped(hits: DataFrame, caps: dict[str, int], order: list[Column], limit: in
     cap = F.try_element_at(F.create_map(*[F.lit(x) for kv in sorted(caps.items()) for x in kv]), F.col("kind"))
     nth = F.row_number().over(Window.partitionBy("kind").orderBy("place"))
     return top.withColumn("_n", nth).filter(F.col("_n") <= F.coalesce(cap, F.lit(0))).drop("_n")
+
+
+def similar_sets(rows: DataFrame, row_id: str, items: str, threshold: float) -> DataFrame:
+    """(a, b, similarity), a < b: all pairs of rows whose sets have a Jaccard similarity of ``threshold`` or more.
+
+    Sets are ordered from their rarest item. Two sets that are alike share one of each other's first n - ceil(threshold * n) + 1 items,
+    so only these are joined on, and only sets of like sizes; common items, which nearly all sets hold, come last and are seldom joined on.
+    """
+    each = rows.select(F.col(row_id).alias("id"), F.explode(F.array_distinct(items)).alias("x"))
+    often = each.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    ordered = each.join(often, "x").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "x"))), lambda e: e["x"]).alias("s"))  # one row's items
+    ordered = ordered.withColumn("size", F.size("s")).withColumn("x", F.explode(F.slice("s", F.lit(1), (F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).cast("int"))))
+    side = lambda k: ordered.select("x", F.col("id").alias(k), F.col("s").alias(f"s{k}"), F.col("size").alias(f"n{k}"))
+    like = (F.col("na") >= F.col("nb") * threshold - 1e-9) & (F.col("nb") >= F.col("na") * threshold - 1e-9)
+    met = side("a").join(side("b"), "x").filter((F.col("a") < F.col("b")) & like).dropDuplicates(["a", "b"])
+    shared = F.size(F.array_intersect("sa", "sb"))
+    similarity = shared / (F.col("na") + F.col("nb") - shared)
+    return met.select("a", "b", similarity.alias("similarity")).filter(F.col("similarity") >= threshold)

@@ -187,7 +187,7 @@ SELECT c_mktsegment, n_name, count(*) AS n FROM customer JOIN nation ON n_nation
 def duplicate_groups(t: Tables) -> DataFrame:
     """Groups above a share of the whole."""
     total = t.customer.agg((F.count(F.lit(1)) / 100).alias("most"))
-    g = t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("c_mktsegment", "n_name").agg(F.count(F.lit(1)).alias("n"))
+    g = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("c_mktsegment", "n_name").agg(F.count(F.lit(1)).alias("n"))
     return g.join(F.broadcast(total), F.col("n") > F.col("most")).drop("most")  # one row
 
 

@@ -233,14 +233,14 @@ def op_log_fold(t: Tables) -> DataFrame:
 
 @query("""
 WITH e AS (SELECT DISTINCT 's' || s_nationkey AS src, 'r' || n_regionkey AS dst, 'supply' AS l FROM supplier JOIN nation ON n_nationkey = s_nationkey
- UNION SELECT DISTINCT 'r' || n_regionkey, 'c' || c_nationkey, 'demand' FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_nationkey % 3 = 0)
+ UNION SELECT DISTINCT 'r' || n_regionkey, 'c' || c_nationkey, 'demand' FROM customer JOIN nation ON n_nationkey = c_nationkey)
 SELECT a.src, a.dst AS via, b.dst, CASE WHEN a.l = b.l THEN a.l ELSE a.l || '>' || b.l END AS labels FROM e a JOIN e b ON a.dst = b.src WHERE a.src <> a.dst AND b.src <> b.dst AND a.src <> b.dst
 """)
 def two_hop_paths(t: Tables) -> DataFrame:
     """Supplier nations to customer nations through a region."""
     n = t.nation.select("n_nationkey", F.concat(F.lit("r"), "n_regionkey").alias("region"))
     up = t.supplier.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("s"), "s_nationkey").alias("src"), F.col("region").alias("dst"), F.lit("supply").alias("label"))
-    down = t.customer.filter("c_nationkey % 3 = 0").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("region").alias("src"), F.concat(F.lit("c"), "c_nationkey").alias("dst"), F.lit("demand").alias("label"))
+    down = t.customer.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("region").alias("src"), F.concat(F.lit("c"), "c_nationkey").alias("dst"), F.lit("demand").alias("label"))
     return graph.two_hop_paths(up.union(down).distinct(), "src", "dst", "label")
 
 
@@ -308,14 +308,13 @@ def count_drift(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH r AS (SELECT n_nationkey, e.event_type FROM nation, (SELECT DISTINCT event_type FROM events) e), s AS (SELECT DISTINCT user_id % 25 AS n_nationkey, event_type FROM events WHERE value > 99)
+WITH r AS (SELECT n_nationkey, e.event_type FROM nation, (SELECT unnest(['signup', 'purchase', 'error', 'view', 'refund']) AS event_type) e), s AS (SELECT DISTINCT user_id % 20 AS n_nationkey, event_type FROM events WHERE value > 99)
 SELECT r.n_nationkey, r.event_type FROM r LEFT JOIN s ON s.n_nationkey = r.n_nationkey AND s.event_type = r.event_type WHERE s.event_type IS NULL
 """)
 def required_completeness(t: Tables) -> DataFrame:
     """Which required (nation, type) pairs have no event of high value."""
-    types = t.events.select("event_type").distinct()
-    required = t.nation.select("n_nationkey").join(F.broadcast(types))  # a handful of types
-    seen = t.events.filter("value > 99").select((F.col("user_id") % 25).cast("int").alias("n_nationkey"), "event_type")
+    required = t.nation.select("n_nationkey", F.explode(F.lit(["signup", "purchase", "error", "view", "refund"])).alias("event_type"))
+    seen = t.events.filter("value > 99").select((F.col("user_id") % 20).cast("int").alias("n_nationkey"), "event_type")
     return aggregates.missing_required(required, seen, ["n_nationkey", "event_type"])
 
 
@@ -351,12 +350,13 @@ def merge_identical(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT DISTINCT s_nationkey AS a, c_nationkey % 12 AS b FROM supplier JOIN customer ON s_suppkey = c_custkey)
+WITH p AS (SELECT DISTINCT CASE WHEN s_suppkey % 3 = 1 THEN s_suppkey - 1 ELSE s_suppkey END AS a, CASE WHEN c_custkey % 5 = 1 THEN c_custkey - 1 ELSE c_custkey END AS b FROM supplier JOIN customer ON s_suppkey = c_custkey)
 SELECT a, b FROM p QUALIFY count(*) OVER (PARTITION BY a) = 1 AND count(*) OVER (PARTITION BY b) = 1
 """)
 def mutual_matches(t: Tables) -> DataFrame:
     """Pairs that are each other's only match."""
-    pairs = t.supplier.join(t.customer, F.col("s_suppkey") == F.col("c_custkey")).select(F.col("s_nationkey").alias("a"), (F.col("c_nationkey") % 12).alias("b")).distinct()
+    near = lambda c, n: F.when(F.col(c) % n == 1, F.col(c) - 1).otherwise(F.col(c))
+    pairs = t.supplier.join(t.customer, F.col("s_suppkey") == F.col("c_custkey")).select(near("s_suppkey", 3).alias("a"), near("c_custkey", 5).alias("b")).distinct()
     return joins.mutually_unique(pairs, "a", "b")
 
 
@@ -390,9 +390,9 @@ WITH r AS (SELECT r.r_name, n.n_name, c.c_mktsegment, o.o_orderpriority, l.l_ext
 SELECT r_name, c_mktsegment, count(*) AS n, round(sum(v), 2) AS revenue, count(DISTINCT n_name) AS nations FROM r GROUP BY ALL
 """)
 def entity_chain(t: Tables) -> DataFrame:
-    """Five tables joined from lines to regions, the small ones by broadcast."""
+    """Five tables joined from lines to regions, the small ones as the planner sees fit."""
     r = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
-    r = r.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
+    r = r.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
     return r.groupBy("r_name", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.countDistinct("n_name").alias("nations"))
 
 

@@ -76,13 +76,12 @@ SELECT a, b, parts, round(shared / (total - shared), 6) AS similarity FROM p WHE
 def trigram_similarity(t: Tables) -> DataFrame:
     """Different part names that are alike by trigrams.
 
-    Equal names are counted as one first. Names meet in a join on their trigrams, and shared trigrams are counted.
+    Equal names are counted as one first. Names meet only on their rarest trigrams.
     """
-    n = t.part.groupBy("p_name").agg(F.count(F.lit(1)).alias("parts")).withColumn("g", scoring.trigrams(F.col("p_name"))).withColumn("size", F.size("g"))
-    side = lambda s: n.select(F.col("p_name").alias(s), F.col("parts").alias(f"{s}n"), F.col("size").alias(f"{s}s"), F.explode("g").alias("x"))
-    met = side("a").join(side("b"), "x").filter("a < b").groupBy("a", "b", "an", "bn", "as", "bs").agg(F.count(F.lit(1)).alias("shared"))
-    s = F.col("shared") / (F.col("as") + F.col("bs") - F.col("shared"))
-    return met.filter(s >= 0.3).select("a", "b", (F.col("an") * F.col("bn")).alias("parts"), F.round(s, 6).alias("similarity"))
+    n = t.part.groupBy("p_name").agg(F.count(F.lit(1)).alias("parts")).withColumn("g", scoring.trigrams(F.col("p_name")))
+    met = search.similar_sets(n.select("p_name", "g"), "p_name", "g", 0.3)
+    count = lambda s: n.select(F.col("p_name").alias(s), F.col("parts").alias(f"{s}n"))
+    return met.join(count("a"), "a").join(count("b"), "b").select("a", "b", (F.col("an") * F.col("bn")).alias("parts"), F.round("similarity", 6).alias("similarity"))
 
 
 @query(None)
@@ -102,8 +101,8 @@ def fuzzy_title(t: Tables) -> DataFrame:
 
 
 @query(r"""
-WITH t AS (SELECT doc_id, coalesce(text, '') AS x, regexp_replace(coalesce(text, ''), '\([0-9]{4}\)', '', 'g') AS r FROM documents),
-m AS (SELECT doc_id, CASE WHEN length(r) = 0 THEN 1.0 ELSE length(regexp_replace(r, '[A-Za-z0-9 .,:;!?''&()\n-]', '', 'g')) / length(r) END AS g, len(regexp_extract_all(x, '[^ \n]+')) AS w FROM t)
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x, regexp_replace(regexp_replace(coalesce(text, ''), '\([0-9]{4}\)', '', 'g'), '^\s+|\s+$', '', 'g') AS r FROM documents),
+m AS (SELECT doc_id, CASE WHEN x = '' THEN 1.0 WHEN r = '' THEN 0.0 ELSE length(regexp_replace(r, '[A-Za-z0-9\s''’":,&.!?-]', '', 'g')) / length(r) END AS g, len(regexp_extract_all(x, '[^ \n]+')) AS w FROM t)
 SELECT doc_id, round(g, 6) AS garbage, CASE WHEN w < 10 OR g > 0.2 THEN 'low' WHEN g > 0.05 THEN 'medium' ELSE 'high' END AS tier FROM m
 """)
 def quality_tier(t: Tables) -> DataFrame:
@@ -174,6 +173,17 @@ def url_path(t: Tables) -> DataFrame:
     return t.pages.select("page_id", text.url_path(F.col("url")).alias("path"))
 
 
+@query(r"""
+WITH b AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<h1(?:\s[^>]*)?>.*?</h1>|<h2(?:\s[^>]*)?>.*?</h2>|<p(?:\s[^>]*)?>.*?</p>|<li(?:\s[^>]*)?>.*?</li>')) AS b FROM pages),
+t AS (SELECT page_id, lower(regexp_extract(b, '^<([A-Za-z0-9]+)', 1)) AS tag, trim(regexp_replace(regexp_replace(b, '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS x FROM b)
+SELECT page_id, tag, count(*) AS blocks, sum(length(x))::BIGINT AS characters FROM t WHERE x <> '' GROUP BY ALL
+""")
+def html_blocks(t: Tables) -> DataFrame:
+    """The blocks of pages by tag."""
+    b = readers.page_blocks(t.pages, tags=("h1", "h2", "p", "li"))
+    return b.groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.length("text")).alias("characters"))
+
+
 @query(None)
 def html_lines(t: Tables) -> DataFrame:
     """The text lines of pages."""
@@ -231,7 +241,11 @@ def run_length_labels(t: Tables) -> DataFrame:
     return g.select("l_orderkey", F.array_join(arrays.run_length_dedupe(F.transform("s", lambda x: x["l_returnflag"])), ">").alias("path"))
 
 
-@query(None)
+@query(r"""
+WITH e AS (SELECT user_id || '/' || ts::DATE AS owner, ts, event_id, 'BEGIN:VEVENT' || chr(13) || chr(10) || 'UID:' || event_id || chr(13) || chr(10) || 'SUMMARY:' || event_type || chr(13) || chr(10) || 'DTSTART:' || strftime(ts, '%Y%m%dT%H%M%S') || chr(13) || chr(10)
+  || 'DTEND:' || strftime(ts + INTERVAL 1 HOUR, '%Y%m%dT%H%M%S') || chr(13) || chr(10) || 'END:VEVENT' AS x FROM events WHERE ts IS NOT NULL)
+SELECT owner, 'BEGIN:VCALENDAR' || chr(13) || chr(10) || 'VERSION:2.0' || chr(13) || chr(10) || string_agg(x, chr(13) || chr(10) ORDER BY ts, event_id) || chr(13) || chr(10) || 'END:VCALENDAR' AS ics FROM e GROUP BY owner
+""")
 def calendar_files(t: Tables) -> DataFrame:
     """A calendar file's text for each user and day."""
     e = t.events.withColumns({"owner": F.concat_ws("/", F.col("user_id").cast("string"), F.to_date("ts").cast("string")), "end": F.timestamp_add("HOUR", F.lit(1), F.col("ts"))})

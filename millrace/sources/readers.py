@@ -14,7 +14,7 @@ from millrace.functions.text import escape_calendar
 
 #: Elements whose text is not read, and elements that end a line.
 SKIPPED = {"script", "style", "svg", "noscript"}
-BLOCKS = {"address", "article", "aside", "blockquote", "br", "dd", "div", "dl", "dt", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section", "table", "td", "th", "tr", "ul", "title"}
+BLOCKS = {"article", "aside", "br", "dd", "div", "dl", "dt", "figcaption", "footer", "h1", "h2", "h3", "h4", "h5", "h6", "header", "li", "main", "nav", "ol", "p", "section", "table", "tbody", "td", "th", "thead", "tr", "ul"}
 
 
 def json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -39,9 +39,9 @@ class _Lines(HTMLParser):
         self.skip, self.parts, self.lines = 0, [], []
 
     def _end(self) -> None:
-        text = " ".join("".join(self.parts).split())
-        if text:
-            self.lines.append(text)
+        for line in "".join(self.parts).splitlines():  # a line of the source ends a line, too
+            if text := " ".join(line.split()):
+                self.lines.append(text)
         self.parts = []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -57,7 +57,7 @@ class _Lines(HTMLParser):
             self._end()
 
     def handle_data(self, data: str) -> None:
-        if not self.skip:
+        if not self.skip and data.strip():
             self.parts.append(data)
 
 
@@ -82,6 +82,14 @@ def page_lines(pages: DataFrame, key: str = "page_id", html: str = "html") -> Da
     return pages.select(key, html).mapInPandas(run, f"{key} {kind}, line int, text string")
 
 
+def page_blocks(pages: DataFrame, key: str = "page_id", html: str = "html", tags: tuple[str, ...] = ("h1", "h2", "h3", "h4", "p", "li", "td")) -> DataFrame:
+    """(key, place, tag, text): the blocks of pages in order, by SQL functions alone; a block inside another is part of it."""
+    pattern = "(?is)" + "|".join(rf"<{t}(?:\s[^>]*)?>.*?</{t}>" for t in tags)
+    found = pages.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(pattern), F.lit(0))).alias("place", "b"))
+    text = F.trim(F.regexp_replace(F.regexp_replace("b", "(?s)<[^>]*>", " "), r"\s+", " "))
+    return found.select(key, "place", F.lower(F.regexp_extract("b", "^<([A-Za-z0-9]+)", 1)).alias("tag"), text.alias("text")).filter("text <> ''")
+
+
 def page_links(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """(key, place, href, label): the anchors of pages, by SQL functions alone."""
     anchors = F.regexp_extract_all(html, F.lit(r"""(?is)<a\s[^>]*?href\s*=\s*["']?[^"'\s>]+["']?[^>]*>.*?</a>"""), F.lit(0))
