@@ -29,8 +29,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     judged = fertility.judge(docs, tokenizer_path("piece_bpe_32k.model"), tokenizer_path("byte_bpe_multi_50k.tiktoken"))
     # Rows of one doc_id can have different texts: a verdict belongs to a row's doc_id and counts.
     good = judged.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    own = docs.withColumn("_h", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("lang")))
-    return own.join(good, own["doc_id"].eqNullSafe(good["_id"]) & (F.col("_h") == F.col("_hash")), "left_semi").select(*docs.columns)
+    own = docs.select(F.struct("*").alias("doc"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("lang")).alias("h"))
+    return own.join(good, F.col("doc.doc_id").eqNullSafe(good["_id"]) & (F.col("h") == F.col("_hash")), "left_semi").select("doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,12 +19,14 @@ _own_dir: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    This is the cluster's ``spark.checkpoint.dir``. A session without that
-    setting (as in tests on one machine) gets a folder of its own.
+    This is the cluster's ``spark.checkpoint.dir``. A local session without that
+    setting (as in tests on one machine) gets a folder of its own; on a cluster it has to be set.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
         _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="millrace-")
@@ -72,6 +74,12 @@ def hash60(*parts: Column, seed: int = 0) -> Column:
     return F.conv(F.substring(F.md5(joined), 1, 15), 16, 10).cast("long")
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns of a row, maps included."""
+    has_map = [c for c in df.columns if "map<" in df.schema[c].dataType.simpleString()]
+    return F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) if c in has_map else F.col(f"`{c}`") for c in df.columns])
+
+
 def small_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A table of a few rows computed on the driver, as a JVM-side relation."""
     import json

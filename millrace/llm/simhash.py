@@ -26,10 +26,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import bound_batches, hold, materialize
+from millrace.llm.common import bound_batches, hold, materialize, row_hash
 from millrace.llm.components import connected_components, merge_labels
 from millrace.llm.hotsplit import pair_blocks
 
@@ -266,22 +266,16 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, blocks: in
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, of: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """The documents that are the least of their component in ``of`` (repeated rows of that document count once)."""
-    name = lambda c: F.coalesce(c.cast("string"), F.lit("~"))
-    kept = of.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(name(F.col("doc_id")).alias("_key")).distinct()
-    joined = docs.withColumn("_key", name(F.col(doc_id))).withColumn("_row", F.xxhash64(*docs.columns)).join(kept, "_key")
-    # The join has dealt and sorted the rows by the key already.
-    nth = F.row_number().over(Window.partitionBy("_key").orderBy("_row"))
-    return joined.withColumn("_nth", nth).filter("_nth = 1").select(*docs.columns)
-
-
 def keep_representatives(docs: DataFrame, of: DataFrame) -> DataFrame:
-    """One row of each component in ``of`` (as :func:`similar_documents` gives it for ``docs``): that of the least doc_id, nulls last, and the least row hash."""
+    """One row of each component in ``of`` (as :func:`similar_documents` gives it for ``docs``): that of the least doc_id, nulls last, and the least row hash.
+
+    Rows of a null or repeated doc_id with different texts are told apart by their hash; equal rows count once; columns may have any names.
+    """
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
-    kept = of.groupBy("component").agg(least.alias("m")).select(F.col("m.row").alias("_row"))
-    # The join has dealt and sorted the rows by their hash already; equal rows count once.
-    return docs.withColumn("_row", F.xxhash64(*docs.columns)).join(kept, "_row").dropDuplicates(["_row"]).select(*docs.columns)
+    kept = of.groupBy("component").agg(least.alias("m")).select(F.col("m.row").alias("h"))
+    # The join has dealt and sorted the rows by their hash already.
+    rows = docs.select(row_hash(docs).alias("h"), F.struct("*").alias("doc"))
+    return rows.join(kept, "h").dropDuplicates(["h"]).select("doc.*")
 
 
 # Similarity of 0.8 and more: wide fingerprints.
@@ -375,7 +369,7 @@ def similar_documents(
     bits = 64 * lanes
     limit = int(bits * p + (bits * p * (1 - p)) ** 0.5)
     bound_batches(docs)
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(*docs.columns).alias("row"))
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), row_hash(docs).alias("row"))
     kind = own.schema["doc_id"].dataType.simpleString()
 
     def prints_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

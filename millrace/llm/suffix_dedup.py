@@ -546,12 +546,14 @@ def removal(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **optio
 
 
 def strip_repeats(docs: DataFrame, text: str = "text", **options) -> DataFrame:  # noqa: ANN003
-    """The rows with repeated strings taken out of their texts; a character that is only partly covered stays whole."""
+    """The rows with repeated strings taken out of their texts; a character that is only partly covered stays whole.
+
+    Null texts stay null; repeated rows and rows of one doc_id are texts of their own; other columns pass through, whatever their names.
+    """
     ranges = repeated_ranges(docs.select(text), text, **options)
-    columns = docs.columns
-    own = docs.withColumn("_body", F.coalesce(F.col(text).cast("string"), F.lit(""))).withColumn("_rid", F.xxhash64("_body")).withColumn("_size", F.octet_length("_body").cast("long"))
-    possible, clean = _keep_possible(own, F.col("_rid"), ranges, F.col("rid"), ranges.count())
-    found = ranges.toDF("_rid", "_size", "_ranges")
+    own = docs.select(F.struct("*").alias("doc")).withColumn("body", F.coalesce(F.col("doc")[text].cast("string"), F.lit("")))
+    own = own.withColumn("rid", F.xxhash64("body")).withColumn("size", F.octet_length("body").cast("long"))
+    possible, clean = _keep_possible(own, F.col("rid"), ranges, F.col("rid"), ranges.count())
 
     @F.pandas_udf("string")
     def kept(body, ranges):  # noqa: ANN001, ANN202
@@ -569,5 +571,6 @@ def strip_repeats(docs: DataFrame, text: str = "text", **options) -> DataFrame:
             out.append(b"".join(parts).decode())
         return body.__class__(out, dtype=object)
 
-    hit = possible.join(found, ["_rid", "_size"], "left").withColumn(text, F.when(F.col("_ranges").isNull(), F.col(text)).otherwise(kept("_body", "_ranges")))
-    return hit.select(*columns).union(clean.select(*columns))
+    hit = possible.join(ranges, ["rid", "size"], "left").withColumn("new", F.when(F.col("ranges").isNotNull(), kept("body", "ranges")))
+    named = [F.coalesce("new", F.col("doc")[c]).alias(c) if c == text else F.col("doc")[c].alias(c) for c in docs.columns]
+    return hit.select(*named).union(clean.select("doc.*"))
