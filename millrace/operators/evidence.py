@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.arrays import errors
@@ -43,8 +43,6 @@ def matrix(feeds: dict[str, DataFrame], key: str) -> DataFrame:
 
 def batches(rows: DataFrame, keys: list[str], row_id: str, show: int) -> DataFrame:
     """(keys, n, ids): counts by key with the first ``show`` ids, which is all that a task keeps of a key."""
-    from pyspark.sql import Window
-
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy(row_id))
     few = rows.withColumn("_n", nth).filter(F.col("_n") <= show).groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(row_id)).cast("array<string>"), ",").alias("ids"))
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).join(few, keys)
@@ -111,3 +109,32 @@ def decision_record(task: Column, reviewer: Column, decision: Column, fields: Co
     key = F.substring(F.sha2(F.concat_ws("|", task, reviewer, decision, F.array_join(F.array_sort(fields), ",")), 256), 1, 16)
     body = F.to_json(F.struct(key.alias("id"), task.alias("task"), reviewer.alias("reviewer"), decision.alias("decision"), F.array_sort(fields).alias("fields"), at.cast("string").alias("at")))
     return F.when(decision.isin("approve", "reject", "defer"), body)
+
+
+def report(summaries: dict[str, DataFrame], blocking: list[str]) -> DataFrame:
+    """(name, n, severity, passed) of one-row count frames (column ``n``): blocking ones pass at 0, others always."""
+    out = None
+    for name, frame in summaries.items():
+        severity = "blocker" if name in blocking else "note"
+        one = frame.select(F.lit(name).alias("name"), F.col("n").cast("long").alias("n"), F.lit(severity).alias("severity"), ((F.col("n") == 0) | F.lit(severity != "blocker")).alias("passed"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def batched_lookup(rows: DataFrame, keys: list[str], fetch) -> DataFrame:  # noqa: ANN001
+    """``rows`` with what ``fetch`` gives for their keys; it is asked once for each distinct key."""
+    return rows.join(fetch(rows.select(*keys).distinct()), keys, "left")
+
+
+def reading_groups(tokens: DataFrame, region: str, y: str, x: str, height: str, is_start: Column) -> DataFrame:
+    """``tokens`` with line and group numbers in reading order of each region.
+
+    A token begins a line if it stands over half its height below the one before by y; a line that has a starting token begins a group.
+    """
+    by_y = Window.partitionBy(region).orderBy(y, x)
+    below = F.col(y) - F.lag(y).over(by_y) > F.col(height) / 2
+    lined = tokens.withColumn("line", F.sum(F.coalesce(below, F.lit(False)).cast("int")).over(by_y.rowsBetween(Window.unboundedPreceding, 0)))
+    lined = lined.withColumn("_first", F.max(is_start.cast("int")).over(Window.partitionBy(region, "line")))
+    opens = (F.col("_first") == 1) & (F.row_number().over(Window.partitionBy(region, "line").orderBy(x)) == 1)
+    order = Window.partitionBy(region).orderBy("line", x).rowsBetween(Window.unboundedPreceding, 0)
+    return lined.withColumn("group", F.sum(opens.cast("int")).over(order)).drop("_first")

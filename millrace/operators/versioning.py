@@ -131,3 +131,24 @@ def shares(ops: DataFrame, owner: str, kind: str, position: str, day: Column, qu
     active = F.coalesce(F.last(F.when(~F.col("_refused"), F.col(kind) != revoke), True).over(w), F.lit(False))
     done = F.when(F.col("_refused"), "refused").when(F.col(kind) == revoke, F.when(active, "revoked").otherwise("nothing")).when(F.col(kind) == rotate, "rotated").otherwise(F.when(active, "reused").otherwise("created"))
     return of.withColumn("outcome", done).drop("_day", "_refused")
+
+
+def get_or_create(wanted: DataFrame, existing: DataFrame, owner: str, updated: str, usable: Column, new_id: Column) -> DataFrame:
+    """(owner, id, created): each owner's usable row of the latest update, else a new one."""
+    live = existing.filter(usable).groupBy(owner).agg(F.max_by("id", F.struct(updated, "id")).alias("_id"))
+    met = wanted.select(owner).distinct().join(live, owner, "left")
+    return met.select(owner, F.coalesce("_id", new_id).alias("id"), F.col("_id").isNull().alias("created"))
+
+
+def publish_parts(parts: dict[str, tuple[DataFrame, DataFrame]], key: str, live: str = "is_current") -> dict[str, DataFrame]:
+    """Each named (current, batch) pair after publication: the batch's rows current, current rows it lacks retired, in the order given.
+
+    It refuses to run where every batch is empty, which would retire everything.
+    """
+    if all(batch.limit(1).count() == 0 for _, batch in parts.values()):
+        raise ValueError("nothing to publish")
+    out = {}
+    for name, (current, batch) in parts.items():
+        rest = current.join(batch.select(key), key, "left_anti").withColumn(live, F.lit(False))
+        out[name] = rest.unionByName(batch.withColumn(live, F.lit(True)))
+    return out

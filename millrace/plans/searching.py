@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators import search
+from millrace.functions import temporal as T
+from millrace.operators import ranking, search
 from millrace.plans.registry import query
 from millrace.sources.tables import Tables
 
@@ -51,9 +52,7 @@ SELECT place, kind, id, p_name AS title FROM top JOIN part ON kind = 'part' AND
 """)
 def hydrated_hits(t: Tables) -> DataFrame:
     """The first thirty hits with their rows' titles; hits whose row is gone are dropped."""
-    from millrace.operators.ranking import numbered_top
-
-    top = numbered_top(hits(t).filter("score > 0"), [F.desc("score"), F.asc("kind"), F.asc("id")], 30)
+    top = ranking.numbered_top(hits(t).filter("score > 0"), [F.desc("score"), F.asc("kind"), F.asc("id")], 30)
     sources = {"part": t.part.filter("p_size % 5 > 0").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title")), "supplier": t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("title"))}
     return search.hydrate(top, sources, ["title"])
 
@@ -75,8 +74,6 @@ SELECT n_name, n, row_number() OVER (ORDER BY n_name) AS place FROM s WHERE n_re
 """)
 def entities_by_stats(t: Tables) -> DataFrame:
     """Nations outside a region with a rich supplier, by name."""
-    from pyspark.sql import Window
-
     stats = t.supplier.groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("s_acctbal") > 5000).alias("rich"))
     kept = t.nation.filter("n_regionkey <> 2").join(stats, "n_nationkey").filter("rich > 0")
     return kept.select("n_name", "n", F.row_number().over(Window.orderBy("n_name")).cast("long").alias("place"))  # one row a nation
@@ -89,8 +86,6 @@ SELECT event_id, CASE WHEN abs(m - 780) <= 75 THEN 'now' WHEN m < 780 THEN 'past
 """)
 def timeline_marks(t: Tables) -> DataFrame:
     """Events against one o'clock within 75 minutes, on a scale from 14 to 86, with ends put right."""
-    from millrace.functions import temporal as T
-
     k, m = F.col("event_id"), T.minutes_of_day(F.col("ts"))
     shift = lambda n: F.timestamp_add("MINUTE", F.lit(n), F.col("ts"))
     end = F.when(k % 5 > 0, shift(45)).when(k % 10 == 0, shift(-5))
@@ -102,8 +97,6 @@ WITH c AS (SELECT * FROM (VALUES ('drop free', '/browse?q=x', 1), ('drop all', '
 """)
 def recovery_actions(t: Tables) -> DataFrame:
     """What to offer where nothing is found: candidates by href, the first of each, the first of all primary."""
-    from millrace.operators import ranking
-
     rows = t.region.limit(1).select(F.inline(F.array(*[F.struct(F.lit(a).alias("label"), F.lit(h).alias("href"), F.lit(p).alias("pos")) for p, (a, h) in enumerate([("drop free", "/browse?q=x"), ("drop all", "/browse"), ("drop late", "/browse?q=x"), ("nearby", "/near")], 1)])))
     first = ranking.dedupe_first(rows, ["href"], F.col("pos"))
     return first.select("href", "label", F.when(F.col("pos") == 1, "primary").otherwise("secondary").alias("intent"))

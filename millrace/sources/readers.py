@@ -127,3 +127,35 @@ def write_table(df: DataFrame, path: str, kind: str = "parquet", mode: str = "ap
     if kind == "csv":
         writer = writer.option("header", True)
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
+
+
+def json_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of a JSON file or folder (arrays or objects) that have any of the schema's members; an empty table where there is none; text that is no JSON gives no rows."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], schema)
+    with_bad = T.StructType.fromDDL(schema).add("_bad", T.StringType())
+    rows = spark.read.schema(with_bad).option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(path)
+    some = F.coalesce(*[F.when(F.col(f.name).isNotNull(), F.lit(True)) for f in T.StructType.fromDDL(schema).fields], F.lit(False))
+    return rows.filter(F.col("_bad").isNull() & some).drop("_bad")
+
+
+def distinct_urls(*feeds: tuple[DataFrame, str]) -> DataFrame:
+    """(url): the trimmed urls of several feeds without blanks, each once."""
+    out = None
+    for feed, column in feeds:
+        one = feed.select(F.trim(F.col(column)).alias("url")).filter("url <> ''")
+        out = one if out is None else out.unionByName(one)
+    return out.distinct()
+
+
+def document_rows(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """One row a file of binaryFile: its digest, size, kind by first bytes or name, and name."""
+    name = F.element_at(F.split(path, "/"), -1)
+    return files.select(F.sha2(F.col(content), 256).alias("content_sha256"), F.octet_length(content).cast("long").alias("size"), sniff(F.col(content), name).alias("kind"), name.alias("name"))
+
+
+def missing_tables(spark: SparkSession, expected: list[str]) -> DataFrame:
+    """(name, present) of expected tables and views of the session's catalogue."""
+    there = {t.name.lower() for t in spark.catalog.listTables()}
+    return spark.range(1).select(F.explode(F.lit(expected)).alias("name")).withColumn("present", F.lower("name").isin(*there) if there else F.lit(False))
