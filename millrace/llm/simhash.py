@@ -352,16 +352,35 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Ite
             yield table.slice(0, whole), np.cumsum(new)[:whole], chunk == i, chunk == j
 
 
+def bands_of(bits: int, count: int, lanes: int) -> list[tuple[int, list[int]]]:
+    """(lane, bit places) of ``count`` bands of so many bits, dealt over the lanes: blocks as long as a lane has them, then draws of its bits."""
+    rng, out = np.random.default_rng(3), []
+    for j in range(count):
+        first = j // lanes * bits
+        out.append((j % lanes, [*range(first, first + bits)] if first + bits <= BITS else rng.choice(BITS, bits, replace=False).tolist()))
+    return out
+
+
 def similar_documents(
-    docs: DataFrame, similarity: float = 0.8, width: int = 5, lanes: int = 16, lane_radius: int = 14, block: int = 4096, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame,
+    similarity: float = 0.8,
+    width: int = 5,
+    lanes: int = 16,
+    lane_radius: int = 14,
+    block: int = 4096,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    missed: float = 0.01,
+    band_bits: int | None = None,
 ) -> DataFrame:
     """(doc_id, row, component, component_id) of every row, linking texts whose shingle sets are about ``similarity`` alike or more.
 
     Two texts of Jaccard similarity s differ in a share p = acos(2s / (1 + s)) / pi of SimHash bits: 10 of 64 for 0.8, too many for pigeonhole tables,
-    and too uncertain for one word. So a text has ``lanes`` words (1024 bits). Texts that agree on any 16-bit band
-    of any lane meet there and are compared bit-sliced in that lane. What is
+    and too uncertain for one word. So a text has ``lanes`` words (1024 bits). Texts that agree on any band
+    of any lane meet there and are compared bit-sliced in that lane. Bands have 16 bits, and one more for each doubling of the texts beyond some millions, so that
+    a band's texts stay few; there are so many bands that two texts of this similarity meet in none with a chance of ``missed``. What is
     connected there, and nothing else, gets all its words and is compared again: pairs within one standard deviation above the expected distance
-    on all bits connect texts, and no others do. At 0.8, two texts meet in some band with probability 0.99. Texts with equal fingerprints are one from the start.
+    on all bits connect texts, and no others do. Texts with equal fingerprints are one from the start.
     ``row`` is the hash of the row's columns, ``component`` a value that only one component has, ``component_id`` its least doc_id (null if none has one).
     """
     spark = docs.sparkSession
@@ -382,15 +401,25 @@ def similar_documents(
     prints = materialize(own.mapInArrow(prints_of, f"doc_id {kind}, row long, wide array<long>").withColumn("node", F.xxhash64("wide")), "wide")
     unique = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("wide").alias("wide")), "unique")
 
+    size = band_bits or max(16, unique.count().bit_length() - 8)
+    count = int(np.ceil(np.log(missed) / np.log(1 - (1 - p) ** size)))
+    chosen = bands_of(size, -(-count // lanes) * lanes, lanes)
+
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold()
+        one = np.uint64(1)
         for b in batches:
             wide = b.column(1).flatten().to_numpy().reshape(-1, lanes).view(np.uint64)
-            for lane in range(lanes):
-                word = wide[:, lane]
-                for k in range(4):
-                    key = ((word >> np.uint64(16 * k)) & np.uint64(0xFFFF)).astype(np.int64) + ((4 * lane + k) << 16)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), b.column(0), pa.array(word.view(np.int64))], ["k", "node", "fp"])
+            for j, (lane, places) in enumerate(chosen):
+                word = np.ascontiguousarray(wide[:, lane])
+                if places[-1] - places[0] == size - 1:
+                    value = (word >> np.uint64(places[0])) & np.uint64((1 << size) - 1)
+                else:
+                    value = np.zeros(len(word), np.uint64)
+                    for at, place in enumerate(places):
+                        value |= ((word >> np.uint64(place)) & one) << np.uint64(at)
+                key = value.astype(np.int64) + (j << size)
+                yield pa.RecordBatch.from_arrays([pa.array(key), b.column(0), pa.array(word.view(np.int64))], ["k", "node", "fp"])
 
     dealt = pair_blocks(unique.select("node", "wide").mapInArrow(bands, "k long, node long, fp long"), ["k"], F.col("node"), block)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -408,7 +437,7 @@ def similar_documents(
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, group, left, right in _whole_groups(batches, ("k", "i", "j", "c")):
             wide = table.column("wide").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, lanes)
-            fp = wide[np.arange(len(group)), table.column("k").to_numpy() >> 18]  # the lane of the key's band
+            fp = wide[np.arange(len(group)), (table.column("k").to_numpy() >> size) % lanes]  # the lane of the key's band
             x, y = linking_pairs(fp, group, left, right, lane_radius, wide, limit)
             node = table.column("node").to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y]))], ["a", "b"])

@@ -193,7 +193,8 @@ def test_embedding_links(spark, block):
     assert df.select(F.lit(1)).count() == len(rows)
 
 
-def test_similar_documents(spark):
+@pytest.mark.parametrize("band_bits", [None, 19])
+def test_similar_documents(spark, band_bits):
     rng = random.Random(8)
     vocabulary = [words(rng, 1) + str(k) for k in range(3000)]
 
@@ -210,7 +211,7 @@ def test_similar_documents(spark):
             for _ in range(edits):
                 copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
             texts.append(" ".join(copy))
-    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(frame(spark, list(enumerate(texts))), block=16).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(frame(spark, list(enumerate(texts))), block=16, band_bits=band_bits).collect()}
     sets = [shingles(t) for t in texts]
     alike = [(len(sets[i] & sets[j]) / len(sets[i] | sets[j]), i, j) for i in range(len(texts)) for j in range(i - i % 5, i)]
     sure = [(i, j) for s, i, j in alike if s >= 0.85]
