@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 
 #: Fixed value: the characters of sound titles.
-TITLE_CHARACTERS = r"""[A-Za-z0-9\s'\u2019":,&.!?-]"""
+TITLE_CHARACTERS = r"""A-Za-z0-9\s'\u2019":,&.!?-"""
 
 
 def squash(text: Column) -> Column:
@@ -74,8 +74,7 @@ def garbage_ratio(text: Column) -> Column:
     """The share of characters that are none of those a title has, years in brackets and white space around left out; 1 for empty texts, 0 for nothing but a year."""
     own = F.coalesce(text, F.lit(""))
     rest = F.regexp_replace(F.regexp_replace(own, r"\([0-9]{4}\)", ""), r"^\s+|\s+$", "")
-    bad = F.regexp_replace(rest, TITLE_CHARACTERS + "+", "")
-    return F.when(own == "", 1.0).when(rest == "", 0.0).otherwise(F.length(bad) / F.length(rest))
+    return F.when(own == "", 1.0).when(rest == "", 0.0).otherwise(F.regexp_count(rest, F.lit(f"[^{TITLE_CHARACTERS}]")) / F.length(rest))
 
 
 def keyword_labels(text: Column, rules: list[tuple[str, str]], default: str | None = None) -> Column:
