@@ -158,6 +158,8 @@ def sample_and_train(labelled: DataFrame, sample: int = 2500, bits: int = 14, **
     floor = 0.25 * sample / max(totals["kinds"], 1)
     share = F.least(F.lit(1.0), F.greatest(F.lit(0.65 * sample / max(totals["n"] or 0, 1)), F.lit(floor) / F.col("n")))
     wanted = sizes.select(F.col("lang").alias("l"), (share * (1 << 60)).cast("long").alias("below"))
+    if totals["kinds"] <= 10_000:  # one row a language; a common language would else be one task
+        wanted = F.broadcast(wanted)
     placed = labelled.withColumn("h", hash60(F.col("doc_id"), F.xxhash64("text"), seed=5))
     drawn = placed.join(wanted, (F.col("lang") == F.col("l")) & (F.col("h") < F.col("below"))).select("text", "lang", "h")
 
