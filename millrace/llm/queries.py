@@ -96,6 +96,19 @@ def op10_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, the cheapest edits and the repaired text's digest of every conversation, after planted damage."""
+    from millrace.llm.conversations import damage, repair, text_digests
+
+    turns = _table(spark, sf_dir, "conversations")
+    summary, rows = repair(damage(turns))
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    parts = turns.select("conv_id").distinct().unionByName(summary, True).unionByName(text_digests(rows), True)
+    zero = [F.coalesce(F.max(c), F.lit(0)).cast("long").alias(c) for c in counts]
+    empty = F.sha2(F.lit("").cast("binary"), 256)
+    return parts.groupBy("conv_id").agg(*zero, F.coalesce(F.max("audit"), F.lit("")).alias("audit"), F.coalesce(F.max("sha"), empty).alias("repaired_sha256"))
+
+
 #: The mix in SQL: the same hashes, thresholds as running sums in hash order.
 OP1_SQL = r"""
 WITH RECURSIVE base AS (
@@ -144,10 +157,56 @@ SELECT e.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, coalesce(l.root, e.vec_id)
 FROM embeddings e LEFT JOIN counts c ON c.a = e.vec_id LEFT JOIN least l ON l.node = e.vec_id
 """
 
+#: Table steps of CRC-32 in SQL: one row with the list ``crc`` of 256 values, from the polynomial.
+CRC_TABLE = "crc_table AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i) ORDER BY i) AS crc FROM range(256) r(i))"
+
+
+def crc_sql(text: str) -> str:
+    """The unsigned CRC-32 of a text's UTF-8 bytes, given ``crc`` of :data:`CRC_TABLE`."""
+    octets = f"list_transform(range(0, strlen({text})), lambda k: ('0x' || substr(hex({text}), 2 * k + 1, 2))::BIGINT)"
+    return f"xor(list_reduce({octets}, lambda c, b: xor(crc[(xor(c, b) & 255) + 1], c >> 8), 4294967295), 4294967295)"
+
+
+#: The repair in SQL: a recursion over turns carries the least (cost, audit, text) of each state.
+OP12_SQL = f"""
+WITH RECURSIVE {CRC_TABLE}, keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS d FROM conversations, crc_table
+), damaged AS (
+  SELECT conv_id, turn, CASE d WHEN 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM keyed, range(CASE d WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS cut FROM damaged
+), marked AS (
+  SELECT *, left(role, 1) AS i, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY k) || left(role, 1) AS pair,
+    CASE WHEN cut = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'd' WHEN right(cut, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS f FROM placed
+), ids AS (SELECT conv_id, row_number() OVER () AS c FROM (SELECT DISTINCT conv_id FROM conversations)),
+rows_ AS (SELECT ids.c, m.* FROM marked m JOIN ids ON ids.conv_id IS NOT DISTINCT FROM m.conv_id),
+fold(c, k, e, s, u, a) AS (
+  SELECT c, 0::BIGINT, {{'cost': 0::BIGINT, 'audit': '', 'body': ''}}, NULL::STRUCT(cost BIGINT, audit VARCHAR, body VARCHAR), NULL::STRUCT(cost BIGINT, audit VARCHAR, body VARCHAR), NULL::STRUCT(cost BIGINT, audit VARCHAR, body VARCHAR) FROM ids
+  UNION ALL
+  SELECT c, k, {{'cost': e.cost + 2, 'audit': e.audit || 'D', 'body': e.body}},
+    least(CASE WHEN s IS NOT NULL THEN {{'cost': s.cost + 2, 'audit': s.audit || 'D', 'body': s.body}} END, CASE WHEN ok AND i = 's' THEN {{'cost': e.cost + p, 'audit': e.audit || 'K', 'body': e.body || line}} END),
+    least(CASE WHEN u IS NOT NULL THEN {{'cost': u.cost + 2, 'audit': u.audit || 'D', 'body': u.body}} END, CASE WHEN ok AND o IS NOT NULL THEN {{'cost': o.cost + p + (i <> 'u')::BIGINT, 'audit': o.audit || CASE WHEN i = 'u' THEN 'K' ELSE 'R' END, 'body': o.body || CASE WHEN i = 'u' THEN line ELSE chr(10) || 'user:' || text END}} END),
+    least(CASE WHEN a IS NOT NULL THEN {{'cost': a.cost + 2, 'audit': a.audit || 'D', 'body': a.body}} END, CASE WHEN ok AND u IS NOT NULL THEN {{'cost': u.cost + p + (i <> 'a')::BIGINT, 'audit': u.audit || CASE WHEN i = 'a' THEN 'K' ELSE 'R' END, 'body': u.body || CASE WHEN i = 'a' THEN line ELSE chr(10) || 'assistant:' || text END}} END)
+  FROM (
+    SELECT *, least(e, s, a) AS o FROM (
+      SELECT *, least(a0, CASE WHEN u IS NOT NULL THEN {{'cost': u.cost + 5, 'audit': u.audit || 'I', 'body': u.body || chr(10) || 'assistant:'}} END) AS a FROM (
+        SELECT f.c, r.k, f.e, f.s, f.a AS a0, r.f NOT IN ('b', 'd') AS ok, CASE WHEN r.f = 't' THEN 5 ELSE 0 END AS p, r.i, r.text, chr(10) || r.role || ':' || r.text AS line,
+          least(f.u, CASE WHEN least(f.e, f.s, f.a) IS NOT NULL THEN {{'cost': least(f.e, f.s, f.a).cost + 5, 'audit': least(f.e, f.s, f.a).audit || 'I', 'body': least(f.e, f.s, f.a).body || chr(10) || 'user:'}} END) AS u
+        FROM fold f JOIN rows_ r ON r.c = f.c AND r.k = f.k + 1)))
+), ended AS (SELECT c, e, a, least(u, {{'cost': least(e, s, a).cost + 5, 'audit': least(e, s, a).audit || 'I', 'body': least(e, s, a).body || chr(10) || 'user:'}}) AS u FROM fold QUALIFY k = max(k) OVER (PARTITION BY c)),
+best AS (SELECT c, least(e, a, {{'cost': u.cost + 5, 'audit': u.audit || 'I', 'body': u.body || chr(10) || 'assistant:'}}) AS b FROM ended),
+sums AS (SELECT c, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (f = 'b') AS blank, count(*) FILTER (f = 'd') AS duplicate, count(*) FILTER (f = 't') AS truncated,
+  count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM rows_ GROUP BY c)
+SELECT ids.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  b.cost AS cost, b.audit AS audit, sha256(substr(b.body, 2)) AS repaired_sha256
+FROM ids LEFT JOIN sums USING (c) JOIN best USING (c)
+"""
+
 
 def queries() -> dict:
-    return {"op1_source_mix": op1_source_mix, "op2_suffix_dedup": op2_suffix_dedup, "op3_simhash": op3_simhash, "op4_bpe": op4_bpe, "op5_langid": op5_langid, "op6_url_filter": op6_url_filter, "op7_wavelet_shards": op7_wavelet_shards, "op8_fertility": op8_fertility, "op9_ring_shards": op9_ring_shards, "op10_embedding_dups": op10_embedding_dups}
+    return {"op1_source_mix": op1_source_mix, "op2_suffix_dedup": op2_suffix_dedup, "op3_simhash": op3_simhash, "op4_bpe": op4_bpe, "op5_langid": op5_langid, "op6_url_filter": op6_url_filter, "op7_wavelet_shards": op7_wavelet_shards, "op8_fertility": op8_fertility, "op9_ring_shards": op9_ring_shards, "op10_embedding_dups": op10_embedding_dups, "op12_conversation_repair": op12_conversation_repair}
 
 
 def oracle_sql() -> dict:
-    return {"op1_source_mix": OP1_SQL, "op10_embedding_dups": OP10_SQL}
+    return {"op1_source_mix": OP1_SQL, "op10_embedding_dups": OP10_SQL, "op12_conversation_repair": OP12_SQL}
