@@ -109,6 +109,17 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.groupBy("conv_id").agg(*zero, F.coalesce(F.max("audit"), F.lit("")).alias("audit"), F.coalesce(F.max("sha"), empty).alias("repaired_sha256"))
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of every document by all rules, counted and digested for the base rules."""
+    from millrace.llm.secret_scan import secrets
+
+    found = secrets(_table(spark, sf_dir, "documents"))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = joined(F.filter("found", lambda x: x["base"]))
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(base.cast("binary"), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
+
+
 #: The mix in SQL: the same hashes, thresholds as running sums in hash order.
 OP1_SQL = r"""
 WITH RECURSIVE base AS (
@@ -204,9 +215,37 @@ FROM ids LEFT JOIN sums USING (c) JOIN best USING (c)
 """
 
 
+def _any_case(text: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in text)
+
+
+#: The rules of the secret scan as regular expressions: kind, match with the counted part as group 3, least length of that part.
+SECRET_SQL = [
+    ("assign", "(?:" + "|".join(map(_any_case, ("password", "passwd", "secret", "token", "api_?key"))) + r""")["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 12),
+    ("access", "AKIA([A-Z0-9]+)", 14),
+    ("hex", "([0-9a-f]+)", 16),
+    ("private_key", "-----BEGIN (?:|RSA |EC |DSA |OPENSSH |ENCRYPTED )(PRIVATE KEY-----)", 1),
+    ("code_host", "gh[pousr]_([A-Za-z0-9]+)", 36),
+    ("chat", "xox[abprs]-([A-Za-z0-9-]+)", 10),
+    ("web_token", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.([A-Za-z0-9_-]+)", 8),
+    ("url_login", "://[A-Za-z0-9._~-]+:[A-Za-z0-9._~!$%&*+=-]+(@)", 1),
+]
+#: The scan in SQL: each rule by itself, a text as gaps and matches in turn, so that lengths add up to places.
+OP13_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+rules(n, kind, least) AS (VALUES {", ".join(f"({k}, '{kind}', {least})" for k, (kind, _, least) in enumerate(SECRET_SQL))}),
+lists AS ({" UNION ALL ".join(f"SELECT r, {k} AS n, regexp_extract_all(t, '(?s)(.*?)(?:({p})|$)', 1) AS g, regexp_extract_all(t, '(?s)(.*?)(?:({p})|$)', 2) AS m, regexp_extract_all(t, '(?s)(.*?)(?:({p})|$)', 3) AS v FROM d" for k, (_, p, _) in enumerate(SECRET_SQL))}),
+each AS (SELECT r, n, generate_subscripts(g, 1) AS i, unnest(g) AS g, unnest(m) AS m, unnest(v) AS v FROM lists),
+placed AS (SELECT *, sum(length(g) + length(m)) OVER (PARTITION BY r, n ORDER BY i) AS e FROM each),
+spans AS (SELECT r, n, kind, kind || ':' || (e - length(m)) || ':' || e AS s, e - length(m) AS b FROM placed JOIN rules USING (n) WHERE m <> '' AND length(v) >= least),
+sums AS (SELECT r, count(*) FILTER (n = 0) AS a, count(*) FILTER (n = 1) AS k, count(*) FILTER (n = 2) AS h, string_agg(s, ',' ORDER BY b, n) FILTER (n < 3) AS base, string_agg(s, ',' ORDER BY b, n) AS every FROM spans GROUP BY r)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans FROM d LEFT JOIN sums USING (r)
+"""
+
+
 def queries() -> dict:
-    return {"op1_source_mix": op1_source_mix, "op2_suffix_dedup": op2_suffix_dedup, "op3_simhash": op3_simhash, "op4_bpe": op4_bpe, "op5_langid": op5_langid, "op6_url_filter": op6_url_filter, "op7_wavelet_shards": op7_wavelet_shards, "op8_fertility": op8_fertility, "op9_ring_shards": op9_ring_shards, "op10_embedding_dups": op10_embedding_dups, "op12_conversation_repair": op12_conversation_repair}
+    return {"op1_source_mix": op1_source_mix, "op2_suffix_dedup": op2_suffix_dedup, "op3_simhash": op3_simhash, "op4_bpe": op4_bpe, "op5_langid": op5_langid, "op6_url_filter": op6_url_filter, "op7_wavelet_shards": op7_wavelet_shards, "op8_fertility": op8_fertility, "op9_ring_shards": op9_ring_shards, "op10_embedding_dups": op10_embedding_dups, "op12_conversation_repair": op12_conversation_repair, "op13_secret_scan": op13_secret_scan}
 
 
 def oracle_sql() -> dict:
-    return {"op1_source_mix": OP1_SQL, "op10_embedding_dups": OP10_SQL, "op12_conversation_repair": OP12_SQL}
+    return {"op1_source_mix": OP1_SQL, "op10_embedding_dups": OP10_SQL, "op12_conversation_repair": OP12_SQL, "op13_secret_scan": OP13_SQL}
