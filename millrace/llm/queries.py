@@ -96,6 +96,13 @@ def op10_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word's near words, more frequent form and root, after planted slips."""
+    from millrace.llm.variants import spelling_variants, vocabulary
+
+    return spelling_variants(vocabulary(_table(spark, sf_dir, "documents"), slips=True)).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults, the cheapest edits and the repaired text's digest of every conversation, after planted damage."""
     from millrace.llm.conversations import damage, repair, text_digests
@@ -178,6 +185,25 @@ def crc_sql(text: str) -> str:
     return f"xor(list_reduce({octets}, lambda c, b: xor(crc[(xor(c, b) & 255) + 1], c >> 8), 4294967295), 4294967295)"
 
 
+#: Spelling variants in SQL: words meet on what a deletion leaves, at the same place for a replacement.
+OP11_SQL = f"""
+WITH RECURSIVE {CRC_TABLE}, runs AS (
+  SELECT doc_id, run, count(*) AS times FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents) GROUP BY ALL
+), hashed AS (SELECT run, times, {crc_sql("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM runs, crc_table),
+words AS (
+  SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, sum(times)::BIGINT AS n FROM hashed GROUP BY 1
+), v AS (SELECT word, n FROM words WHERE length(word) >= 5 AND n >= 3),
+cut AS (SELECT word, n, i, left(word, i::INT - 1) || substr(word, i::INT + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT c.word, v.word, v.n FROM cut c JOIN v ON v.word = c.rest UNION SELECT v.word, c.word, c.n FROM cut c JOIN v ON v.word = c.rest
+), best AS (SELECT word, count(*) AS n_near, min({{'m': -m, 'other': other}}) AS b FROM near GROUP BY word),
+forms AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.m >= 2 * v.n THEN b.other END AS form, CASE WHEN -b.m >= 2 * v.n THEN (-b.m)::BIGINT END AS form_n FROM v LEFT JOIN best USING (word)),
+walk(word, here) AS (SELECT word, word FROM forms UNION ALL SELECT w.word, f.form FROM walk w JOIN forms f ON f.word = w.here WHERE f.form IS NOT NULL),
+ends AS (SELECT w.word, w.here AS root FROM walk w JOIN forms f ON f.word = w.here WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)
+"""
+
 #: The repair in SQL: a recursion over turns carries the least (cost, audit, text) of each state.
 OP12_SQL = f"""
 WITH RECURSIVE {CRC_TABLE}, keyed AS (
@@ -244,8 +270,8 @@ SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(
 
 
 def queries() -> dict:
-    return {"op1_source_mix": op1_source_mix, "op2_suffix_dedup": op2_suffix_dedup, "op3_simhash": op3_simhash, "op4_bpe": op4_bpe, "op5_langid": op5_langid, "op6_url_filter": op6_url_filter, "op7_wavelet_shards": op7_wavelet_shards, "op8_fertility": op8_fertility, "op9_ring_shards": op9_ring_shards, "op10_embedding_dups": op10_embedding_dups, "op12_conversation_repair": op12_conversation_repair, "op13_secret_scan": op13_secret_scan}
+    return {"op1_source_mix": op1_source_mix, "op2_suffix_dedup": op2_suffix_dedup, "op3_simhash": op3_simhash, "op4_bpe": op4_bpe, "op5_langid": op5_langid, "op6_url_filter": op6_url_filter, "op7_wavelet_shards": op7_wavelet_shards, "op8_fertility": op8_fertility, "op9_ring_shards": op9_ring_shards, "op10_embedding_dups": op10_embedding_dups, "op11_spelling_variants": op11_spelling_variants, "op12_conversation_repair": op12_conversation_repair, "op13_secret_scan": op13_secret_scan}
 
 
 def oracle_sql() -> dict:
-    return {"op1_source_mix": OP1_SQL, "op10_embedding_dups": OP10_SQL, "op12_conversation_repair": OP12_SQL, "op13_secret_scan": OP13_SQL}
+    return {"op1_source_mix": OP1_SQL, "op10_embedding_dups": OP10_SQL, "op11_spelling_variants": OP11_SQL, "op12_conversation_repair": OP12_SQL, "op13_secret_scan": OP13_SQL}
