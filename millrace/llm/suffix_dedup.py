@@ -354,20 +354,18 @@ def _ended(batches: Iterator) -> Iterator:
 
 
 def compare_groups(contexts: DataFrame, least: int) -> DataFrame:
-    """(kh, w1, w2, ck, l, r) of contexts with a partner in their group; step 3."""
+    """(kh, w1, w2, ck, l, r) of contexts with a partner in their group; step 3. ``contexts`` has one row a kind (group and ck)."""
     n = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups_of(batches):
             keys = [table.column(c).to_numpy() for c in (*GROUP, "ck")]
-            differ = [k[1:] != k[:-1] for k in keys]
-            pick = np.flatnonzero(np.concatenate(([True], np.any(differ, axis=0))))  # copies of a text bring the same context
-            group = np.cumsum(np.concatenate(([False], np.any(differ[:3], axis=0))))[pick]
-            chosen = table.take(pa.array(pick))
-            l, r = repeated_extents(group, chosen.column("left").to_pylist(), chosen.column("right").to_pylist(), least)
+            differ = [k[1:] != k[:-1] for k in keys[:3]]
+            group = np.cumsum(np.concatenate(([False], np.any(differ, axis=0))))
+            l, r = repeated_extents(group, table.column("left").to_pylist(), table.column("right").to_pylist(), least)
             hit = np.flatnonzero(l >= 0)
             if len(hit):
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (*(k[pick][hit] for k in keys), l[hit], r[hit])], [*GROUP, "ck", "l", "r"])
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (*(k[hit] for k in keys), l[hit], r[hit])], [*GROUP, "ck", "l", "r"])
 
     dealt = contexts.select(*GROUP, "ck", "left", "right").repartition(n, *GROUP).sortWithinPartitions(*GROUP, "ck")
     return dealt.mapInArrow(run, "kh long, w1 long, w2 long, ck long, l long, r long")
@@ -390,8 +388,7 @@ def split_windows(contexts: DataFrame, least: int) -> DataFrame:
                     fixed = [pa.array(np.full(len(lo), v)) for v in (kh, w1, w2, ck)]
                     yield pa.RecordBatch.from_arrays([*fixed, pa.array(len(left) - lo), pa.array(h), pa.array(h2)], [*GROUP, "ck", "l", "h", "h2"])
 
-    distinct = contexts.select(*GROUP, "ck", "left", "right").dropDuplicates([*GROUP, "ck"])
-    windows = distinct.mapInArrow(run, "kh long, w1 long, w2 long, ck long, l long, h long, h2 long")
+    windows = contexts.select(*GROUP, "ck", "left", "right").mapInArrow(run, "kh long, w1 long, w2 long, ck long, l long, h long, h2 long")
     often = windows.groupBy(*GROUP, "l", "h", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = windows.join(often, [*GROUP, "l", "h", "h2"])
     return met.groupBy(*GROUP, "ck").agg(F.max("l").alias("l"), F.max(F.lit(least) - F.col("l")).alias("r"))
@@ -420,8 +417,7 @@ def divide_groups(contexts: DataFrame, least: int, step: int, block: int) -> Dat
                 types = [pa.int64()] * 6 + [pa.binary()] * 2
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 8192], strict=True), types, strict=True)], [*GROUP, "of", "ck", "back", "left", "right"])
 
-    distinct = contexts.select("kh", "ck", "left", "right").dropDuplicates(["kh", "ck"])
-    parts = materialize(distinct.mapInArrow(run, "kh long, w1 long, w2 long, of long, ck long, back long, left binary, right binary"), "divided")
+    parts = materialize(contexts.select("kh", "ck", "left", "right").mapInArrow(run, "kh long, w1 long, w2 long, of long, ck long, back long, left binary, right binary"), "divided")
     kinds = parts.groupBy(*GROUP, "ck").agg(F.count(F.lit(1)).alias("n"), F.first("left").alias("left"), F.first("right").alias("right"))
     kinds = materialize(kinds, "divided-kinds")
     sizes = kinds.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("kinds"))
@@ -487,7 +483,9 @@ def repeated_ranges(docs: DataFrame, text: str = "text", least: int = LEAST, gra
         wanted = rows.groupBy("rid", "size").agg(F.collect_list(F.struct("kh", "ck", "pos")).alias("cut"))  # bounded by the text
         wanted = materialize(wanted, "wanted")
         possible, _ = _keep_possible(long_, F.col("rid"), wanted, F.col("rid"), wanted.count())
-        cuts = possible.join(wanted, ["rid", "size"]).select("text", "cut").mapInArrow(cut, "kh long, ck long, left binary, right binary")
+        # One row a text, combined in the map stage: copies would bring the same contexts, all to one group.
+        single = possible.groupBy("rid", "size").agg(F.first("text").alias("text"))
+        cuts = single.join(wanted, ["rid", "size"]).select("text", "cut").mapInArrow(cut, "kh long, ck long, left binary, right binary")
         return cuts.withColumns({"w1": F.lit(0).cast("long"), "w2": F.lit(0).cast("long")})
 
     found = compare_groups(contexts_of(kept.filter(F.col("kinds").between(2, block))), least)

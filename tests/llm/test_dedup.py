@@ -133,6 +133,24 @@ def test_suffix_removal(spark, block):
     assert [tuple(r)[1:] for r in got] == brute_removal(texts, 400)
 
 
+def test_copies_of_a_text_bring_each_context_once(spark, monkeypatch):
+    rng = random.Random(8)
+    passage = words(rng, 90)
+    one, other = words(rng, 60) + passage + words(rng, 60), words(rng, 50) + passage + words(rng, 50)
+    seen, plain = [], suffix_dedup.compare_groups
+
+    def counted(contexts, least):
+        seen.extend(contexts.groupBy(*suffix_dedup.GROUP, "ck").count().collect())
+        return plain(contexts, least)
+
+    monkeypatch.setattr(suffix_dedup, "compare_groups", counted)
+    texts = [one] * 3000 + [other]
+    got = sorted(suffix_dedup.removal(frame(spark, list(enumerate(texts)))).collect(), key=lambda r: r["doc_id"])
+    want = brute_removal([one, one, other], 400)
+    assert {tuple(r)[1:] for r in got[:-1]} == {want[0]} and tuple(got[-1])[1:] == want[2]
+    assert seen and {r["count"] for r in seen} == {1}
+
+
 def test_suffix_text_longer_than_a_segment():
     rng = np.random.default_rng(4)
     one = rng.integers(97, 123, 3 << suffix_dedup.SEGMENT_BITS, dtype=np.uint8)
