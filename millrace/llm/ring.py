@@ -68,6 +68,26 @@ def pour(points: list[tuple[int, int]], loads: dict[int, int], shards: int, slac
     return segments
 
 
+#: Rows of one count that are spread at once.
+SPREAD = 1 << 14
+
+
+def _spread(ranked: DataFrame) -> DataFrame:
+    """Each counted row ``n`` times, with ``rank`` from ``first`` on.
+
+    A count beyond ``SPREAD`` is cut into so many pieces of that size; these are dealt over all tasks before they are spread, so no task holds or
+    makes more of one row than others do. (The pieces of pieces keep every array short.)
+    """
+    few = ranked.filter(F.col("n") <= SPREAD)
+    many = ranked.filter(F.col("n") > SPREAD)
+    for size in (SPREAD**3, SPREAD**2, SPREAD):
+        at = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / size)))
+        cut = many.withColumn("_k", at).withColumn("first", F.col("first") + F.col("_k") * size)
+        many = cut.withColumn("n", F.least(F.lit(size).cast("long"), F.col("n") - F.col("_k") * size)).drop("_k")
+    many = many.repartition(F.xxhash64("first", "arc", "slice"))
+    return few.unionByName(many).withColumn("rank", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)))
+
+
 def shard_rows(
     docs: DataFrame,
     shards: int = 8,
@@ -105,7 +125,7 @@ def shard_rows(
     homes = F.broadcast(small_table(spark, [{"arc": a, "home": s} for a, (_, s) in enumerate(points)], "arc int, home int"))
     inside = Window.partitionBy("arc", "slice").orderBy("h", "doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
     ranked = same.withColumn("before", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(offsets.select("arc", "slice", "offset"), ["arc", "slice"])
-    each = ranked.withColumn("rank", F.explode(F.sequence(F.col("offset") + F.col("before"), F.col("offset") + F.col("before") + F.col("n") - 1)))
+    each = _spread(materialize(ranked.withColumn("first", F.col("offset") + F.col("before")).drop("offset", "before"), "ring-ranks"))
     return (
         each.join(segments, (each["arc"] == segments["arc"]) & (F.col("rank") >= F.col("from_")) & (F.col("rank") < F.col("to_")))
         .drop(segments["arc"])
