@@ -74,10 +74,15 @@ def hash60(*parts: Column, seed: int = 0) -> Column:
     return F.conv(F.substring(F.md5(joined), 1, 15), 16, 10).cast("long")
 
 
+def named(column: str) -> Column:
+    """A column by its name, in which dots and backticks are plain characters."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def row_hash(df: DataFrame) -> Column:
     """A hash of all columns of a row, maps included."""
     has_map = [c for c in df.columns if "map<" in df.schema[c].dataType.simpleString()]
-    return F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) if c in has_map else F.col(f"`{c}`") for c in df.columns])
+    return F.xxhash64(*[F.to_json(F.struct(named(c))) if c in has_map else named(c) for c in df.columns])
 
 
 def small_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:

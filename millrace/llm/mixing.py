@@ -26,7 +26,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import hash60, materialize, small_table, word_count
+from millrace.llm.common import hash60, materialize, named, small_table, word_count
 
 HASH_BITS = 60
 
@@ -109,7 +109,7 @@ def mix(
     spark = docs.sparkSession
     own = F.md5(F.col(text).cast("binary"))
     size = word_count(F.col(text)) if size is None else size
-    carried = [F.struct(*carry).alias("carried")] if carry else []
+    carried = [F.struct(*map(named, carry)).alias("carried")] if carry else []
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.cast("long").alias("size"), hash60(F.col(doc_id), own, seed=seed).alias("h"), *carried)
     base = materialize(base, "mix")
     sizes = base.groupBy("source").agg(F.sum("size").alias("n")).limit(max_sources + 1).collect()
@@ -138,5 +138,5 @@ def mix(
 def repeat_rows(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """``columns``, from doc_id, source and what was carried, as often as ``copies`` says."""
     copies = F.explode(F.array_repeat(F.lit(0), F.col("copies")))
-    named = [F.col(c) if c in ("doc_id", "source") else F.col("carried")[c].alias(c) for c in columns]
-    return mixed.filter(F.col("copies") > 0).select(*named, copies.alias("_copy")).drop("_copy")
+    fields = [F.col(c) if c in ("doc_id", "source") else F.col("carried").getField(c).alias(c) for c in columns]
+    return mixed.filter(F.col("copies") > 0).select(*fields, copies.alias("_copy")).drop("_copy")

@@ -123,6 +123,36 @@ def test_ring_equals_a_walk_row_by_row(spark):
     assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in got) == sorted(brute_ring(rows))
 
 
+def test_ring_spreads_counts_by_pieces(spark, monkeypatch):
+    rows = [(k, f"t{k}", "s") for k in range(50)] + [(7, "t7", "s")] * 800 + [(None, None, None)] * 77
+    monkeypatch.setattr(ring, "SPREAD", 5)  # pieces of 125, 25 and 5
+    got = ring.shard_rows(docs(spark, rows).repartition(5), slice_rows=100).collect()
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in got) == sorted(brute_ring(rows))
+
+
+def test_ring_of_millions_of_equal_rows(spark):
+    from pyspark.sql import functions as F
+
+    n = 4_000_000
+    same = spark.range(n, numPartitions=8).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    got = ring.shard_rows(same).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.max("slot").alias("top"), F.approx_count_distinct("slot").alias("about")).collect()
+    assert {r["n"] for r in got} == {n // 8} and {r["top"] for r in got} == {n // 8 - 1} and min(r["about"] for r in got) > n // 9
+
+
+def test_every_stage_passes_columns_of_any_name(spark):
+    import corpus_pipeline
+
+    text = " ".join(f"word{k} runs over the other{k} field." for k in range(40))
+    rows = [(k, f"{text} {k}" if k % 2 else " ".join(f"t{k}x{j} and more." for j in range(60)), f"s{k % 3}", k, "c", k, "e`f") for k in range(12)]
+    named = spark.createDataFrame(rows, "doc_id long, text string, source string, `a.b` long, carried string, doc long, `e``f` string").selectExpr("*", "'en' AS lang", "cast(length(text) AS long) AS n_chars")
+    frame = named
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        frame = stage(spark, frame, "")
+        assert frame.columns == named.columns
+        assert all(r["a.b"] == r["doc"] == r["doc_id"] and r["carried"] == "c" for r in frame.collect())
+    assert corpus_pipeline.STAGES[-1][1](spark, frame, "").count() == frame.count()
+
+
 RULES = [("com", "/", "allow"), ("bad.com", "/x/", "block"), ("net", "/", "block")]
 
 
