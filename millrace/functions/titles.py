@@ -90,8 +90,8 @@ def bleed(description: Column, category: Column, rules: dict[str, str], keep: in
 
 
 def scanned_words(text: Column) -> Column:
-    """Words of scanned text: + read as h, \\/ as i, & as and."""
-    read = reduce(lambda c, s: F.replace(c, F.lit(s[0]), F.lit(s[1])), [("+", "h"), ("\\/", "i"), ("&", " and ")], F.lower(F.coalesce(text, F.lit(""))))
+    """Words of scanned text: + read as h, | as i, & as and, a fee's mark ($) left out."""
+    read = reduce(lambda c, s: F.replace(c, F.lit(s[0]), F.lit(s[1])), [("($)", " "), ("&", " and "), ("+", "h"), ("|", "i")], F.lower(F.coalesce(text, F.lit(""))))
     return F.filter(F.split(read, "[^a-z0-9]+"), lambda w: w != "")
 
 
@@ -166,8 +166,3 @@ def ends_with_words(a: Column, b: Column, least: int = 2) -> Column:
     short, long_ = F.when(F.size(x) <= F.size(y), x).otherwise(y), F.when(F.size(x) <= F.size(y), y).otherwise(x)
     n = F.size(short)
     return F.when(n < least, F.lit(False)).otherwise(F.slice(long_, F.size(long_) - n + 1, n) == short)
-
-
-def supported(words: Column, span: Column, compact: Column, near: Column) -> Column:
-    """Whether a span supports a title: it has all its words, or holds its compact key, or is near by the measure given."""
-    return (F.size(F.array_except(words, span)) == 0) | compact | near

@@ -45,24 +45,6 @@ def validity_window(t: Tables) -> DataFrame:
     return t.supplier.filter(F.coalesce(since <= day, F.lit(True)) & F.coalesce(until >= day, F.lit(True))).select("s_suppkey")
 
 
-@query("""
-WITH a AS (SELECT DISTINCT CASE WHEN p_partkey % 3 = 0 THEN replace(p_name, 'o', '0') ELSE p_name END AS n FROM part), b AS (SELECT DISTINCT p_name AS n FROM part),
-x AS (SELECT a.n AS raw, b.n AS match, 'exact' AS how FROM a JOIN b ON a.n = b.n),
-f AS (SELECT a.n AS raw, b.n AS match, 'fuzzy' AS how FROM a JOIN b ON levenshtein(a.n, b.n) <= 2 AND split_part(a.n, ' ', 1) = split_part(b.n, ' ', 1) WHERE a.n NOT IN (SELECT raw FROM x)
- QUALIFY row_number() OVER (PARTITION BY a.n ORDER BY levenshtein(a.n, b.n), b.n) = 1)
-SELECT * FROM x UNION ALL SELECT * FROM f
-""")
-def two_stage_match(t: Tables) -> DataFrame:
-    """Names matched exactly, the rest to the nearest name that begins with the same word."""
-    a = t.part.select(F.when(F.col("p_partkey") % 3 == 0, F.replace("p_name", F.lit("o"), F.lit("0"))).otherwise(F.col("p_name")).alias("raw")).distinct()
-    b = t.part.select(F.col("p_name").alias("match")).distinct()
-    exact = a.join(b, F.col("raw") == F.col("match")).withColumn("how", F.lit("exact"))
-    rest = a.join(b, F.col("raw") == F.col("match"), "left_anti").withColumn("w", F.split_part("raw", F.lit(" "), F.lit(1)))
-    near = rest.join(b.withColumn("w", F.split_part("match", F.lit(" "), F.lit(1))), "w").withColumn("d", F.levenshtein("raw", "match")).filter("d <= 2")
-    best = ranking.first_per(near, ["raw"], [F.asc("d"), F.asc("match")])
-    return exact.union(best.select("raw", "match", F.lit("fuzzy").alias("how")))
-
-
 @query("""
 SELECT 'price' AS sorted, o_orderkey, place FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders) WHERE place <= 100 UNION ALL
 SELECT 'status', o_orderkey, place FROM (SELECT o_orderkey, row_number() OVER (ORDER BY CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'P' THEN 1 ELSE 2 END, o_orderdate, o_orderkey) AS place FROM orders) WHERE place <= 100

@@ -349,17 +349,6 @@ def merge_identical(t: Tables) -> DataFrame:
     return sets.merge_identical(c, ["c_nationkey", "c_mktsegment"], "days", "first").withColumn("days", F.array_join(F.col("days").cast("array<string>"), ","))
 
 
-@query("""
-WITH p AS (SELECT DISTINCT CASE WHEN s_suppkey % 3 = 1 THEN s_suppkey - 1 ELSE s_suppkey END AS a, CASE WHEN c_custkey % 5 = 1 THEN c_custkey - 1 ELSE c_custkey END AS b FROM supplier JOIN customer ON s_suppkey = c_custkey)
-SELECT a, b FROM p QUALIFY count(*) OVER (PARTITION BY a) = 1 AND count(*) OVER (PARTITION BY b) = 1
-""")
-def mutual_matches(t: Tables) -> DataFrame:
-    """Pairs that are each other's only match."""
-    near = lambda c, n: F.when(F.col(c) % n == 1, F.col(c) - 1).otherwise(F.col(c))
-    pairs = t.supplier.join(t.customer, F.col("s_suppkey") == F.col("c_custkey")).select(near("s_suppkey", 3).alias("a"), near("c_custkey", 5).alias("b")).distinct()
-    return joins.mutually_unique(pairs, "a", "b")
-
-
 @query("""
 SELECT n.n_nationkey, s.s_suppkey FROM (SELECT s_suppkey, s_nationkey AS x, (s_suppkey % 25)::INT AS y FROM supplier) s JOIN nation n ON n.n_nationkey = s.x OR n.n_nationkey = s.y
 """)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,22 +83,6 @@ def trigram_similarity(t: Tables) -> DataFrame:
     return met.join(count("a"), "a").join(count("b"), "b").select("a", "b", (F.col("an") * F.col("bn")).alias("parts"), F.round("similarity", 6).alias("similarity"))
 
 
-@query(None)
-def fuzzy_title(t: Tables) -> DataFrame:
-    """Matching-block similarity of each assistant turn's first line to the user turn before it."""
-    c = t.conversations.select("conv_id", "turn", "role", F.split_part("text", F.lit("\n"), F.lit(1)).alias("line"))
-    a = c.filter("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("line").alias("asked"))
-    both = c.filter("role = 'assistant'").join(a, ["conv_id", "turn"])
-
-    @F.pandas_udf("double")
-    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        from difflib import SequenceMatcher
-
-        return pd.Series([round(SequenceMatcher(None, p or "", q or "").ratio(), 6) for p, q in zip(x, y, strict=True)])
-
-    return both.select("conv_id", "turn", ratio("asked", "line").alias("ratio"))
-
-
 @query(r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS x, regexp_replace(regexp_replace(coalesce(text, ''), '\([0-9]{4}\)', '', 'g'), '^\s+|\s+$', '', 'g') AS r FROM documents),
 m AS (SELECT doc_id, CASE WHEN x = '' THEN 1.0 WHEN r = '' THEN 0.0 ELSE length(regexp_replace(r, '[A-Za-z0-9\s''’":,&.!?-]', '', 'g')) / length(r) END AS g, len(regexp_extract_all(x, '[^ \n]+')) AS w FROM t)

@@ -96,21 +96,6 @@ def folded_slugs(t: Tables) -> DataFrame:
     return t.documents.filter("text is not null").select("doc_id", F.length(F.substring(F.coalesce("text", F.lit("")), 1, 500)).cast("long").alias("lead"), titles.folded_slug(head).alias("slug"))
 
 
-@query(r"""
-WITH x AS (SELECT p_partkey AS k, CASE p_size % 3 WHEN 0 THEN 't+e ' || p_name WHEN 1 THEN p_name || ' & co' ELSE p_type || ' ' || p_name END AS span, p_name, p_size FROM part)
-SELECT k, CASE p_size % 3 WHEN 0 THEN 'the ' || p_name WHEN 1 THEN p_name || ' and co' ELSE NULL END AS read, true AS subset, p_size % 3 <> 1 AS ends FROM x
-""")
-def supported_titles(t: Tables) -> DataFrame:
-    """Scanned spans read as words, and whether they hold or end with titles."""
-    name, z = F.col("p_name"), F.col("p_size")
-    span = F.when(z % 3 == 0, F.concat(F.lit("t+e "), name)).when(z % 3 == 1, F.concat(name, F.lit(" & co"))).otherwise(F.concat(F.col("p_type"), F.lit(" "), name))
-    words = titles.scanned_words(span)
-    near = scoring.similarity(scoring.trigrams(name), scoring.trigrams(span)) >= 0.92
-    return t.part.select(
-        F.col("p_partkey").alias("k"), F.when(z % 3 < 2, F.array_join(words, " ")).alias("read"), titles.supported(titles.scanned_words(name), words, F.lit(False), near).alias("subset"), titles.ends_with_words(name, F.array_join(words, " ")).alias("ends")
-    )
-
-
 FAMILIES = [("filename:frame", "name LIKE '%frame%'", "frame", "high"), ("filename:sign", "name LIKE '%sign%'", "sign", "high"), ("text:both", "seen LIKE '%activities%' AND seen LIKE '%movie%'", "frame", "medium"), ("shape:tall", "ratio >= 1.5", "sign", "low")]
 
 
