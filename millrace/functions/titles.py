@@ -95,20 +95,30 @@ def scanned_words(text: Column) -> Column:
     return F.filter(F.split(read, "[^a-z0-9]+"), lambda w: w != "")
 
 
+#: What scanners make of schedule texts, and what was printed, in the order of repair.
+CLOCK_REPAIRS = [
+    (r"(?i)\bfro\*\s*([0-9])", "from $1"),
+    (r"(?i)\ba1d\b", "and"),
+    (r"(?i)(?:=|\b)ro([0-9])", "from $1"),
+    (r"(?i)\bI([0-9]{1,2}:[0-9]{2}\s*[ap]\.?m\.?)", "$1"),
+    (r"(?i)\b([0-9]{1,2})\.([0-9]{2}\s*[ap]\.?m\.?)", "$1:$2"),
+    (r"(?i)\b([0-9]{1,2}:[0-9]{2})0m\b", "$1am"),
+    (r"(?i)\b([0-9]{1,2}:)o([0-9o]\s*[ap]\.?m\.?)", "$10$2"),
+    (r"(?i)\b([0-9]{1,2}:[0-9])o(\s*[ap]\.?m\.?)", "$10$2"),
+    (r"(?i)([0-9]:)o([0-9])", "$10$2"),
+    (r"(?i)([0-9]:[0-9])o(\s*[ap]\.?m\.?)", "$10$2"),
+]
+
+
+def clean_line(text: Column) -> Column:
+    """One line with single spaces, plain dashes and apostrophes; empty for null."""
+    plain = F.translate(F.coalesce(text, F.lit("")), "\u2013\u2014\u2019", "--'")
+    return F.trim(F.regexp_replace(plain, r"\s+", " "))
+
+
 def repair_clock(text: Column) -> Column:
-    """Clock times as scanners misread them: dots and semicolons for colons, letters O and l for digits, parted or cut am and pm."""
-    steps = [
-        (r"(?i)\b([0-9lo]{1,2})\s?[.;]\s?([0-9o]{2})(\s*[ap]\.?\s?m)", "$1:$2$3"),
-        (r"(?i)\bl([0-9o]?:[0-9o]{2})", "1$1"),
-        (r"(?i)\b([0-9])o:", "$10:".replace("$10", "${1}0")),
-        (r"(?i)\b([0-9]{1,2}):o([0-9])", "$1:0$2"),
-        (r"(?i)\b([0-9]{1,2}):([0-9])o", "$1:${2}0"),
-        (r"(?i)\b([0-9]{1,2}):oo", "$1:00"),
-        (r"(?i)([0-9]{1,2}:[0-9]{2})\s*([ap])\.?\s*m\b\.?", "$1 $2m"),
-        (r"(?i)([0-9]{1,2}:[0-9]{2})\s*-+\s*([0-9]{1,2}:[0-9]{2})", "$1 - $2"),
-    ]
-    named = [(p, r.replace("${1}0", "$1\u00000").replace("${2}0", "$2\u00000")) for p, r in steps]
-    return F.replace(reduce(lambda c, s: F.regexp_replace(c, *map(F.lit, s)), named, F.coalesce(text, F.lit(""))), F.lit("\u0000"), F.lit(""))
+    """A schedule text with what scanners misread in times mended: letters O for zeros, dots for colons, lost letters of "from", "and" and "am"."""
+    return reduce(lambda c, s: F.regexp_replace(c, *map(F.lit, s)), CLOCK_REPAIRS, clean_line(text))
 
 
 def canonical_title(text: Column, known: dict[str, str], ratings: bool = True) -> Column:

@@ -21,10 +21,10 @@ def to_instant(wall: Column, zone: str) -> Column:
 
 
 def at_time(day: Column, clock: Column, zone: str) -> Column:
-    """The instant of h:mm or h:mm:ss on a calendar day; null for texts that are no time."""
+    """The instant of h:mm or h:mm:ss on a calendar day; null for null and for texts that are no time."""
     part = lambda k: F.lpad(F.coalesce(F.get(F.split(clock, ":"), F.lit(k)), F.lit("00")), 2, "0")
     wall = F.concat(day.cast("string"), F.lit(" "), part(0), F.lit(":"), part(1), F.lit(":"), part(2))
-    return to_instant(wall.try_cast("timestamp_ntz"), zone)
+    return F.when(clock.isNotNull(), to_instant(wall.try_cast("timestamp_ntz"), zone))
 
 
 def local_date(instant: Column, zone: str) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions import schedules, zoned
 from millrace.functions.temporal import day_number
 
 
@@ -20,3 +21,31 @@ def expand(rules: DataFrame, first: Column, days: int, weekday: str, valid_from:
         & (F.lit(True) if valid_until is None else F.coalesce(d <= F.col(valid_until), F.lit(True)))
     )
     return rules.withColumn("day", F.explode(F.filter(span, fits)))
+
+
+def occurrences(items: DataFrame, rules: DataFrame, item: str, first: Column, days: int, zone: str, default_hours: int = 2) -> DataFrame:
+    """The timed occurrences of items over a span of dates: ``item``, day, start, finish (instants in UTC), notes and whether they were synthesised.
+
+    ``items`` has ``item``, evening (whether its category is one of the evening) and text; ``rules`` has ``item``, weekday (0 is Sunday, null any), daily, start and
+    finish (h:mm texts) and notes. A rule holds on its weekday; its notes, or else the item's text, give the start and, if they name two times, the end; else the
+    rule does. An end that equals the start is none. An item without any rule occurs on every day of the span if it has a text, at the
+    text's time, for ``default_hours``; an item whose rules don't hold on a day doesn't occur that day.
+
+    The outer join tells both cases apart by itself, so nothing is counted or collected; dates are made in place, row by row. Wall clocks are read in ``zone``.
+    """
+    ruled = rules.select(F.col(item).alias("_item"), "weekday", F.coalesce("daily", F.lit(False)).alias("daily"), F.col("start").alias("_from"), F.col("finish").alias("_to"), F.col("notes").alias("_notes"), F.lit(True).alias("_ruled"))
+    both = items.select(item, F.coalesce("evening", F.lit(False)).alias("evening"), "text").join(ruled, F.col(item) == F.col("_item"), "left")
+    said = F.coalesce("_notes", "text")
+    both = both.withColumn("made", F.col("_ruled").isNull()).withColumn("notes", said).filter(~F.col("made") | (F.coalesce("text", F.lit("")) != ""))
+    span = F.sequence(first, F.date_add(first, days - 1))
+    holds = lambda d: F.col("made") | F.col("daily") | F.col("weekday").isNull() | (day_number(d) == F.col("weekday"))
+    each = both.withColumn("day", F.explode(F.filter(span, holds)))
+    evening, notes = F.col("evening"), F.col("notes")
+    start = schedules.rule_time(F.col("_from"), notes, evening)
+    ranged = schedules.clock_sql(schedules.time_range(notes, evening)["finish"])
+    ruled_end = F.when(F.col("_to").isNotNull(), schedules.rule_time(F.col("_to"), notes, evening))
+    each = each.withColumn("_start", start)
+    other = lambda c: F.when(c != F.col("_start"), c)
+    begins = zoned.at_time(F.col("day"), F.col("_start"), zone)
+    ends = F.when(F.col("made"), F.timestamp_add("HOUR", F.lit(default_hours), begins)).otherwise(zoned.at_time(F.col("day"), F.coalesce(other(ranged), other(ruled_end)), zone))
+    return each.select(item, "day", begins.alias("start"), ends.alias("finish"), "notes", "made")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import forecast, schedules, titles, zoned
-from millrace.operators import browse, evidence, graph, joins, lists, payloads, ranking, search, versioning
+from millrace.operators import browse, evidence, graph, joins, lists, payloads, ranking, recurrence, search, versioning
 from millrace.sources import readers
 
 ZONE = "America/New_York"
@@ -40,6 +40,51 @@ def test_time_ranges(spark, text, evening, want):
     assert (got and (got["start"], got["finish"])) == want
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "days", "start", "finish", "segments"),
+    [
+        ("daily 9 am to 5 pm", "recurring", [1, 2, 3, 4, 5, 6, 0], 540, 1020, 0),
+        ("7pm", "time_point", None, 1140, None, 0),
+        ("Nightly from 8:30 pm", "recurring", [1, 2, 3, 4, 5, 6, 0], 1230, None, 0),
+        ("Dawn to Dusk", "phrase", None, None, None, 0),
+        ("Open 24 hours, 7 days", "recurring", [1, 2, 3, 4, 5, 6, 0], 0, 1439, 0),
+        ("Sunday", "unparsed", None, None, None, 0),
+        ("10.15am - 11:3O am", "time_range", None, 615, 690, 0),
+        ("Wed., Fri & mon at 7pm", "recurring", [3, 5, 1], 1140, None, 0),
+        ("Mon from 9 am to 10 am; Tue and Thu at 8 pm; bring a towel", "recurring", [1], 540, 600, 2),
+        ("Sat at 1 pm; sunny", "recurring", [6], 780, None, 0),
+        ("13 pm 8:75 am", "unparsed", None, None, None, 0),
+        (None, "unparsed", None, None, None, 0),
+    ],
+)
+def test_grammar(spark, text, kind, days, start, finish, segments):
+    g = one(spark, schedules.grammar(F.lit(text).cast("string")))
+    assert (g["kind"], g["days"], g["start"], g["finish"], len(g["segments"])) == (kind, days, start, finish, segments)
+    assert g["review"] == (kind == "unparsed") and g["phrase"] == ("dawn_to_dusk" if kind == "phrase" else None)
+    if segments:
+        assert [(s["days"], s["start"], s["finish"]) for s in g["segments"]] == [([1], 540, 600), ([2, 4], 1200, None)]
+
+
+def test_occurrences_without_rules_and_without_a_match(spark):
+    items = spark.createDataFrame([(1, False, "from 9:15 am"), (2, False, "at 8:00 - 9:00 am"), (3, True, None), (4, True, "8:30"), (5, None, "ask")], "id int, evening boolean, text string")
+    rules = spark.createDataFrame([(2, 1, False, "7:05", "8:05", None), (3, None, False, "7:05", "7:05", None), (5, 3, True, None, None, "2:30 pm to 2:30 pm"), (9, 1, True, "1:00", None, None)], "id int, weekday int, daily boolean, start string, finish string, notes string")
+    got = recurrence.occurrences(items, rules, "id", F.lit("2024-03-09").cast("date"), 2, ZONE).collect()  # a Saturday, and the Sunday on which clocks go forward
+    assert sorted((r["id"], str(r["start"])[5:16], r["finish"] and str(r["finish"])[5:16], r["made"]) for r in got) == [
+        (1, "03-09 14:15", "03-09 16:15", True), (1, "03-10 13:15", "03-10 15:15", True),
+        (3, "03-10 00:05", None, False), (3, "03-10 23:05", None, False),
+        (4, "03-10 01:30", "03-10 03:30", True), (4, "03-11 00:30", "03-11 02:30", True),
+        (5, "03-09 19:30", None, False), (5, "03-10 18:30", None, False),
+    ]
+
+
+def test_update_takes_the_last_change_of_a_key(spark):
+    current = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "k int, x string, y int")
+    changes = spark.createDataFrame([(1, "c", None, 1), (1, "d", 5, 2), (3, "e", 6, 1), (2, None, 7, 1)], "k int, x string, y int, at int")
+    got = versioning.update_from(current, changes, ["k"], ["x", "y"], "at")
+    assert sorted(map(tuple, got.collect())) == [(1, "d", 5), (2, "b", 7)]
+    assert versioning.update_from(current, changes, ["k"], ["x"]).count() == 2
+
+
 def test_schedule_parts(spark):
     assert one(spark, schedules.range_label(schedules.time_range(F.lit("7:00 pm - 7:00 pm")))) == "7:00 PM"
     assert tuple(one(spark, schedules.age_range(F.lit("Ages 7 and up")))) == (7, None) and tuple(one(spark, schedules.age_range(F.lit("ages 3 – 9")))) == (3, 9)
@@ -56,7 +101,8 @@ def test_titles(spark):
     assert one(spark, titles.corrupt_slug(F.lit("r-e-e-l-fun"))) and not one(spark, titles.corrupt_slug(F.lit("reel-fun-arcade")))
     assert one(spark, titles.folded_slug(F.lit("Crème Brûlée"))) == "cre-me-bru-le-e"
     assert one(spark, titles.letter_share(F.lit(""))) is None
-    assert one(spark, titles.repair_clock(F.lit("l0.3O pm to 9:O0pm"))) == "10:30 pm to 9:00 pm"
+    for text, want in {"fro* 9 am a1d 10.15pm": "from 9 am and 10:15pm", "=ro7:OO p.m. – I1:00 pm": "from 7:00 p.m. - 1:00 pm", "12:450m": "12:45am", "8:O5  daily": "8:05 daily"}.items():
+        assert one(spark, titles.repair_clock(F.lit(text))) == want
     assert one(spark, titles.ends_with_words(F.lit("the late show"), F.lit("Late Show"))) and not one(spark, titles.ends_with_words(F.lit("show"), F.lit("late show")))
 
 
@@ -142,6 +188,8 @@ def test_readers_of_missing_and_broken_files(spark, tmp_path):
     assert readers.json_or_empty(spark, str(tmp_path / "none.json"), schema).count() == 0
     (tmp_path / "rows.json").write_text('[{"a": 1, "b": "x"}, {"a": 2}]')
     assert sorted(map(tuple, readers.json_or_empty(spark, str(tmp_path / "rows.json"), schema).collect())) == [(1, "x"), (2, None)]
+    (tmp_path / "odd.json").write_text('[{"other": 1}, {}, 5, "{}", {"a": 3}]')
+    assert sorted(readers.json_or_empty(spark, str(tmp_path / "odd.json"), schema).collect(), key=str) == sorted([(3, None), (None, None), (None, None)], key=str)
     (tmp_path / "bad.json").write_text("not json")
     assert readers.json_or_empty(spark, str(tmp_path / "bad.json"), schema).count() == 0
     files = readers.document_rows(spark.read.format("binaryFile").load(str(tmp_path)))
