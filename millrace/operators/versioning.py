@@ -59,11 +59,15 @@ def insert_missing(current: DataFrame, batch: DataFrame, keys: list[str]) -> Dat
     return current.unionByName(batch.join(current.select(*keys), keys, "left_anti").select(*current.columns))
 
 
-def update_from(current: DataFrame, changes: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
-    """``current`` with the fields of matching changes where they aren't null."""
-    new = changes.select(*keys, *[F.col(f).alias(f"_{f}") for f in fields])
+def update_from(current: DataFrame, changes: DataFrame, keys: list[str], fields: list[str], position: str | None = None) -> DataFrame:
+    """``current`` with the fields of matching changes where they aren't null.
+
+    Of several changes of a key the last by ``position`` counts (without one, the greatest by its fields); rows of ``current`` never multiply.
+    """
+    last = F.max_by(F.struct(*fields), F.col(position)) if position else F.max(F.struct(*fields))
+    new = changes.groupBy(*keys).agg(last.alias("_new"))
     joined = current.join(new, keys, "left")
-    return joined.withColumns({f: F.coalesce(F.col(f"_{f}"), F.col(f)) for f in fields}).select(*current.columns)
+    return joined.withColumns({f: F.coalesce(F.col("_new")[f], F.col(f)) for f in fields}).select(*current.columns)
 
 
 def roll_back(current: DataFrame, today: Column, **wanted: object) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions import arrays, scoring, temporal, text
 from millrace.operators import aggregates, ranking, search
 from millrace.plans.registry import query
 from millrace.sources import readers
-from millrace.sources.tables import Tables
+from millrace.sources.tables import Tables, fresh_folder
 
 WEIGHTS = {"p_name": 150.0, "p_type": 60.0, "p_brand": 35.0}
 SYNONYMS = {"bolt": ["screw", "threaded rod"], "gear": ["cog wheel"], "ring": ["band"]}
@@ -147,6 +148,25 @@ def crawler_log_audit(t: Tables) -> DataFrame:
     return e.groupBy("route").agg(F.count(F.lit(1)).alias("hits"), F.count_if(F.col("k") < 10).alias("failed"), F.count_if(F.col("value") > 90).alias("slow"), F.max("value").alias("slowest"), F.countDistinct("k").alias("kinds"))
 
 
+LINES = ["{0}", "{{}}", '{{"b": "only other", "n": {1}}}', '{{"k": "text {1}"}}', "[{0}]", "no json {1}", '{{"k": {1}', ' {{"k": {1}, "nested": {{"k": 1}}}}']
+
+
+@query("""
+WITH l AS (SELECT CASE event_id % 8 WHEN 0 THEN props WHEN 1 THEN '{}' WHEN 2 THEN '{"b": "only other", "n": ' || event_id || '}' WHEN 3 THEN '{"k": "text ' || event_id || '"}'
+  WHEN 4 THEN '[' || props || ']' WHEN 5 THEN 'no json ' || event_id WHEN 6 THEN '{"k": ' || event_id ELSE ' {"k": ' || event_id || ', "nested": {"k": 1}}' END AS line FROM events)
+SELECT TRY_CAST(line->>'k' AS INTEGER) AS k, TRY_CAST(line->>'n' AS BIGINT) AS n, count(*) AS lines FROM (SELECT * FROM l WHERE json_valid(line)) WHERE json_type(line) = 'OBJECT' GROUP BY ALL
+""")
+def log_lines(t: Tables) -> DataFrame:
+    """Events written as log lines, sound and broken, and read again: what the objects among them say."""
+    line = F.concat()
+    for n, form in reversed(list(enumerate(LINES))):
+        said = F.format_string(form.format("%1$s", "%2$d"), F.col("props"), F.col("event_id"))
+        line = said if n == len(LINES) - 1 else F.when(F.col("event_id") % len(LINES) == n, said).otherwise(line)
+    folder = fresh_folder(t.spark, "log-lines")
+    t.events.select(line.alias("value")).write.text(folder)
+    return readers.json_lines(t.spark, folder, T.StructType.fromDDL("k int, n bigint")).groupBy("k", "n").agg(F.count(F.lit(1)).alias("lines"))
+
+
 @query(r"""
 WITH u AS (SELECT page_id, regexp_replace(regexp_replace(coalesce(url, ''), '[?#].*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*', '') AS p FROM pages)
 SELECT page_id, CASE WHEN p = '' THEN '/' ELSE p END AS path FROM u

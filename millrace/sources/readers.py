@@ -17,12 +17,17 @@ SKIPPED = {"script", "style", "svg", "noscript"}
 BLOCKS = {"article", "aside", "br", "dd", "div", "dl", "dt", "figcaption", "footer", "h1", "h2", "h3", "h4", "h5", "h6", "header", "li", "main", "nav", "ol", "p", "section", "table", "tbody", "td", "th", "thead", "tr", "ul"}
 
 
+def _object(text: Column, schema: T.StructType) -> Column:
+    """The schema's members of a JSON object, null if the text is none; members of other types or absent ones are null, unknown ones left out."""
+    checked = F.from_json(text, T.StructType([*schema.fields, T.StructField("_bad", T.StringType())]), {"columnNameOfCorruptRecord": "_bad"})
+    # A variant tells objects from all else; names that come twice, which it refuses, pass by the schema.
+    known = F.startswith(F.schema_of_variant(F.try_parse_json(text)), F.lit("OBJECT")) | checked["_bad"].isNull()
+    return F.when(F.startswith(F.ltrim(text, F.lit(" \t\r\n")), F.lit("{")) & F.coalesce(known, F.lit(False)), F.from_json(text, schema))
+
+
 def json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """JSON lines, without the lines that are no objects of the schema."""
-    with_bad = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
-    rows = spark.read.schema(with_bad).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-    some = F.coalesce(*[F.when(F.col(f.name).isNotNull(), F.lit(True)) for f in schema.fields], F.lit(False))
-    return rows.filter(F.col("_bad").isNull() & some).drop("_bad")
+    """JSON lines: a row for every line that is an object, whatever its members; other lines are left out."""
+    return spark.read.text(path).select(_object(F.col("value"), schema).alias("o")).filter("o is not null").select("o.*")
 
 
 def json_envelope(text: Column, item: str, member: str = "rows") -> Column:
@@ -130,14 +135,15 @@ def write_table(df: DataFrame, path: str, kind: str = "parquet", mode: str = "ap
 
 
 def json_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of a JSON file or folder (arrays or objects) that have any of the schema's members; an empty table where there is none; text that is no JSON gives no rows."""
+    """Rows of JSON files, each a list of objects or one object; other members of lists are left out; an empty table where there is no file; text that is no JSON gives no rows."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
         return spark.createDataFrame([], schema)
-    with_bad = T.StructType.fromDDL(schema).add("_bad", T.StringType())
-    rows = spark.read.schema(with_bad).option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(path)
-    some = F.coalesce(*[F.when(F.col(f.name).isNotNull(), F.lit(True)) for f in T.StructType.fromDDL(schema).fields], F.lit(False))
-    return rows.filter(F.col("_bad").isNull() & some).drop("_bad")
+    of = T.StructType.fromDDL(schema)
+    whole = spark.read.option("wholetext", True).text(path).select("value", F.try_parse_json("value").alias("v"))
+    listed = F.startswith(F.schema_of_variant("v"), F.lit("ARRAY"))
+    members = F.when(listed, F.transform(F.try_variant_get("v", "$", "array<variant>"), lambda m: F.to_json(m))).otherwise(F.array("value"))
+    return whole.select(F.explode(members).alias("m")).select(_object(F.col("m"), of).alias("o")).filter("o is not null").select("o.*")
 
 
 def distinct_urls(*feeds: tuple[DataFrame, str]) -> DataFrame:

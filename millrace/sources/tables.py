@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share (``spark.checkpoint.dir``); a local session without that setting gets one of its own."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(shared or 'file://' + tempfile.mkdtemp(prefix='millrace-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 class Tables:
     """``tables.orders`` reads ``<folder>/orders.parquet``; columns and filters are pushed to the scan."""
 

@@ -14,6 +14,10 @@ def test_json_lines_skip_what_is_no_object(spark, tmp_path):
     schema = T.StructType([T.StructField("k", T.IntegerType())])
     assert sorted(r["k"] for r in readers.json_lines(spark, str(tmp_path), schema).collect()) == [1, 2]
 
+    (tmp_path / "b.jsonl").write_text('{"a": 1}\n{}\n{"b": "only other"}\n{"a": "text"}\n{"a": 2, "a": 3}\n {"a": 4} \n{"a": 5\nnull\n')
+    schema = T.StructType([T.StructField("a", T.IntegerType())])
+    assert sorted((r["a"] or 0 for r in readers.json_lines(spark, str(tmp_path / "b.jsonl"), schema).collect())) in ([0, 0, 0, 1, 2, 4], [0, 0, 0, 1, 3, 4])
+
 
 def test_json_envelope(spark):
     texts = ['[{"a": 1}, {"a": 2}]', '{"rows": [{"a": 3}]}', '{"a": 4}']
