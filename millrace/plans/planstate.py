@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators import versioning
+from millrace.operators import replay, versioning
 from millrace.plans.registry import query
 from millrace.sources.tables import Tables
 
 
 @query("""
-WITH o AS (SELECT event_id % 900 AS op, arg_min(user_id, event_id) AS u, arg_min(event_type, event_id) AS kind, arg_min(value, event_id) AS v, min(event_id) AS pos FROM events WHERE event_id % 40 <> 1 GROUP BY 1),
+WITH o AS (SELECT event_id % 900 AS op, arg_min(user_id, event_id) AS u, arg_min(event_type, event_id) AS kind, arg_min(value, event_id) AS v, min(event_id) AS pos FROM events GROUP BY 1),
 p AS (SELECT *, u * 50 + pos % 50 AS plan FROM o), d AS (SELECT plan, min(pos) AS gone FROM p WHERE kind = 'error' GROUP BY plan),
 l AS (SELECT p.* FROM p LEFT JOIN d USING (plan) WHERE (gone IS NULL OR pos <= gone) AND NOT (kind = 'purchase' AND v >= 150) AND NOT (kind = 'signup' AND v < 5))
 SELECT plan, count(*) + 1 AS version, bool_or(kind = 'error') AS removed, arg_max('T' || floor(v)::BIGINT, pos) FILTER (kind = 'signup') AS title,
@@ -19,7 +19,7 @@ SELECT plan, count(*) + 1 AS version, bool_or(kind = 'error') AS removed, arg_ma
 """)
 def plan_replay(t: Tables) -> DataFrame:
     """Plans after renames, notes (cut and blank as null), validated settings and removals whose op ids repeat."""
-    ops = t.events.filter("event_id % 40 <> 1").select((F.col("event_id") % 900).alias("op"), (F.col("user_id") * 50 + F.col("event_id") % 50).alias("plan"), "event_type", "value", "event_id")
+    ops = t.events.select((F.col("event_id") % 900).alias("op"), (F.col("user_id") * 50 + F.col("event_id") % 50).alias("plan"), "event_type", "value", "event_id")
     v = F.floor("value")
     note = F.substring(F.trim(F.when(v % 3 == 0, "   ").otherwise(F.repeat(F.lit("n"), 12))), 1, 10)
     sets = {
@@ -31,6 +31,17 @@ def plan_replay(t: Tables) -> DataFrame:
     return out.withColumn("note", F.col("note.text"))
 
 
+@query(None)
+def pending_replay(t: Tables) -> DataFrame:
+    """Users' events as operations on plans of three items, of which some fail, wait and repeat: what became of each, in order."""
+    kinds = F.create_map(*[F.lit(x) for kv in {"signup": "add", "purchase": "add", "click": "add", "view": "note", "error": "remove"}.items() for x in kv])
+    ops = t.events.select(
+        F.col("user_id").alias("owner"), F.floor(F.col("event_id") * 0.9).alias("op_id"), F.try_element_at(kinds, F.col("event_type")).alias("kind"), (F.floor("value") % 5).alias("item"),
+        F.col("props").alias("note"), F.col("ts").alias("at"), F.col("event_id").alias("seq"),
+    )
+    return replay.replay(ops, replay.Rules(most=3, give_up=2 * 86_400))
+
+
 @query("""
 WITH s AS (SELECT user_id, event_id, event_type AS kind, row_number() OVER (PARTITION BY user_id, ts::DATE, event_type ORDER BY event_id) > 2 AND event_type = 'click' AS refused FROM events WHERE event_type IN ('purchase', 'click', 'error')),
 a AS (SELECT *, coalesce(last_value(CASE WHEN NOT refused THEN kind <> 'error' END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS active FROM s)
