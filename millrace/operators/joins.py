@@ -79,3 +79,34 @@ def equal_or_first(df: DataFrame, table: DataFrame, key: str, values: list[str])
     met = df.join(table.select(F.col(key).alias("_key"), *values), F.col(key) == F.col("_key"), "left").join(F.broadcast(first), F.lit(True))
     took = lambda c, own: F.when(F.col("_key").isNotNull(), F.col(own)).otherwise(F.col("_first")[c]).alias(c)
     return met.select(*[c for c in df.columns if c != key], took(key, key), *[took(v, v) for v in values])
+
+
+def best_snapshot(expected: DataFrame, snapshots: DataFrame, key: str, exact: list[str], optional: list[str], position: str, values: list[str]) -> DataFrame:
+    """``expected`` with ``values`` of its key's best snapshot: the first by position that has its ``exact`` columns and the ``optional`` ones it names, else the first of all.
+
+    Nulls of ``exact`` columns equal each other; a null optional column of ``expected`` asks for nothing, and rows that name no column at all take the first.
+    ``fits`` tells whether the snapshot has what was asked for (null without a snapshot). Equal rows of ``expected`` count once. Snapshots are reduced to the first of each kind before the join, so a key with
+    many snapshots meets each expected row once a kind; one aggregate then picks by (fits, position).
+    """
+    asked = [*exact, *optional]
+    kinds = snapshots.groupBy(F.col(key).alias("_k"), *[F.col(c).alias(f"_{c}") for c in asked]).agg(F.min_by(F.struct(*values), position).alias("_v"), F.min(position).alias("_p"))
+    rows = expected.withColumn("_row", F.struct(*[F.col(c) for c in expected.columns]))
+    named = F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(True)) for c in asked], F.lit(False))
+    equal = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in exact] + [F.col(c).isNull() | F.col(c).eqNullSafe(F.col(f"_{c}")) for c in optional]
+    fits = named
+    for e in equal:
+        fits = fits & e
+    met = rows.join(kinds, F.col(key) == F.col("_k"), "left").withColumn("_fits", F.when(F.col("_k").isNotNull(), fits))
+    best = F.min_by(F.struct(F.col("_v"), F.col("_fits")), F.struct(~F.col("_fits"), F.col("_p")))
+    picked = met.groupBy("_row").agg(best.alias("_b"))
+    return picked.select("_row.*", *[F.col(f"_b._v.{v}").alias(v) for v in values], F.col("_b._fits").alias("fits"))
+
+
+def members(df: DataFrame, array: str, other: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` joined with the rows of ``other`` whose key their array holds, each pair once, however often the array holds it.
+
+    The array is made an index of its different members and joined on equality, so no pair of rows is looked at in vain; adaptive execution splits the rows of a
+    member that many arrays hold. Null and empty arrays and null members hold nothing.
+    """
+    index = df.withColumn("_member", F.explode(F.array_distinct(F.array_compact(array))))
+    return index.join(other, F.col("_member") == other[key]).drop("_member")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.plans import audits, calendar, catalog, facets, forecasts, fuzzy, governance, network, planstate, publication, schedules, searching, shortlists, textual, titles, zones  # noqa: F401
+from millrace.plans import audits, calendar, catalog, facets, forecasts, fuzzy, governance, matching, network, planstate, publication, schedules, searching, shortlists, textual, titles, zones  # noqa: F401
 from millrace.plans.registry import QUERIES, SQL
 
 

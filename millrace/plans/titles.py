@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions import scoring, titles
+from millrace.functions import titles
 from millrace.plans.registry import query
 from millrace.sources.tables import Tables
 
@@ -65,7 +65,7 @@ def repaired_titles(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT p_partkey AS k, (1 + p_size % 9) || ':0' || (p_size % 7) || ' pm' AS clock, p_name || ': ' || 'day' AS canonical, CASE WHEN p_size % 4 < 3 THEN 'exact' ELSE 'disagreement' END AS status,
+SELECT p_partkey AS k, CASE WHEN p_size % 3 = 2 THEN 'from ' ELSE '' END || (1 + p_size % 9) || ':0' || (p_size % 7) || CASE WHEN p_size % 3 = 1 THEN ' p.m.' ELSE ' pm' END AS clock, p_name || ': ' || 'day' AS canonical, CASE WHEN p_size % 4 < 3 THEN 'exact' ELSE 'disagreement' END AS status,
   CASE p_size % 4 WHEN 2 THEN 'find a friend' WHEN 1 THEN 'find' ELSE p_name END AS value, p_name || ' and ' || lower(p_type) AS key, CASE WHEN p_name = 'cold widget' AND p_type = 'PROMO' THEN 'L1' ELSE 'unknown' END AS id,
   NOT (p_name = 'cold widget' AND p_type = 'PROMO') AS review, p_size % 3 = 0 AS fee, CASE WHEN p_size % 5 = 0 AND p_type <> 'PROMO' THEN left('Ask at the arcade for ' || p_name, 20) END AS bled FROM part
 """)
@@ -73,7 +73,7 @@ def canonical_titles(t: Tables) -> DataFrame:
     """Clock texts repaired, titles in canonical form and compared, labels looked up, fees and marks of other categories found."""
     name, z, kind = F.col("p_name"), F.col("p_size"), F.col("p_type")
     h, m = (z % 9 + 1).cast("string"), (z % 7).cast("string")
-    clock = F.when(z % 3 == 0, F.concat(h, F.lit(".0"), m, F.lit(" pm"))).when(z % 3 == 1, F.concat(h, F.lit(":O"), m, F.lit(" p.m."))).otherwise(F.concat(h, F.lit(";0"), m, F.lit("pm")))
+    clock = F.when(z % 3 == 0, F.concat(h, F.lit(".0"), m, F.lit(" pm"))).when(z % 3 == 1, F.concat(h, F.lit(":O"), m, F.lit(" p.m."))).otherwise(F.concat(F.lit("fro* "), h, F.lit(":0"), m, F.lit(" pm")))
     a = F.when(z % 4 == 0, name).when(z % 4 == 1, "find").when(z % 4 == 2, "find a friend").otherwise(name)
     b = F.when(z % 4 == 0, name).when(z % 4 == 1, "find").when(z % 4 == 2, "find").otherwise(F.concat(name, F.lit(" x")))
     label = titles.vocabulary(F.concat(F.upper(name), F.lit("! & "), kind), {"cold widget and promo": "L1"})

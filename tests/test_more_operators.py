@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import forecast, schedules, titles, zoned
-from millrace.operators import browse, evidence, graph, joins, lists, payloads, ranking, recurrence, search, versioning
+from millrace.operators import browse, evidence, graph, joins, lists, payloads, ranking, recurrence, search, sets, versioning
 from millrace.sources import readers
 
 ZONE = "America/New_York"
@@ -193,7 +193,34 @@ def test_readers_of_missing_and_broken_files(spark, tmp_path):
     (tmp_path / "bad.json").write_text("not json")
     assert readers.json_or_empty(spark, str(tmp_path / "bad.json"), schema).count() == 0
     files = readers.document_rows(spark.read.format("binaryFile").load(str(tmp_path)))
-    assert {(r["name"], r["size"]) for r in files.collect()} == {("rows.json", 30), ("bad.json", 8)}
+    assert {(r["name"], r["size"]) for r in files.collect()} == {("rows.json", 30), ("odd.json", 37), ("bad.json", 8)}
     blocks = spark.createDataFrame([(1, "<h1>A</h1><p class=x>b <i>c</i></p><p> </p>"), (2, None)], "page_id int, html string")
     assert [(r["tag"], r["text"]) for r in readers.page_blocks(blocks).collect()] == [("h1", "A"), ("p", "b c")]
     assert [tuple(r) for r in readers.missing_tables(spark, ["no_such_table"]).collect()] == [("no_such_table", False)]
+
+
+def test_members_join_on_an_index(spark):
+    rows = spark.createDataFrame([(1, ["a", "b", "a"]), (2, []), (3, None), (4, [None, "c"])], "id int, held array<string>")
+    other = spark.createDataFrame([("a", 10), ("b", 11), (None, 12), ("d", 13)], "name string, n int")
+    got = joins.members(rows, "held", other, "name")
+    assert sorted((r["id"], r["n"]) for r in got.collect()) == [(1, 10), (1, 11)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_best_snapshot_prefers_what_was_asked(spark):
+    expected = spark.createDataFrame([(1, "h", "c1", "v1"), (2, "h", "c1", None), (3, "h", None, "v2"), (4, "h", None, None), (5, "x", "c1", None), (6, "h", "c9", "v9")], "id int, hash string, config string, version string")
+    snaps = spark.createDataFrame([("h", "c2", "v1", 1), ("h", "c1", "v2", 2), ("h", "c1", "v1", 3), ("h", None, "v2", 4), ("h", "c1", "v1", 5)], "hash string, config string, version string, snap int")
+    got = joins.best_snapshot(expected, snaps, "hash", ["config"], ["version"], "snap", ["snap"])
+    assert sorted((r["id"], r["snap"], r["fits"]) for r in got.collect()) == [(1, 3, True), (2, 2, True), (3, 4, True), (4, 1, False), (5, None, None), (6, 1, False)]
+
+
+def test_equivalence_diff(spark):
+    old = spark.createDataFrame([(1, "Pool", "draft"), (2, "hall", "live"), (3, "bar", "live"), (5, None, "live")], "k int, place string, status string")
+    new = spark.createDataFrame([(1, "pool", "live"), (2, "yard", "live"), (4, "x", "live"), (5, None, "live")], "k int, place string, status string")
+    same = {"place": [("case", lambda a, b: F.lower(a["place"]) == F.lower(b["place"]))]}
+    got = sets.equivalence_diff(old, new, "k", same, "status", ("place",))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [
+        (1, "equivalent", "place", "Pool", "pool", "case", False), (1, "transition", "status", "draft", "live", None, False), (2, "changed", "place", "hall", "yard", None, True),
+        (3, "missing", None, None, None, None, True), (4, "new", None, None, None, None, False),
+    ]))
