@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from millrace.operators import evidence, versioning
 from millrace.plans.registry import query
 from millrace.sources import readers
-from millrace.sources.tables import Tables
+from millrace.sources.publication import Publication, lacking, orphans, repeated
+from millrace.sources.tables import Tables, fresh_folder
 
 
 @query("""
@@ -73,3 +74,23 @@ def reading_order(t: Tables) -> DataFrame:
     k = t.lineitem.select(F.col("l_orderkey").alias("region"), (F.col("l_linenumber") * 10 + F.col("l_partkey") % 3).alias("y"), F.col("l_partkey").alias("x"), (F.col("l_linenumber") % 3 == 1).alias("s")).distinct()
     out = evidence.reading_groups(k.withColumn("h", F.lit(8)), "region", "y", "x", "h", F.col("s"))
     return out.select("region", "y", "x", "line", F.col("group").alias("grp"))
+
+
+@query("""
+WITH p AS (SELECT c_custkey AS program, c_mktsegment AS kind FROM customer), o AS (SELECT o_orderkey AS offering, o_custkey AS program, o_totalprice AS price FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)),
+bad AS (SELECT count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey <> 7)),
+good AS (SELECT p.kind, count(DISTINCT p.program) AS programs, count(o.offering) AS offerings, round(coalesce(sum(o.price), 0), 2) AS value FROM p LEFT JOIN o USING (program) GROUP BY p.kind)
+SELECT 'first' AS version, kind, programs, offerings, value, (SELECT n FROM bad) AS refused FROM good
+""")
+def staged_publication(t: Tables) -> DataFrame:
+    """Programs and offerings published; a second version, whose gate finds offerings without a program, stays staged: what readers see, and how many rows it was refused for."""
+    site = Publication(t.spark, fresh_folder(t.spark, "site"))
+    programs = t.customer.select(F.col("c_custkey").alias("program"), F.col("c_mktsegment").alias("kind"), "c_nationkey")
+    offerings = t.orders.select(F.col("o_orderkey").alias("offering"), F.col("o_custkey").alias("program"), F.col("o_totalprice").alias("price"))
+    checks = {"orphans": orphans("offerings", "program", "programs", "program"), "repeats": repeated("programs", "program"), "blanks": lacking("offerings", "offering", "program")}
+    site.publish("first", {"programs": programs, "offerings": offerings.join(programs.select("program"), "program", "left_semi")}, checks)
+    late = site.publish("second", {"programs": programs.filter("c_nationkey <> 7"), "offerings": offerings}, checks)
+    now, name = site.tables(), site.manifest()["version"]
+    both = now["programs"].join(now["offerings"].withColumnRenamed("program", "_p"), F.col("program") == F.col("_p"), "left")
+    value = F.round(F.coalesce(F.sum("price"), F.lit(0.0)), 2).alias("value")
+    return both.groupBy("kind").agg(F.countDistinct("program").alias("programs"), F.count("offering").alias("offerings"), value).select(F.lit(name).alias("version"), "kind", "programs", "offerings", "value", F.lit(late.findings["orphans"]).cast("long").alias("refused"))
