@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators import graph, versioning
+from millrace.operators import graph, graphdoc, versioning
 from millrace.plans.registry import query
 from millrace.sources.tables import Tables
 
@@ -80,3 +80,37 @@ def active_version(t: Tables) -> DataFrame:
     new = t.nation.filter("n_regionkey = 3").select(F.col("n_nationkey").alias("place"), F.col("n_regionkey").alias("version"))
     live = versioning.activate(old, new, "version").filter("is_active")
     return live.join(t.nation.select(F.col("n_nationkey").alias("place"), "n_name"), "place").select("n_name", "version")
+
+
+@query("""
+WITH l AS (SELECT l_orderkey AS g, l_linenumber AS n, l_suppkey AS s, l_partkey % 100 AS p, l_returnflag AS f, l_quantity AS q FROM lineitem),
+ids AS (SELECT g, 'places' AS r, s::VARCHAR AS id, 1 AS k FROM l UNION ALL SELECT g, 'stops', n::VARCHAR, 1 FROM l UNION ALL SELECT DISTINCT g, 'patterns', f, 1 FROM l UNION ALL SELECT g, 'edges', n || '-' || (n + 1), 1 FROM l UNION ALL SELECT g, 'services', 'v' || n, 1 FROM l),
+refs AS (
+  SELECT g, 'stops' AS relation, n::VARCHAR AS id, 'place' AS field, 'places' AS r, CASE WHEN n % 5 = 0 THEN s + 1 ELSE s END::VARCHAR AS ref FROM l
+  UNION ALL SELECT g, 'patterns', f, 'stops', 'stops', n::VARCHAR FROM l
+  UNION ALL SELECT g, 'edges', n || '-' || (n + 1), 'from', 'stops', n::VARCHAR FROM l UNION ALL SELECT g, 'edges', n || '-' || (n + 1), 'to', 'stops', (n + 1)::VARCHAR FROM l UNION ALL SELECT g, 'edges', n || '-' || (n + 1), 'pattern', 'patterns', CASE WHEN q > 45 THEN 'X' ELSE f END FROM l
+  UNION ALL SELECT g, 'services', 'v' || n, 'origin', 'places', s::VARCHAR FROM l UNION ALL SELECT g, 'services', 'v' || n, 'destination', 'places', p::VARCHAR FROM l UNION ALL SELECT g, 'services', 'v' || n, 'edges', 'edges', (n - 1) || '-' || n FROM l),
+faults AS (
+  SELECT relation, field, 'orphan' AS fault FROM refs WHERE NOT EXISTS (SELECT 1 FROM ids WHERE ids.g = refs.g AND ids.r = refs.r AND ids.id = refs.ref)
+  UNION ALL SELECT r, 'id', 'repeated' FROM ids GROUP BY g, r, id HAVING count(*) > 1)
+SELECT relation, field, fault, count(*) AS n FROM faults GROUP BY ALL
+""")
+def graph_integrity(t: Tables) -> DataFrame:
+    """Orders written as graph documents, some with broken references, and read again: how many faults each relation has."""
+    n, s, f = F.col("l_linenumber"), F.col("l_suppkey"), F.col("l_returnflag")
+    text = lambda c: c.cast("string")
+    edge = lambda k: F.concat(text(k), F.lit("-"), text(k + 1))
+    line = F.struct(
+        F.struct(text(s).alias("id")).alias("place"),
+        F.struct(text(n).alias("id"), text(F.when(n % 5 == 0, s + 1).otherwise(s)).alias("place")).alias("stop"),
+        F.struct(edge(n).alias("id"), text(n).alias("from"), text(n + 1).alias("to"), F.when(F.col("l_quantity") > 45, "X").otherwise(f).alias("pattern")).alias("edge"),
+        F.struct(F.concat(F.lit("v"), text(n)).alias("id"), text(s).alias("origin"), text(F.col("l_partkey") % 100).alias("destination"), F.array(edge(n - 1)).alias("edges")).alias("service"),
+        f.alias("flag"),
+        text(n).alias("n"),
+    )
+    lines = t.lineitem.groupBy("l_orderkey").agg(F.collect_list(line).alias("l"))  # an order has a few lines
+    each = lambda member: F.transform("l", lambda x: x[member])
+    patterns = F.transform(F.array_distinct(each("flag")), lambda p: F.struct(p.alias("id"), F.transform(F.filter("l", lambda x: x["flag"] == p), lambda x: x["n"]).alias("stops")))
+    doc = F.to_json(F.struct(each("place").alias("places"), each("stop").alias("stops"), patterns.alias("patterns"), each("edge").alias("edges"), each("service").alias("services")))
+    found = graphdoc.integrity(graphdoc.parsed(lines.select("l_orderkey", doc.alias("doc")), "l_orderkey", "doc"))
+    return found.groupBy("relation", "field", "fault").agg(F.count(F.lit(1)).alias("n"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import forecast, schedules, titles, zoned
-from millrace.operators import browse, evidence, graph, joins, lists, payloads, ranking, recurrence, search, sets, versioning
+from millrace.operators import browse, evidence, graph, graphdoc, joins, lists, payloads, ranking, recurrence, search, sets, versioning
 from millrace.sources import readers
 
 ZONE = "America/New_York"
@@ -224,3 +224,16 @@ def test_equivalence_diff(spark):
         (1, "equivalent", "place", "Pool", "pool", "case", False), (1, "transition", "status", "draft", "live", None, False), (2, "changed", "place", "hall", "yard", None, True),
         (3, "missing", None, None, None, None, True), (4, "new", None, None, None, None, False),
     ]))
+
+
+def test_graph_documents(spark):
+    good = '{"places":[{"id":"p"},{"id":"q"}],"stops":[{"id":"1","place":"p"},{"id":"2","place":"q"}],"patterns":[{"id":"a","stops":["1","2"]}],"edges":[{"id":"e","from":"1","to":"2","pattern":"a"}],"services":[{"id":"s","origin":"p","destination":"q","edges":["e"]}]}'
+    bad = '{"places":[{"id":"p"},{"id":"p"},{}],"stops":[{"id":"1","place":"x"}],"patterns":[{"id":"a","stops":["1","9",null]}],"edges":[{"id":"e","from":"1","to":"8","pattern":"z"}],"services":[{"id":"s","origin":"p","destination":"y","edges":["e","f"]}]}'
+    docs = graphdoc.parsed(spark.createDataFrame([(1, good), (2, bad), (3, "no json"), (4, "{}"), (5, None)], "k int, t string"), "k", "t")
+    assert {n: df.filter("graph = 1").count() for n, df in graphdoc.relations(docs).items()} == {"places": 2, "stops": 2, "patterns": 1, "edges": 1, "services": 1}
+    got = sorted(map(str, map(tuple, graphdoc.integrity(docs).collect())))
+    assert got == sorted(map(str, [
+        (2, "stops", "1", "place", "x", "orphan"), (2, "patterns", "a", "stops", "9", "orphan"), (2, "edges", "e", "to", "8", "orphan"), (2, "edges", "e", "pattern", "z", "orphan"),
+        (2, "services", "s", "destination", "y", "orphan"), (2, "services", "s", "edges", "f", "orphan"), (2, "places", "p", "id", None, "repeated"), (2, "places", None, "id", None, "unnamed"),
+        (3, None, None, None, None, "unread"), (5, None, None, None, None, "unread"),
+    ]))
