@@ -28,24 +28,26 @@ def candidates(left: DataFrame, right: DataFrame, keys: list[str], least: float)
     """(keys, a, b): pairs of different texts of equal keys that include all with a ratio of ``least`` or more (over 2/3).
 
     ``left`` and ``right`` have the keys and ``text``, each row once. Of two texts of lengths m and n at most (1 - least)(m + n) characters
-    stay unmatched, and each spoils two pairs of neighbouring characters of its own text and one of the other. So all but p of a text's
-    pairs are in the other text, and if pairs are taken from the rarest, the first p + 1 of both share one. Short texts, which have too few pairs, meet on
+    stay unmatched, and each spoils w substrings of w characters of its own text and w - 1 of the other. So all but p of a text's
+    substrings are in the other text, and if they are taken from the rarest, the first p + 1 of both share one. Short texts, which have too few, meet on
     single characters as well. Texts of lengths that can't reach the ratio don't meet, and those that meet go on if so many edits make
     one the other. Rows carry digests; the texts join at the end.
     """
     if not 2 / 3 < least <= 1:
         raise ValueError("least must be over 2/3")
     shrink = least / (2 - least)  # the least length of a partner
-    spoiled = 1.5 * (1 - least) * (1 + shrink) + (1 - shrink) / 2  # of pairs, a character of the text
-    lost = (1 - least) * (1 + shrink) / 2 + (1 - shrink) / 2  # of single characters
-    short = math.ceil(2 / (1 - spoiled)) + 1
+    lost = 2 * (1 - least) / (2 - least)  # of single characters, a character of the text: all that the shortest partner lacks
+    # The widest substrings that tell texts of ten characters and more apart; the shortest partner is the worst case for them.
+    width = next(w for w in (4, 3, 2) if w == 2 or (w * lost < 1 and w / (1 - w * lost) <= 10 and (1 - least) * (2 * w - 1) <= 1))
+    spoiled = width * lost
+    short = math.ceil(width / (1 - spoiled)) + 1
     sides = left.select(*keys, "text", F.lit(True).alias("_l")).unionByName(right.select(*keys, "text", F.lit(False).alias("_l")))
     both = sides.groupBy(*keys, "text").agg(F.max("_l").alias("_l"), F.max(~F.col("_l")).alias("_r")).withColumn("_t", F.md5(F.col("text").cast("binary")))
-    items = _items(both, keys, 2, None).unionByName(_items(both, keys, 1, math.ceil(short / shrink)))
+    items = _items(both, keys, width, None).unionByName(_items(both, keys, 1, math.ceil(short / shrink)))
     often = items.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_often"))
     ranked = items.alias("i").join(often.alias("o"), [*_on(keys, "i", "o"), F.col("i._x") == F.col("o._x")]).select("i.*", "o._often")
     from_rare = Window.partitionBy(*keys, "_t", "_x.w").orderBy("_often", "_x")
-    share = F.when(F.col("_x.w") == 2, spoiled).otherwise(lost)
+    share = F.when(F.col("_x.w") > 1, spoiled).otherwise(lost)
     first = ranked.withColumn("_nth", F.row_number().over(from_rare)).filter(F.col("_nth") <= F.floor(F.col("_length") * share + 1e-9) + 1)
     marks = both.select(*keys, "_t", "_l", "_r")
     marked = first.alias("f").join(marks.alias("m"), [*_on(keys, "f", "m"), F.col("f._t") == F.col("m._t")]).select("f.*", "m._l", "m._r")

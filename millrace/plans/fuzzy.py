@@ -80,14 +80,14 @@ def two_stage_match(t: Tables) -> DataFrame:
 @query(f"""
 WITH RECURSIVE {TITLES_SQL},
 u AS (SELECT a.* FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.lang IS NOT DISTINCT FROM a.lang AND b.x = a.x)), v AS (SELECT b.* FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE b.lang IS NOT DISTINCT FROM a.lang AND b.x = a.x)),
-pairs AS ({_near_sql(0.75, "u", "v")}), {blocks_sql("pairs")},
-near AS (SELECT lang, a, b, {RATIO_SQL} AS ratio FROM pairs JOIN blocks USING (id) WHERE 2.0 * m / (length(a) + length(b)) >= 0.75)
+pairs AS ({_near_sql(0.9, "u", "v")}), {blocks_sql("pairs")},
+near AS (SELECT lang, a, b, {RATIO_SQL} AS ratio FROM pairs JOIN blocks USING (id) WHERE 2.0 * m / (length(a) + length(b)) >= 0.9)
 SELECT * FROM near QUALIFY count(*) OVER (PARTITION BY lang, a) = 1 AND count(*) OVER (PARTITION BY lang, b) = 1
 """)
 def mutual_matches(t: Tables) -> DataFrame:
     """Titles that one side lacks, paired where each is the other's only likely partner."""
     left, right = _titles(t)
-    m = alike.mutual(left, right, ["lang"], 0.75)
+    m = alike.mutual(left, right, ["lang"], 0.9)
     return m.select("lang", "a", "b", F.round("ratio", 6).alias("ratio"))
 
 
