@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import graph, graphdoc, versioning
 from millrace.plans.registry import query
-from millrace.sources.tables import Tables
+from millrace.sources.tables import Tables, fresh_folder
 
 EDGE_SQL = """e AS (SELECT DISTINCT s_nationkey AS src, ((s_nationkey + 1 + s_suppkey % 3) % 25)::INTEGER AS dst, ['Bus 5', 'Ferry', 'Foot path'][1 + s_suppkey % 3] AS label, ['bus', 'boat', 'walk'][1 + s_suppkey % 3] AS mode,
   CASE WHEN s_nationkey % 2 = 0 THEN 'even' END AS note, 5 + s_nationkey % 7 AS minutes FROM supplier)"""
@@ -112,5 +112,7 @@ def graph_integrity(t: Tables) -> DataFrame:
     each = lambda member: F.transform("l", lambda x: x[member])
     patterns = F.transform(F.array_distinct(each("flag")), lambda p: F.struct(p.alias("id"), F.transform(F.filter("l", lambda x: x["flag"] == p), lambda x: x["n"]).alias("stops")))
     doc = F.to_json(F.struct(each("place").alias("places"), each("stop").alias("stops"), patterns.alias("patterns"), each("edge").alias("edges"), each("service").alias("services")))
-    found = graphdoc.integrity(graphdoc.parsed(lines.select("l_orderkey", doc.alias("doc")), "l_orderkey", "doc"))
+    folder = fresh_folder(t.spark, "graphs")
+    lines.select("l_orderkey", doc.alias("doc")).write.parquet(folder)
+    found = graphdoc.integrity(graphdoc.parsed(t.spark.read.parquet(folder), "l_orderkey", "doc"))
     return found.groupBy("relation", "field", "fault").agg(F.count(F.lit(1)).alias("n"))
