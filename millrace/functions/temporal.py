@@ -142,3 +142,23 @@ def on_scale(value: Column, domain: tuple[int, int], to: tuple[int, int]) -> Col
 def proper_end(start: Column, end: Column, minutes: int) -> Column:
     """The end if it isn't before the start, else so many minutes after the start."""
     return F.when(end.isNull() | (end < start), F.timestamp_add("MINUTE", F.lit(minutes), start)).otherwise(end)
+
+
+def display_time(start: Column, end: Column, text: Column, text_label: Column, text_range: Column, doubtful: Column) -> Column:
+    """(label, uncertain) of local times and a schedule text: what its text says, unless that is doubtful or a default of a whole day.
+
+    ``text_label`` is what the text was read as (null: it wasn't), ``text_range`` whether it names an end, ``doubtful`` whether it says that times are open. Ends before their
+    start and whole days without an explicit range need confirmation. Long texts that can't be read are cut with an ellipsis, as labels are.
+    """
+    said = lambda label, uncertain: F.struct(label.cast("string").alias("label"), uncertain.alias("uncertain"))
+    yes, no, none = F.lit(True), F.lit(False), F.lit(None)
+    confirm = said(F.lit("Time needs confirmation"), yes)
+    default = F.coalesce(span_daypart(minutes_of_day(start), minutes_of_day(end)) == "anytime", no)
+    clock = lambda x: clock_label(minutes_of_day(x))
+    spoken = F.coalesce(text, F.lit("")) != ""
+    cut = F.when(F.length(text) > 80, F.concat(F.substring(text, 1, 77), F.lit("\u2026"))).otherwise(text)
+    by_text = F.when(default & ~F.coalesce(text_range, no), confirm).when(text_label.isNotNull(), said(text_label, no)).when(start.isNull(), said(none, no)).otherwise(said(cut, no))
+    both = F.when(clock(start) == clock(end), clock(start)).otherwise(F.concat_ws(" \u2013 ", clock(start), clock(end)))
+    by_times = F.when(default, confirm).when(start.isNull(), said(none, no)).when(end.isNull(), said(clock(start), ~spoken)).otherwise(said(both, no))
+    unsure = F.coalesce(doubtful, no)
+    return F.when(end < start, confirm).when(spoken & ~unsure, by_text).when(spoken & start.isNull(), said(none, no)).when(spoken, confirm).otherwise(by_times)

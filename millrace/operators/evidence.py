@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +31,8 @@ def missing_combinations(seen: DataFrame, wanted: dict[str, list]) -> DataFrame:
     every = spark.range(1).select(F.lit(0).alias("_"))
     for c, values in wanted.items():
         every = every.select("*", F.explode(F.lit(values)).alias(c))
-    return every.drop("_").join(F.broadcast(seen.select(*wanted).distinct().filter(F.col(next(iter(wanted))).isin(*next(iter(wanted.values()))))), list(wanted), "left_anti")
+    known = seen.select(*wanted).filter(reduce(lambda a, b: a & b, [F.col(c).isin(*values) for c, values in wanted.items()])).distinct()
+    return every.drop("_").join(F.broadcast(known), list(wanted), "left_anti")  # no more rows than there are wanted combinations
 
 
 def matrix(feeds: dict[str, DataFrame], key: str) -> DataFrame:

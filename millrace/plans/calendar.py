@@ -270,3 +270,24 @@ def group_scores(t: Tables) -> DataFrame:
     g = t.events.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") < 10).alias("cheap"), F.count_if(F.hour("ts") >= 17).alias("evening"), F.countDistinct("user_id").alias("users"))
     g = g.withColumn("score", 10 * F.col("n") + 3 * F.col("cheap") + 2 * F.col("evening") + F.col("users"))
     return g.withColumn("place", F.row_number().over(Window.partitionBy("day").orderBy(F.desc("score"), "event_type")).cast("long"))
+
+
+LABEL_SQL = "((hour({0}) + 11) % 12 + 1)::VARCHAR || ':' || lpad(minute({0})::VARCHAR, 2, '0') || CASE WHEN hour({0}) < 12 THEN ' AM' ELSE ' PM' END"
+
+
+@query(f"""
+WITH e AS (SELECT event_id, event_type, props, CASE WHEN event_id % 7 > 0 THEN ts END AS s, CASE WHEN event_id % 3 > 0 THEN ts + to_minutes((event_id % 13 * 70 - 60)::BIGINT) END AS f FROM events),
+t AS (SELECT *, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN repeat(props || ' ', 1 + event_id % 20) WHEN 2 THEN 'from 7:00 PM' WHEN 3 THEN event_type ELSE '' END AS x, event_id % 5 = 3 AND event_type <> 'click' AS doubtful, CASE WHEN event_id % 5 = 2 THEN '7:00 PM' END AS y, event_id % 2 = 0 AS r,
+  hour(s) * 60 + minute(s) AS a, hour(f) * 60 + minute(f) AS b FROM e),
+d AS (SELECT *, coalesce(a <= 540 AND CASE WHEN b < a THEN b + 1440 ELSE b END >= 1200 AND CASE WHEN b < a THEN b + 1440 ELSE b END - a >= 600, false) AS whole FROM t),
+l AS (SELECT event_id, CASE WHEN f < s THEN ['?'] WHEN x <> '' AND NOT doubtful THEN CASE WHEN whole AND NOT r THEN ['?'] WHEN y IS NOT NULL THEN [y] WHEN s IS NULL THEN [NULL] ELSE [CASE WHEN length(x) > 80 THEN substr(x, 1, 77) || '…' ELSE x END] END
+  WHEN x <> '' THEN CASE WHEN s IS NULL THEN [NULL] ELSE ['?'] END WHEN whole THEN ['?'] WHEN s IS NULL THEN [NULL] WHEN f IS NULL THEN [{LABEL_SQL.format("s")}, '!'] WHEN a = b THEN [{LABEL_SQL.format("s")}] ELSE [{LABEL_SQL.format("s")} || ' – ' || {LABEL_SQL.format("f")}] END AS v FROM d)
+SELECT event_id, CASE WHEN v[1] = '?' THEN 'Time needs confirmation' ELSE v[1] END AS label, coalesce(v[1] = '?', false) OR len(v) = 2 AS uncertain FROM l
+""")
+def display_times(t: Tables) -> DataFrame:
+    """What to say of events' times: their text, their times, or that they need confirmation."""
+    k = F.col("event_id")
+    start, end = F.when(k % 7 > 0, F.col("ts")), F.when(k % 3 > 0, F.timestamp_add("MINUTE", (k % 13 * 70 - 60).cast("int"), F.col("ts")))
+    text = F.when(k % 5 == 1, F.repeat(F.concat("props", F.lit(" ")), (k % 20 + 1).cast("int"))).when(k % 5 == 2, "from 7:00 PM").when(k % 5 == 3, F.col("event_type")).when(k % 5 == 4, "")
+    shown = T.display_time(start, end, text, F.when(k % 5 == 2, "7:00 PM"), k % 2 == 0, (k % 5 == 3) & (F.col("event_type") != "click"))
+    return t.events.select("event_id", shown.alias("d")).select("event_id", "d.*")

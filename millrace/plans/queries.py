@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.plans import audits, calendar, catalog, consensus, facets, forecasts, fuzzy, golden, governance, indexed, matching, network, planstate, publication, schedules, searching, shortlists, textual, titles, zones  # noqa: F401
+from millrace.plans import audits, calendar, catalog, consensus, facets, forecasts, fuzzy, golden, governance, indexed, matching, network, planstate, publication, schedules, searching, shortlists, snapshots, textual, titles, zones  # noqa: F401
 from millrace.plans.registry import QUERIES, SQL
 
 

@@ -93,13 +93,14 @@ def timeline_marks(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT * FROM (VALUES ('drop free', '/browse?q=x', 1), ('drop all', '/browse', 2), ('drop late', '/browse?q=x', 3), ('nearby', '/near', 4)) v(label, href, pos)) SELECT href, arg_min(label, pos) AS label, CASE WHEN min(pos) = 1 THEN 'primary' ELSE 'secondary' END AS intent FROM c GROUP BY href
+WITH f AS (SELECT user_id, props AS href, arg_min(event_type, event_id) AS label, min(event_id) AS pos FROM events GROUP BY user_id, props)
+SELECT user_id, href, label, CASE WHEN pos = min(pos) OVER (PARTITION BY user_id) THEN 'primary' ELSE 'secondary' END AS intent FROM f
 """)
 def recovery_actions(t: Tables) -> DataFrame:
-    """What to offer where nothing is found: candidates by href, the first of each, the first of all primary."""
-    rows = t.region.limit(1).select(F.inline(F.array(*[F.struct(F.lit(a).alias("label"), F.lit(h).alias("href"), F.lit(p).alias("pos")) for p, (a, h) in enumerate([("drop free", "/browse?q=x"), ("drop all", "/browse"), ("drop late", "/browse?q=x"), ("nearby", "/near")], 1)])))
-    first = ranking.dedupe_first(rows, ["href"], F.col("pos"))
-    return first.select("href", "label", F.when(F.col("pos") == 1, "primary").otherwise("secondary").alias("intent"))
+    """What to offer each user again: their events by target, the first of each, the first of all primary."""
+    first = ranking.dedupe_first(t.events.select("user_id", F.col("props").alias("href"), F.col("event_type").alias("label"), F.col("event_id").alias("pos")), ["user_id", "href"], F.col("pos"))
+    begins = t.events.groupBy("user_id").agg(F.min("event_id").alias("begin"))
+    return first.join(begins, "user_id").select("user_id", "href", "label", F.when(F.col("pos") == F.col("begin"), "primary").otherwise("secondary").alias("intent"))
 
 
 @query("""

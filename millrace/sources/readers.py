@@ -165,3 +165,12 @@ def missing_tables(spark: SparkSession, expected: list[str]) -> DataFrame:
     """(name, present) of expected tables and views of the session's catalogue."""
     there = {t.name.lower() for t in spark.catalog.listTables()}
     return spark.range(1).select(F.explode(F.lit(expected)).alias("name")).withColumn("present", F.lower("name").isin(*there) if there else F.lit(False))
+
+
+def table_or_empty(spark: SparkSession, name: str, schema: str) -> DataFrame:
+    """A table or view of the catalogue in the given columns, or no rows where it doesn't exist; columns that it lacks are null, any other fault is raised when it is read."""
+    wanted = T.StructType.fromDDL(schema)
+    if not spark.catalog.tableExists(name):
+        return spark.createDataFrame([], wanted)
+    held = spark.table(name)
+    return held.select(*[(F.col(f"`{f.name}`") if f.name in held.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted])
