@@ -80,7 +80,11 @@ def happening_soon(t: Tables) -> DataFrame:
     """One day's events: coming ones by start, running ones, past ones by age."""
     e = t.events.filter(F.to_date("ts") == F.to_date(now())).withColumn("away", T.epoch_seconds(F.col("ts")) - T.epoch_seconds(now()))
     e = e.withColumn("bucket", F.when(F.col("away") > 0, 0).when(F.col("away") >= -3600, 1).otherwise(2))
-    return e.select("event_id", "bucket", F.row_number().over(Window.orderBy("bucket", F.abs("away"), "event_id")).cast("long").alias("place"))
+    e = e.withColumn("gap", F.abs("away"))
+    # one row for each bucket and second of a day goes through one task, however many events the day has
+    before = e.groupBy("bucket", "gap").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("bucket", "gap")) - F.col("n")).drop("n")
+    nth = F.row_number().over(Window.partitionBy("bucket", "gap").orderBy("event_id"))
+    return e.join(before, ["bucket", "gap"]).select("event_id", "bucket", (F.col("before") + nth).cast("long").alias("place"))
 
 
 @query("""
