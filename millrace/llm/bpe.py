@@ -5,7 +5,8 @@ followed by its last token t, the one vocabulary suffix that does not merge with
 later token starts less than ``lookahead`` bytes back, where ``lookahead`` is the longest string that
 the merge list builds; so a token is stable once the paths of the last ``lookahead`` prefixes all run
 through it, or once its piece ends. The transducer keeps those prefixes only, emits stable tokens and forgets them: memory
-doesn't grow with the input. Every piece passes it; what it gave for short pieces is remembered in a table of bounded size.
+doesn't grow with the input. Every piece passes it. Short pieces share their prefixes, whose last tokens are kept in a table of bounded size, and what
+it gave for them is remembered in another, from which entries go that were not asked for again.
 
 The decoder turns token bytes into text by an incremental UTF-8 state machine: a character cut by
 a token's end waits for the next one; ill-formed bytes become U+FFFD.
@@ -26,7 +27,7 @@ import json
 import re
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -47,6 +48,8 @@ CUT = regex.compile(r"(?<=\P{White_Space}) ")
 SURE_CUT = re.compile(r"(?<=[0-9A-Za-z]) ")
 WINDOW = 1 << 16
 REMEMBERED = 250_000
+#: Bytes of a piece whose prefixes are kept for others, and characters of what is remembered.
+SHORT = 64
 #: Bytes of a long piece that are pushed at a time.
 PART = 4096
 NONE, UNKNOWN = -1, -2
@@ -207,6 +210,8 @@ class ByteBPE:
         self.lookahead = max(map(len, self.whole))
         self.digits = [str(i) for i in range(n)]
         self.remembered = _Pieces(self)
+        #: The last token of short prefixes (NONE: none ends there).
+        self.ends: dict[bytes, int] = {}
         self.sure = Classes()
         #: Bytes that have passed the transducer.
         self.pushed = 0
@@ -247,9 +252,45 @@ class ByteBPE:
         if data in self.whole:  # the transducer's longest candidate, and nothing stands before it
             self.pushed += len(data)
             return [self.whole[data]]
+        if len(data) <= SHORT:
+            return self._short(data)
         stream = Transducer(self)
         return stream.push(data) + stream.end()
 
+    def _short(self, data: bytes) -> list[int]:
+        """What the transducer gives for a short piece, with the prefixes of all short pieces in one table."""
+        self.pushed += len(data)
+        if len(self.ends) > REMEMBERED:
+            self.ends.clear()
+        ends, size, out = self.ends, self.size, []
+        while data:
+            token = ends.get(data)
+            if token is None:
+                token = self._end(data)
+            out.append(token)
+            data = data[: -size[token]]
+        return out[::-1]
+
+    def _end(self, data: bytes) -> int:
+        """The last token of a short prefix, as :meth:`Transducer._last` finds it."""
+        ends, token_of, pairs, n = self.ends, self.whole.get, self.pairs.get, len(data)
+        start = n - self.reach.get(data[-4:], 3) if n > 3 else 0
+        for start in range(start if start > 0 else 0, n):
+            token = token_of(data[start:])
+            if token is not None:
+                if not start:
+                    break
+                before = ends.get(data[:start])
+                if before is None:
+                    before = ends[data[:start]] = self._end(data[:start])
+                if before >= 0:
+                    apart = pairs((before, token))
+                    if self.apart(before, token) if apart is None else apart:
+                        break
+        else:
+            token = NONE
+        return token
+
     def encode(self, text: str | None) -> Iterator[list[int]]:
         """The text's tokens, a window at a time."""
         if not text:
@@ -278,6 +319,7 @@ class ByteBPE:
     def _pieces(self, text: str, at: int) -> Iterator[tuple[list[int], int]]:
         """Tokens from ``at`` on, piece by piece for about a window, and where they end."""
         upto = at + WINDOW
+        self.remembered.bound(REMEMBERED)
         for m in PIECES.finditer(text, at):
             lo, hi = m.span()
             if hi - lo <= PART:
@@ -300,36 +342,66 @@ class ByteBPE:
         return list(chain.from_iterable(self.piece(text[lo:hi].encode()) for lo, hi in spans))
 
     def _window(self, text: str) -> list[int]:
-        if len(self.remembered) > REMEMBERED:
-            self.remembered.clear()
+        known = self.remembered
+        known.bound(REMEMBERED)
         if RUN.search(text):
-            return list(chain.from_iterable(map(self.remembered.__getitem__, PIECES.findall(text))))
+            return list(chain.from_iterable(map(known.__getitem__, PIECES.findall(text))))
         first, *others = text.split(" ")
-        chunks = [first] if first else []
-        chunks += [" " + c for c in others]
-        return list(chain.from_iterable(map(self.remembered.__getitem__, chunks)))
+        return [*(known[first] if first else ()), *chain.from_iterable(map(known.spaced.__getitem__, others))]
 
     def decoder(self) -> Decoder:
         return Decoder(self)
 
 
-class _Pieces(dict):
-    """Tokens of pieces, and of what stands between two spaces (with the space before)."""
+class _Recent(dict):
+    """A table that is emptied when it is full; entries of the one before that are asked for come back."""
 
-    def __init__(self, bpe: ByteBPE) -> None:
+    def __init__(self, make: Callable[[str], tuple[int, ...]]) -> None:
         super().__init__()
-        self.bpe = bpe
+        self.make, self.older = make, {}
 
     def __missing__(self, chunk: str) -> tuple[int, ...]:
-        pieces = PIECES.findall(chunk)
-        if len(pieces) == 1:
-            ids = tuple(self.bpe.piece(chunk.encode()))
-        else:
-            ids = tuple(chain.from_iterable(map(self.__getitem__, pieces)))
-        if len(chunk) <= 64:
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = self.make(chunk)
+        if len(chunk) <= SHORT:
             self[chunk] = ids
         return ids
 
+    def bound(self, size: int) -> None:
+        """Turn to a new table once this one has half of ``size`` entries."""
+        if 2 * len(self) > size:
+            self.older = dict(self)
+            super().clear()
+
+    def clear(self) -> None:
+        super().clear()
+        self.older = {}
+
+
+class _Pieces(_Recent):
+    """Tokens of pieces, and of what stands between two spaces: in ``spaced`` by what follows the space before."""
+
+    def __init__(self, bpe: ByteBPE) -> None:
+        super().__init__(self._tokens)
+        self.bpe, self.spaced = bpe, _Recent(lambda chunk: self._tokens(" " + chunk))
+
+    def _tokens(self, chunk: str) -> tuple[int, ...]:
+        if chunk.isalpha() or chunk[:1] == " " and chunk[1:].isalpha():
+            return tuple(self.bpe.piece(chunk.encode()))
+        pieces = PIECES.findall(chunk)
+        if len(pieces) == 1:
+            return tuple(self.bpe.piece(chunk.encode()))
+        return tuple(chain.from_iterable(self.spaced[p[1:]] if p[0] == " " else self[p] for p in pieces))
+
+    def bound(self, size: int) -> None:
+        super().bound(size)
+        self.spaced.bound(size)
+
+    def clear(self) -> None:
+        super().clear()
+        self.spaced.clear()
+
 
 class Decoder:
     """Tokens to text; what is not yet a whole character waits."""
@@ -356,7 +428,7 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", carry: tuple[st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        hold(bpe.remembered, bpe.pairs)
+        hold(bpe.remembered, bpe.pairs, bpe.ends)
         for b in batches:
             at, n = 0, b.num_rows
             while at < n:  # a batch of long texts goes on in parts
@@ -385,7 +457,7 @@ def decode_ids(encoded: DataFrame, path: str, ids: str = "ids", carry: tuple[str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        hold(bpe.remembered, bpe.pairs)
+        hold(bpe.remembered, bpe.pairs, bpe.ends)
         for b in batches:
             texts = []
             for row in b.column(0):
@@ -407,7 +479,7 @@ def digests(docs: DataFrame, path: str, text: str = "text", carry: tuple[str, ..
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        hold(bpe.remembered, bpe.pairs)
+        hold(bpe.remembered, bpe.pairs, bpe.ends)
         digit = bpe.digits.__getitem__
         for b in batches:
             counts, ids_sums, text_sums = [], [], []

@@ -213,3 +213,22 @@ def test_runs_of_windows_agree(monkeypatch):
     monkeypatch.setattr(langid, "RUN", 7)
     parts = langid.class_sums(texts, table, 10)
     assert np.allclose(whole[0], parts[0]) and (whole[1] == parts[1]).all()
+
+
+def test_short_pieces_share_their_prefixes(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 40)
+    model, rng = bpe.ByteBPE(BYTE), random.Random(7)
+    stems = ["".join(rng.choice("abdeéнst") for _ in range(12)) for _ in range(8)]
+    often, text = "ordinarily ", ""
+    for k in range(600):
+        text += often + stems[k % 8] + rng.choice("abcd") + rng.choice(["", "ing,", "'s\n", "9.x"]) + str(k) + " "
+    asked, plain = [], model._end
+    monkeypatch.setattr(model, "_end", lambda data: asked.append(data) or plain(data))
+    windows = [text[k : k + 400] for k in range(0, len(text), 400)]
+    assert [[*chain.from_iterable(model.encode(w))] for w in windows] == [LIBRARY.encode(w, add_special_tokens=False).ids for w in windows]
+    assert len(model.ends) <= 40 + bpe.SHORT
+    assert asked.count(b" ordinarily") <= 2  # what is asked for again comes back from the table before
+    known = model.remembered
+    assert all(len(t) <= 20 + 400 for t in (known, known.older, known.spaced, known.spaced.older))
+    known.clear()
+    assert not (known or known.older or known.spaced or known.spaced.older)
