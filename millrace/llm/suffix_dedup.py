@@ -20,8 +20,9 @@ l bytes left and r bytes right of it with l + r >= least.
 Groups of more than ``block`` different contexts are divided, exactly, before step 3. With d = :func:`step_of` (``least``, ``gram``), two contexts with
 l + r >= least agree, for some k, on the window from d * k bytes left of the anchor to least - d - d * k bytes right of it. So each context goes
 to a group for each k by that window's 128-bit digest, with only the d bytes on each side of the window as its new context, and d as
-the new least length; equal new contexts are one again. A divided group above ``block`` is decided by the digests of all its windows
-of d bytes (:func:`split_windows`).
+the new least length; equal new contexts are one again. A divided group above ``block`` is divided in turn, by windows of 3 d / 4 bytes, and so on:
+differences far from a window no longer tell its contexts apart, so that ever fewer are left. What is above ``block`` once ``TINY`` bytes or
+less are left to agree on is decided by the digests of all windows of that length (:func:`split_windows`).
 
 Edge cases: null texts are empty and lose nothing; texts under ``least`` bytes lose nothing; runs of one byte make every position
 an anchor with equal contexts, which are one; repeated rows (also of one doc_id) are separate texts; doc_ids may be null; an empty table gives an
@@ -31,6 +32,7 @@ empty result; extra columns are not read.
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -45,6 +47,8 @@ LEAST = 400
 GRAM = 64
 #: Bytes hashed at a time; positions in a segment take as many low bits of a window's key.
 SEGMENT_BITS = 20
+#: Groups are divided down to so many bytes; below, a context has few windows.
+TINY = 8
 BASE = 0x9E3779B97F4A7C15 | 1
 U = np.uint64
 
@@ -395,29 +399,32 @@ def split_windows(contexts: DataFrame, least: int) -> DataFrame:
 
 
 def divide_groups(contexts: DataFrame, least: int, step: int, block: int) -> DataFrame:
-    """(kh, w1, w2, ck, l, r) as from :func:`compare_groups`, for large groups: by shared windows of ``least - step`` bytes."""
+    """(kh, w1, w2, ck, l, r) as from :func:`compare_groups`, for large groups: by shared windows of ``least - step`` bytes.
+
+    Contexts have at most ``least`` bytes on each side.
+    """
     shared = least - step
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
-            for kh, ck, left, right in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                data = left + right
+            for kh, u1, u2, ck, left, right in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                data, group = left + right, struct.pack("<qq", u1, u2)
                 back = np.arange(0, len(left) + 1, step)
                 lo = len(left) - back
                 lo, back = lo[lo + shared <= len(data)], back[lo + shared <= len(data)]
                 if not len(lo):
                     continue
-                # The split belongs to the window's name: windows of different splits don't meet.
+                # The group and the split belong to the window's name: windows of different ones don't meet.
                 for at, k in zip(lo.tolist(), back.tolist(), strict=True):
                     side = data[max(0, at - step) : at], data[at + shared : at + shared + step]
-                    (w1, w2), (own,) = (as_longs([d])[0].tolist() for d in (digest(k.to_bytes(4, "little"), data[at : at + shared], size=16), digest(*side)))
-                    out.append((kh, w1, w2, ck, own, k, *side))
+                    (w1, w2), (own,) = (as_longs([d])[0].tolist() for d in (digest(k.to_bytes(4, "little") + group, data[at : at + shared], size=16), digest(*side)))
+                    out.append((kh, w1, w2, u1, u2, ck, own, k, *side))
             for at in range(0, len(out), 8192):
-                types = [pa.int64()] * 6 + [pa.binary()] * 2
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 8192], strict=True), types, strict=True)], [*GROUP, "of", "ck", "back", "left", "right"])
+                types = [pa.int64()] * 8 + [pa.binary()] * 2
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 8192], strict=True), types, strict=True)], [*GROUP, "u1", "u2", "of", "ck", "back", "left", "right"])
 
-    parts = materialize(contexts.select("kh", "ck", "left", "right").mapInArrow(run, "kh long, w1 long, w2 long, of long, ck long, back long, left binary, right binary"), "divided")
+    parts = materialize(contexts.select(*GROUP, "ck", "left", "right").mapInArrow(run, "kh long, w1 long, w2 long, u1 long, u2 long, of long, ck long, back long, left binary, right binary"), "divided")
     kinds = parts.groupBy(*GROUP, "ck").agg(F.count(F.lit(1)).alias("n"), F.first("left").alias("left"), F.first("right").alias("right"))
     kinds = materialize(kinds, "divided-kinds")
     sizes = kinds.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("kinds"))
@@ -425,11 +432,14 @@ def divide_groups(contexts: DataFrame, least: int, step: int, block: int) -> Dat
     equal = kinds.filter((F.col("n") > 1) & (F.octet_length("left") + F.octet_length("right") >= step))
     found = equal.select(*GROUP, "ck", F.octet_length("left").cast("long").alias("l"), F.octet_length("right").cast("long").alias("r"))
     found = found.union(compare_groups(sized.filter(F.col("kinds").between(2, block)), step))
-    found = found.union(split_windows(sized.filter(F.col("kinds") > block), step))
+    large = sized.filter(F.col("kinds") > block)
+    if step <= TINY:
+        found = found.union(split_windows(large, step))
+    elif large.limit(1).count():
+        found = found.union(divide_groups(large, step, step_of(step, 0), block))
     best = found.groupBy(*GROUP, "ck").agg(F.max("l").alias("l"), F.max("r").alias("r"))
-    met = parts.select(*GROUP, "of", "ck", "back").join(best, [*GROUP, "ck"])
-    zero = F.lit(0).cast("long")
-    return met.select("kh", zero.alias("w1"), zero.alias("w2"), F.col("of").alias("ck"), (F.col("back") + F.col("l")).alias("l"), (F.lit(shared) - F.col("back") + F.col("r")).alias("r"))
+    met = parts.select(*GROUP, "u1", "u2", "of", "ck", "back").join(best, [*GROUP, "ck"])
+    return met.select("kh", F.col("u1").alias("w1"), F.col("u2").alias("w2"), F.col("of").alias("ck"), (F.col("back") + F.col("l")).alias("l"), (F.lit(shared) - F.col("back") + F.col("r")).alias("r"))
 
 
 def repeated_ranges(docs: DataFrame, text: str = "text", least: int = LEAST, gram: int = GRAM, block: int = 1024) -> DataFrame:

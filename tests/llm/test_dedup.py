@@ -151,6 +151,26 @@ def test_copies_of_a_text_bring_each_context_once(spark, monkeypatch):
     assert seen and {r["count"] for r in seen} == {1}
 
 
+def test_large_groups_are_divided_until_few_windows_are_left(spark, monkeypatch):
+    rng = random.Random(11)
+    passage = words(rng, 120)
+    texts = [words(rng, rng.randrange(9)) + passage + words(rng, 40) for _ in range(40)]
+    for k in range(40):  # near copies with a change each
+        at = rng.randrange(len(passage))
+        texts.append(passage[:at] + "#%"[k % 2] + passage[at + 1 :] + words(rng, 3))
+    lengths, windows, plain = [], [], suffix_dedup.split_windows
+
+    def counted(contexts, least):
+        lengths.append(least)
+        windows.append(contexts.count() * (least + 1))
+        return plain(contexts, least)
+
+    monkeypatch.setattr(suffix_dedup, "split_windows", counted)
+    got = sorted(suffix_dedup.removal(frame(spark, list(enumerate(texts))), block=8).collect(), key=lambda r: r["doc_id"])
+    assert [tuple(r)[1:] for r in got] == brute_removal(texts, 400)
+    assert lengths and max(lengths) <= suffix_dedup.TINY and sum(windows) <= 5 * 80 * (suffix_dedup.TINY + 1)
+
+
 def test_suffix_text_longer_than_a_segment():
     rng = np.random.default_rng(4)
     one = rng.integers(97, 123, 3 << suffix_dedup.SEGMENT_BITS, dtype=np.uint8)
