@@ -2,9 +2,9 @@
 
 A string of ``least`` bytes contains, wherever it occurs, the same *anchor*: the first position of
 the least hash of ``gram`` bytes among its first ``least - gram + 1`` positions. So only anchors need to be
-sorted, about one in (least - gram) / 2 bytes, and two equal strings meet in the group of their anchor's gram hash. Around an anchor,
-its *context* is up to ``least`` bytes to the left and to the right: a repeated string through the anchor covers
-l bytes left and r bytes right of it with l + r >= least.
+sorted, about one in (least - gram) / 2 bytes, and two equal strings meet in the group of their anchor's gram hash. An anchor's
+*context* is what the strings with this anchor cover together: ``least`` bytes and, on average, (least - gram) / 2 more. Strings that start before or after
+them have other anchors and meet there. A repeated string covers l bytes left and r bytes right of its anchor with l + r >= least.
 
 1. One scan hashes every text by prefix polynomials modulo 2**64 (any substring's hash in two
    reads), finds the anchors and digests their contexts' bytes (BLAKE2b: texts made to collide under polynomials don't). Only hashes and digests are shuffled. Equal
@@ -118,8 +118,8 @@ def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
 
 
 def find_anchors(x: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int = LEAST, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Anchors of the texts [starts, ends) of a segment: (text, position, gram hash, context digest)."""
-    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, U))
+    """Anchors of the texts [starts, ends) of a segment: (text, position, gram hash, context digest, context's bytes left, right)."""
+    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, U, U, np.int32, np.int32))
     if len(x) < least:
         return none
     w = least - gram + 1
@@ -131,19 +131,23 @@ def find_anchors(x: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int
     full = ends - starts >= least
     np.add.at(inside, starts[full], 1)
     np.add.at(inside, ends[full] - least + 1, -1)
-    at = (lowest[np.cumsum(inside)[: len(lowest)] > 0] & U((1 << SEGMENT_BITS) - 1)).astype(np.int64)
-    if not len(at):
+    begin = np.flatnonzero(np.cumsum(inside)[: len(lowest)] > 0)
+    if not len(begin):
         return none
-    at = at[np.concatenate(([True], at[1:] != at[:-1]))]
+    at = (lowest[begin] & U((1 << SEGMENT_BITS) - 1)).astype(np.int64)
+    # The strings of one anchor begin at consecutive places.
+    change = np.flatnonzero(at[1:] != at[:-1])
+    first, last = begin[np.append(0, change + 1)], begin[np.append(change, len(at) - 1)]
+    at = at[np.append(0, change + 1)]
     text = np.searchsorted(starts, at, "right") - 1
-    left, right = np.minimum(at - starts[text], least - gram), np.minimum(ends[text] - at, least)
+    left, right = at - first, last + least - at
     data = memoryview(np.ascontiguousarray(x))
     digests = [digest(data[p - a : p], data[p : p + b]) for p, a, b in zip(at.tolist(), left.tolist(), right.tolist(), strict=True)]
-    return text, at, g[at], as_longs(digests)[:, 0].view(U)
+    return text, at, g[at], as_longs(digests)[:, 0].view(U), left.astype(np.int32), right.astype(np.int32)
 
 
 def text_anchors(data: np.ndarray, offsets: np.ndarray, least: int = LEAST, gram: int = GRAM) -> Iterator[tuple[np.ndarray, ...]]:
-    """(text, position in it, gram hash, context digest) for texts in one buffer, a segment at a time."""
+    """(text, position in it, gram hash, context digest, context's bytes left, right) for texts in one buffer, a segment at a time."""
     size, n, k = 1 << SEGMENT_BITS, len(offsets) - 1, 0
     while k < n:
         to = int(np.searchsorted(offsets, offsets[k] + size, "right")) - 1
@@ -152,8 +156,8 @@ def text_anchors(data: np.ndarray, offsets: np.ndarray, least: int = LEAST, gram
             lo, hi = int(offsets[k]), int(offsets[to])
             keep = offsets[k + 1 : to + 1] > offsets[k:to]
             rows = np.flatnonzero(keep) + k
-            text, at, g, c = find_anchors(data[lo:hi], offsets[rows] - lo, offsets[rows + 1] - lo, least, gram)
-            yield rows[text], at + lo - offsets[rows[text]], g, c
+            text, at, *more = find_anchors(data[lo:hi], offsets[rows] - lo, offsets[rows + 1] - lo, least, gram)
+            yield rows[text], at + lo - offsets[rows[text]], *more
             k = to
             continue
         # A text longer than a segment: pieces that overlap by what an anchor and its context need.
@@ -161,9 +165,9 @@ def text_anchors(data: np.ndarray, offsets: np.ndarray, least: int = LEAST, gram
         margin, step = least, size - 3 * least
         for begin in range(0, hi - lo, step):
             a, b = max(0, begin - margin), min(hi - lo, begin + step + 2 * margin)
-            _, at, g, c = find_anchors(data[lo + a : lo + b], np.array([0]), np.array([b - a]), least, gram)
+            _, at, *more = find_anchors(data[lo + a : lo + b], np.array([0]), np.array([b - a]), least, gram)
             own = (at + a >= begin) & (at + a < begin + step)
-            yield np.full(int(own.sum()), k), at[own] + a, g[own], c[own]
+            yield np.full(int(own.sum()), k), at[own] + a, *(m[own] for m in more)
         k += 1
 
 
@@ -459,14 +463,14 @@ def repeated_ranges(docs: DataFrame, text: str = "text", least: int = LEAST, gra
         for b in batches:
             data, offsets = _buffer(b.column(0))
             rid, size = b.column(1).to_numpy(), b.column(2).to_numpy()
-            for row, at, g, c in text_anchors(data, offsets, least, gram):
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (g.view(np.int64), c.view(np.int64), rid[row], size[row], at)], ["kh", "ck", "rid", "size", "pos"])
+            for row, at, g, c, left, right in text_anchors(data, offsets, least, gram):
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (g.view(np.int64), c.view(np.int64), rid[row], size[row], at, left, right)], ["kh", "ck", "rid", "size", "pos", "left", "right"])
 
-    anchors = materialize(long_.mapInArrow(anchors_of, "kh long, ck long, rid long, size long, pos long"), "anchors")
-    kinds = anchors.groupBy("kh", "ck").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "size", "pos")).alias("one"))
+    anchors = materialize(long_.mapInArrow(anchors_of, "kh long, ck long, rid long, size long, pos long, left int, right int"), "anchors")
+    kinds = anchors.groupBy("kh", "ck").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "size", "pos", "left", "right")).alias("one"))
     groups = kinds.groupBy("kh").agg(F.count(F.lit(1)).alias("kinds"), F.max("n").alias("most"))
     # Equal contexts are a repeated string; different ones of a group have to be compared.
-    kept = kinds.join(groups.filter("kinds > 1 or most > 1"), "kh").select("kh", "ck", "n", "kinds", "one.rid", "one.size", "one.pos")
+    kept = kinds.join(groups.filter("kinds > 1 or most > 1"), "kh").select("kh", "ck", "n", "kinds", "one.*")
     kept = materialize(kept, "kinds")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -477,7 +481,7 @@ def repeated_ranges(docs: DataFrame, text: str = "text", least: int = LEAST, gra
                 view = memoryview(data)
                 for c in cuts.as_py():
                     p = c["pos"]
-                    rows.append((c["kh"], c["ck"], bytes(view[max(0, p - least + gram) : p]), bytes(view[p : p + least])))
+                    rows.append((c["kh"], c["ck"], bytes(view[p - c["left"] : p]), bytes(view[p : p + c["right"]])))
                 if len(rows) > 4096:
                     yield _rows(rows)
                     rows = []
@@ -490,7 +494,7 @@ def repeated_ranges(docs: DataFrame, text: str = "text", least: int = LEAST, gra
 
     def contexts_of(rows: DataFrame) -> DataFrame:
         """The contexts' bytes, cut from the texts that hold them."""
-        wanted = rows.groupBy("rid", "size").agg(F.collect_list(F.struct("kh", "ck", "pos")).alias("cut"))  # bounded by the text
+        wanted = rows.groupBy("rid", "size").agg(F.collect_list(F.struct("kh", "ck", "pos", "left", "right")).alias("cut"))  # bounded by the text
         wanted = materialize(wanted, "wanted")
         possible, _ = _keep_possible(long_, F.col("rid"), wanted, F.col("rid"), wanted.count())
         # One row a text, combined in the map stage: copies would bring the same contexts, all to one group.
@@ -502,13 +506,12 @@ def repeated_ranges(docs: DataFrame, text: str = "text", least: int = LEAST, gra
     if kept.filter(F.col("kinds") > block).limit(1).count():
         found = found.union(divide_groups(contexts_of(kept.filter(F.col("kinds") > block)), least, step_of(least, gram), block))
     found = found.select("kh", "ck", "l", "r")
-    equal = kept.filter("n > 1").select("kh", "ck", F.lit(least - gram).cast("long").alias("l"), F.lit(least).cast("long").alias("r"))
+    equal = kept.filter("n > 1").select("kh", "ck", F.col("left").cast("long").alias("l"), F.col("right").cast("long").alias("r"))
     extents = materialize(found.union(equal).groupBy("kh", "ck").agg(F.max("l").alias("l"), F.max("r").alias("r")), "extents")
     near, _ = _keep_possible(anchors, F.col("kh"), extents, F.col("kh"), extents.count())
     met = near.join(extents, ["kh", "ck"])
-    lo = F.col("pos") - F.least("l", "pos")
-    hi = F.col("pos") + F.least("r", F.col("size") - F.col("pos"))
-    ranges = met.groupBy("rid", "size").agg(F.collect_set(F.struct(lo.alias("lo"), hi.alias("hi"))).alias("ranges"))
+    lo, hi = (F.col("pos") - F.col("l")).alias("lo"), (F.col("pos") + F.col("r")).alias("hi")
+    ranges = met.groupBy("rid", "size").agg(F.collect_set(F.struct(lo, hi)).alias("ranges"))
     ranges = materialize(ranges, "ranges")
     drop_materialized(anchors, kept, extents)
     return ranges

@@ -171,6 +171,55 @@ def test_large_groups_are_divided_until_few_windows_are_left(spark, monkeypatch)
     assert lengths and max(lengths) <= suffix_dedup.TINY and sum(windows) <= 5 * 80 * (suffix_dedup.TINY + 1)
 
 
+def test_near_copies_bring_few_rows_to_the_division(spark, monkeypatch):
+    rng = random.Random(13)
+    passage = words(rng, 200)
+    texts = [passage]
+    for k in range(300):  # near copies with a change each, between different words
+        at = rng.randrange(len(passage))
+        texts.append(words(rng, 2) + passage[:at] + "#%"[k % 2] + passage[at + 1 :] + words(rng, 2))
+    made, plain = [], suffix_dedup.materialize
+
+    def counted(df, name):
+        out = plain(df, name)
+        if name == "divided":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "materialize", counted)
+    got = sorted(suffix_dedup.removal(frame(spark, list(enumerate(texts))), block=64).collect(), key=lambda r: r["doc_id"])
+    assert [tuple(r)[1:] for r in got] == brute_removal(texts, 400)
+    assert made and made[0] <= 11 * len(texts)  # windows with no string of their anchor would make it 13.8
+
+
+def test_every_string_belongs_to_one_context():
+    rng = np.random.default_rng(6)
+    texts = [rng.integers(97, 97 + n, size, dtype=np.uint8) for n, size in ((26, 3000), (2, 2500), (1, 900), (26, 399), (26, 400), (3, 0))]
+    offsets = np.append(0, np.cumsum([len(t) for t in texts]))
+    data = np.concatenate(texts)
+    begins = {k: [] for k in range(len(texts))}
+    digests = {}
+    for text, at, _, c, left, right in suffix_dedup.text_anchors(data, offsets):
+        for k, p, d, a, b in zip(*(v.tolist() for v in (text, at, c, left, right)), strict=True):
+            assert 0 <= a <= 336 and 0 <= p - a and p + b <= len(texts[k])
+            begins[k] += range(p - a, p + b - 399)
+            assert digests.setdefault((a, bytes(texts[k][p - a : p + b])), d) == d
+    assert {k: sorted(v) for k, v in begins.items()} == {k: list(range(max(0, len(t) - 399))) for k, t in enumerate(texts)}
+    long_ = rng.integers(97, 123, (2 << suffix_dedup.SEGMENT_BITS) + 77, dtype=np.uint8)
+    _, at, _, _, left, right = map(np.concatenate, zip(*suffix_dedup.text_anchors(long_, np.array([0, len(long_)])), strict=True))
+    begins = np.concatenate([np.arange(p - a, p + b - 399) for p, a, b in zip(at, left, right, strict=True)])
+    assert (np.sort(begins) == np.arange(len(long_) - 399)).all()
+
+
+@pytest.mark.parametrize("block", [2, 7, 4096])
+def test_suffix_removal_with_few_letters(spark, block):
+    rng = random.Random(block)
+    texts = ["".join(rng.choice("ab"[: 1 + k % 2] + "c") * rng.randrange(1, 4) for _ in range(rng.randrange(60))) for k in range(120)]
+    texts += [t[: len(t) // 2] + "é" + t[len(t) // 2 :] for t in texts[::3]]
+    got = sorted(suffix_dedup.removal(frame(spark, list(enumerate(texts))), least=24, gram=8, block=block).collect(), key=lambda r: r["doc_id"])
+    assert [tuple(r)[1:] for r in got] == brute_removal(texts, 24)
+
+
 def test_suffix_text_longer_than_a_segment():
     rng = np.random.default_rng(4)
     one = rng.integers(97, 123, 3 << suffix_dedup.SEGMENT_BITS, dtype=np.uint8)
