@@ -67,7 +67,7 @@ SELECT event_id, CASE WHEN s <= n AND n <= coalesce(e, s + INTERVAL 120 MINUTE)
 """)
 def availability_state(t: Tables) -> DataFrame:
     """Every event's state at a fixed time; a missing end is two hours after the start."""
-    end = F.when(F.col("event_id") % 5 != 0, F.timestamp_add("MINUTE", F.round("value").cast("int") % 180, F.col("ts")))
+    end = F.when(F.col("event_id") % 5 != 0, F.timestamp_add("MINUTE", F.rint("value").cast("int") % 180, F.col("ts")))  # halves go to the even minute, as casts do in SQL
     return t.events.select("event_id", T.live_state(F.col("ts"), end, now()).alias("state"))
 
 
