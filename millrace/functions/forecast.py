@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions import temporal
+
 
 def celsius(fahrenheit: Column) -> Column:
     return F.round((fahrenheit - 32) * 5 / 9, 1)
@@ -70,12 +72,12 @@ def proximity(entity: Column, home: Column, cluster: Column, home_cluster: Colum
 
 def living_state(changed: Column, start: Column, end: Column, verified: Column, now: Column) -> Column:
     """changed, now (between start and end), soon (within 90 minutes), verified (within 14 days) or null, by the first that fits."""
-    to_start = F.timestamp_diff("SECOND", now, start)
+    to_start = temporal.seconds_apart(now, start)
     return (
         F.when(F.coalesce(changed, F.lit(False)), "changed")
         .when((start <= now) & (now < end), "now")
         .when((to_start > 0) & (to_start <= 5400), "soon")
-        .when((verified <= now) & (F.timestamp_diff("SECOND", verified, now) <= 14 * 86400), "verified")
+        .when((verified <= now) & (temporal.seconds_apart(verified, now) <= 14 * 86400), "verified")
     )
 
 

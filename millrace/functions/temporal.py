@@ -18,6 +18,12 @@ def epoch_seconds(ts: Column) -> Column:
     return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
 
 
+def seconds_apart(start: Column, end: Column) -> Column:
+    """Seconds from start to end by the clock: parts of a second are cut from both, so what lies half a second before the start is a second away if the clock's second differs."""
+    second = lambda ts: F.timestamp_diff("SECOND", F.lit("0001-01-01 00:00:00").cast("timestamp_ntz"), ts)
+    return second(end) - second(start)
+
+
 def minutes_between(start: Column, end: Column) -> Column:
     """Minutes from start to end, rounded half up."""
     return F.floor(F.timestamp_diff("SECOND", start, end) / 60.0 + 0.5).cast("long")

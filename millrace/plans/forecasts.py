@@ -114,7 +114,7 @@ SELECT event_id, CASE WHEN out < 0 OR event_id % 3 = 0 THEN false WHEN event_id
 def timing_advice(t: Tables) -> DataFrame:
     """Advice on timing, living states, forecast routes that count what is under way from now, and what risks do to ways of travel."""
     now, k = F.lit("2024-01-15 12:00:00").cast("timestamp_ntz"), F.col("event_id")
-    seconds = lambda c: F.timestamp_diff("SECOND", now, c)
+    seconds = lambda c: temporal.seconds_apart(now, c)
     end = F.timestamp_add("HOUR", F.lit(2), F.col("ts"))
     advice = forecast.timing_advice(seconds(F.col("ts")) / 3600.0, k % 3 != 0, k % 7 == 0, k % 100, F.col("user_id") % 50)
     living = forecast.living_state(k % 11 == 0, F.col("ts"), end, F.when(k % 2 == 0, F.timestamp_add("DAY", F.lit(-1), F.col("ts"))), now)

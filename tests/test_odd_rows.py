@@ -25,3 +25,12 @@ def test_events_that_last_half_minutes(spark, tmp_path):
     rows = [(5 * n + 1, now - pd.Timedelta(minutes=int(value) % 180 + minutes - 1), value) for n, (value, minutes) in enumerate(ends)]
     got, want = both(spark, tmp_path, "availability_state", {"events": pd.DataFrame(rows, columns=["event_id", "ts", "value"])})
     assert got == want
+
+
+def test_events_a_part_of_a_second_off(spark, tmp_path):
+    now, away = pd.Timestamp("2024-01-15 12:00:00"), [0, -1, 5400, 72 * 3600, 168 * 3600, -7200, -13 * 86400, -15 * 86400, 86400]
+    shifts = [pd.Timedelta(seconds=s, microseconds=us) for s in away for us in (0, 1, -1, 500000, -500000)]
+    shifts.append(pd.Timestamp("1969-12-31 23:59:58.5") - now)
+    rows = [(11 * n + k, now + s, n * 7 + k, 35.0 * (k % 3)) for n, s in enumerate(shifts) for k in (1, 2, 4, 8)]
+    got, want = both(spark, tmp_path, "timing_advice", {"events": pd.DataFrame(rows, columns=["event_id", "ts", "user_id", "value"])})
+    assert got == want
