@@ -5,11 +5,11 @@ A document has places, stops (at a place), patterns (of stops), edges (between s
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.schedules import once
+
 #: The members of a document and of their items.
 SCHEMA = (
     "places array<struct<id:string>>, stops array<struct<id:string,place:string>>, patterns array<struct<id:string,stops:array<string>>>, "
@@ -37,36 +37,48 @@ def relations(docs: DataFrame) -> dict[str, DataFrame]:
     return {name: docs.select("graph", F.inline(F.col("d")[name])) for name in REFERENCES}
 
 
-def _entries(name: str) -> Column:
-    """A relation's items as (relation, id, refs), where refs are (field, to, ref)."""
+FAULT = "array<struct<relation:string,id:string,field:string,ref:string,fault:string>>"
+
+
+def _fault(relation: Column, name: Column, field: Column, ref: Column, kind: str) -> Column:
+    return F.struct(relation.cast("string").alias("relation"), name.cast("string").alias("id"), field.cast("string").alias("field"), ref.cast("string").alias("ref"), F.lit(kind).alias("fault"))
+
+
+def _faults(items: dict[str, Column], unread: Column) -> Column:
+    """All faults of a graph whose relations are the arrays ``items``.
 
-    def reference(field: str, to: str) -> Callable[[Column], Column]:
-        return lambda r: F.struct(F.lit(field).alias("field"), F.lit(to).alias("to"), r.alias("ref"))
+    Sets of texts are compared by hash and repeats found by sorting; only where some reference is missing are the items' references looked through.
+    """
+    none = F.lit(None).cast("string")
+
+    def named(name: str) -> Column:
+        return F.filter(F.transform(items[name], lambda i: i["id"]), lambda k: F.coalesce(k, F.lit("")) != "")
 
-    def refs(item: Column) -> Column:
-        parts = [F.array().cast("array<struct<field:string,to:string,ref:string>>")]
-        for field, to in REFERENCES[name]:
-            held = item[field] if (name, field) in LISTS else F.array(item[field])
-            parts.append(F.transform(F.array_distinct(F.array_compact(F.coalesce(held, F.array().cast("array<string>")))), reference(field, to)))
-        return F.concat(*parts)
+    def repeated(name: str) -> Column:
+        again = once(F.array_sort(named(name)), lambda ids: F.array_distinct(F.filter(ids, lambda k, n: (n > 0) & (k == F.get(ids, n - 1)))))
+        return F.transform(again, lambda k: _fault(F.lit(name), k, F.lit("id"), none, "repeated"))
 
-    kind = "array<struct<relation:string,id:string,refs:array<struct<field:string,to:string,ref:string>>>>"
-    items = F.transform(F.col("d")[name], lambda i: F.struct(F.lit(name).alias("relation"), i["id"].alias("id"), refs(i).alias("refs")))
-    return F.coalesce(items, F.array().cast(kind))
+    def unnamed(name: str) -> Column:
+        blank = F.filter(F.transform(items[name], lambda i: i["id"]), lambda k: F.coalesce(k, F.lit("")) == "")
+        return F.transform(blank, lambda k: _fault(F.lit(name), k, F.lit("id"), none, "unnamed"))
+
+    def orphans(name: str, field: str, to: str) -> Column:
+        held = lambda i: F.array_compact(F.coalesce(i[field] if (name, field) in LISTS else F.array(i[field]), F.array().cast("array<string>")))
+        of = lambda i, missing: F.transform(F.array_intersect(held(i), missing), lambda r: _fault(F.lit(name), i["id"], F.lit(field), r, "orphan"))
+        all_of = lambda missing: F.when(F.size(missing) > 0, F.flatten(F.transform(items[name], lambda i: of(i, missing)))).otherwise(F.array().cast(FAULT))
+        return once(F.array_except(F.flatten(F.transform(items[name], held)), named(to)), all_of)
+
+    found = [f(name).cast(FAULT) for name in REFERENCES for f in (repeated, unnamed)]
+    found += [orphans(name, field, to).cast(FAULT) for name, refs in REFERENCES.items() for field, to in refs]
+    return F.concat(*found, F.array_repeat(_fault(none, none, none, none, "unread"), unread).cast(FAULT))
 
 
 def integrity(docs: DataFrame) -> DataFrame:
     """(graph, relation, id, field, ref, fault) of :func:`parsed` documents: every orphaned reference, repeated id, item without id and unreadable document.
 
-    One explosion makes a narrow table of all items of all relations; references of every kind then meet all ids in a single anti join on (graph, relation, id).
+    Documents of one graph count as one. A graph is judged in its own row, so nothing is shuffled that isn't dealt by graph already and only faults become rows.
     """
-    items = docs.select("graph", F.inline(F.concat(*[_entries(n) for n in REFERENCES])))
-    none = F.lit(None).cast("string")
-    ids = items.filter(F.coalesce("id", F.lit("")) != "").groupBy("graph", "relation", "id").agg(F.count(F.lit(1)).alias("n"))
-    refs = items.select("graph", "relation", "id", F.inline("refs"))
-    target = ids.select(F.col("graph").alias("_g"), F.col("relation").alias("_r"), F.col("id").alias("_i"))
-    orphans = refs.join(target, F.col("graph").eqNullSafe(F.col("_g")) & (F.col("to") == F.col("_r")) & (F.col("ref") == F.col("_i")), "left_anti").select("graph", "relation", "id", "field", "ref", F.lit("orphan").alias("fault"))
-    repeated = ids.filter("n > 1").select("graph", "relation", "id", F.lit("id").alias("field"), none.alias("ref"), F.lit("repeated").alias("fault"))
-    unnamed = items.filter(F.coalesce("id", F.lit("")) == "").select("graph", "relation", "id", F.lit("id").alias("field"), none.alias("ref"), F.lit("unnamed").alias("fault"))
-    unread = docs.filter("d is null").select("graph", none.alias("relation"), none.alias("id"), none.alias("field"), none.alias("ref"), F.lit("unread").alias("fault"))
-    return orphans.unionByName(repeated).unionByName(unnamed).unionByName(unread)
+    whole = docs.groupBy("graph").agg(F.collect_list("d").alias("ds"), F.count_if(F.col("d").isNull()).cast("int").alias("unread"))
+    joined = lambda name: F.flatten(F.filter(F.transform("ds", lambda d: d[name]), lambda x: x.isNotNull()))
+    graphs = whole.select("graph", "unread", F.struct(*[joined(name).alias(name) for name in REFERENCES]).alias("g"))
+    return graphs.select("graph", F.inline(_faults({name: F.col("g")[name] for name in REFERENCES}, F.col("unread"))))

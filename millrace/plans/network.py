@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import graph, graphdoc, versioning
 from millrace.plans.registry import query
-from millrace.sources.tables import Tables, fresh_folder
+from millrace.sources.tables import Tables
 
 EDGE_SQL = """e AS (SELECT DISTINCT s_nationkey AS src, ((s_nationkey + 1 + s_suppkey % 3) % 25)::INTEGER AS dst, ['Bus 5', 'Ferry', 'Foot path'][1 + s_suppkey % 3] AS label, ['bus', 'boat', 'walk'][1 + s_suppkey % 3] AS mode,
   CASE WHEN s_nationkey % 2 = 0 THEN 'even' END AS note, 5 + s_nationkey % 7 AS minutes FROM supplier)"""
@@ -97,22 +97,16 @@ SELECT relation, field, fault, count(*) AS n FROM faults GROUP BY ALL
 """)
 def graph_integrity(t: Tables) -> DataFrame:
     """Orders written as graph documents, some with broken references, and read again: how many faults each relation has."""
-    n, s, f = F.col("l_linenumber"), F.col("l_suppkey"), F.col("l_returnflag")
     text = lambda c: c.cast("string")
     edge = lambda k: F.concat(text(k), F.lit("-"), text(k + 1))
-    line = F.struct(
-        F.struct(text(s).alias("id")).alias("place"),
-        F.struct(text(n).alias("id"), text(F.when(n % 5 == 0, s + 1).otherwise(s)).alias("place")).alias("stop"),
-        F.struct(edge(n).alias("id"), text(n).alias("from"), text(n + 1).alias("to"), F.when(F.col("l_quantity") > 45, "X").otherwise(f).alias("pattern")).alias("edge"),
-        F.struct(F.concat(F.lit("v"), text(n)).alias("id"), text(s).alias("origin"), text(F.col("l_partkey") % 100).alias("destination"), F.array(edge(n - 1)).alias("edges")).alias("service"),
-        f.alias("flag"),
-        text(n).alias("n"),
-    )
-    lines = t.lineitem.groupBy("l_orderkey").agg(F.collect_list(line).alias("l"))  # an order has a few lines
-    each = lambda member: F.transform("l", lambda x: x[member])
-    patterns = F.transform(F.array_distinct(each("flag")), lambda p: F.struct(p.alias("id"), F.transform(F.filter("l", lambda x: x["flag"] == p), lambda x: x["n"]).alias("stops")))
-    doc = F.to_json(F.struct(each("place").alias("places"), each("stop").alias("stops"), patterns.alias("patterns"), each("edge").alias("edges"), each("service").alias("services")))
-    folder = fresh_folder(t.spark, "graphs")
-    lines.select("l_orderkey", doc.alias("doc")).write.parquet(folder)
-    found = graphdoc.integrity(graphdoc.parsed(t.spark.read.parquet(folder), "l_orderkey", "doc"))
+    few = F.struct(F.col("l_linenumber").alias("n"), F.col("l_suppkey").alias("s"), F.col("l_returnflag").alias("f"), (F.col("l_partkey") % 100).alias("p"), (F.col("l_quantity") > 45).alias("much"))
+    lines = t.lineitem.groupBy("l_orderkey").agg(F.collect_list(few).alias("l"))  # an order has a few lines
+    each = lambda item: F.transform("l", item)
+    places = each(lambda x: F.struct(text(x["s"]).alias("id")))
+    stops = each(lambda x: F.struct(text(x["n"]).alias("id"), text(F.when(x["n"] % 5 == 0, x["s"] + 1).otherwise(x["s"])).alias("place")))
+    edges = each(lambda x: F.struct(edge(x["n"]).alias("id"), text(x["n"]).alias("from"), text(x["n"] + 1).alias("to"), F.when(x["much"], "X").otherwise(x["f"]).alias("pattern")))
+    services = each(lambda x: F.struct(F.concat(F.lit("v"), text(x["n"])).alias("id"), text(x["s"]).alias("origin"), text(x["p"]).alias("destination"), F.array(edge(x["n"] - 1)).alias("edges")))
+    patterns = F.transform(F.array_distinct(each(lambda x: x["f"])), lambda p: F.struct(p.alias("id"), F.transform(F.filter("l", lambda x: x["f"] == p), lambda x: text(x["n"])).alias("stops")))
+    doc = F.to_json(F.struct(places.alias("places"), stops.alias("stops"), patterns.alias("patterns"), edges.alias("edges"), services.alias("services")))
+    found = graphdoc.integrity(graphdoc.parsed(lines.select("l_orderkey", doc.alias("doc")), "l_orderkey", "doc"))
     return found.groupBy("relation", "field", "fault").agg(F.count(F.lit(1)).alias("n"))
