@@ -68,3 +68,28 @@ def test_support(spark):
     frame = spark.createDataFrame(rows, "t string, s string, title boolean, field boolean")
     got = frame.select("t", "s", fuzzy.supports_title(F.col("t"), F.col("s")).alias("a"), "title", fuzzy.supports_field(F.col("t"), F.col("s")).alias("b"), "field").collect()
     assert [(r["t"], r["s"], r["a"], r["b"]) for r in got] == [(r["t"], r["s"], r["title"], r["field"]) for r in got]
+
+
+def test_join_shuffles_texts_and_no_pairs(spark):
+    frame = spark.createDataFrame([("s", f"title number {n} of a long list") for n in range(300)], "g string, text string")
+    found = joins.candidates(frame, frame, ["g"], 0.9)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("FlatMapGroupsInArrow")] and "Exchange" in plan
+    assert found.count() == joins.similar_texts(frame, frame, ["g"], 0.9).count() == 300 * 299
+
+
+def test_blocks_of_long_texts_equal_the_standard_library():
+    rng, matched = random.Random(5), joins._matcher()
+    for n, letters in ((700, "abcdefgh é"), (1500, "ab 😀"), (900, "a")):
+        a = "".join(rng.choice(letters) for _ in range(n))
+        for b in (a[: n // 3] + "xy" + a[n // 3 :], a[n // 2 :] + a[: n // 2], "".join(rng.choice(letters) for _ in range(n)), a.replace("b", "", 40)):
+            assert 2.0 * matched(a, b) / (len(a) + len(b)) == plain(a, b)
+
+
+def test_join_over_several_blocks_finds_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(joins, "BLOCK", 7)
+    monkeypatch.setattr(joins, "CHARACTERS", 60)
+    texts = varied(random.Random(11), 120, "abcé x", 40)
+    frame = spark.createDataFrame([(None, t) for t in texts], "g string, text string")
+    got = {(r["a"], r["b"], r["ratio"]) for r in joins.similar_texts(frame, frame, ["g"], 0.82).collect()}
+    assert got == {(a, b, plain(a, b)) for a in texts for b in texts if a != b and plain(a, b) >= 0.82}
