@@ -27,6 +27,11 @@ def at_time(day: Column, clock: Column, zone: str) -> Column:
     return F.when(clock.isNotNull(), to_instant(wall.try_cast("timestamp_ntz"), zone))
 
 
+def at_minutes(day: Column, minutes: Column, zone: str) -> Column:
+    """The instant of a minute of a calendar day; null for null and for what is no minute of a day."""
+    return F.when(minutes.between(0, 1439), to_instant(F.timestamp_add("MINUTE", minutes, day.cast("timestamp_ntz")), zone))
+
+
 def local_date(instant: Column, zone: str) -> Column:
     return F.to_date(to_wall(instant, zone))
 
